@@ -138,7 +138,7 @@ def wilson(successes: ColumnOrName, n: ColumnOrName, z: float = 1.96) -> tuple[C
         raise ValueError("z must be finite and positive")
     s, n = col(successes), col(n)
     bad = (n < 0) | (s < 0) | (s > n)
-    nn = F.when(bad, F.raise_error(F.lit("need 0 <= successes <= n")).cast("double")).otherwise(n.cast("double"))
+    nn = F.when(bad, F.raise_error(F.lit("need 0 <= successes <= n")).cast("double")).when(n > 0, n.cast("double"))
     p = s / nn
     scale = 1 + z * z / nn
     centre = p + z * z / (2 * nn)

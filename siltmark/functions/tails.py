@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EXACT_MAX_N = 50  # larger samples, ties and zeros use the normal tail
 
@@ -58,7 +59,7 @@ def student_two_sided(t: float, df: float) -> float:
     return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wilcoxon_p(w_plus: pd.Series, n: pd.Series, ties: pd.Series, zeros: pd.Series) -> pd.Series:
     out = []
     for w, count, tie, zero in zip(w_plus, n, ties, zeros):
@@ -71,7 +72,7 @@ def wilcoxon_p(w_plus: pd.Series, n: pd.Series, ties: pd.Series, zeros: pd.Serie
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     ok = t.notna() & df.notna()
     return pd.Series([student_two_sided(x, d) if k else 1.0 for x, d, k in zip(t, df, ok)], dtype="float64")

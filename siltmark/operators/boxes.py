@@ -53,9 +53,9 @@ def attach_image_status(boxes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def rescale_boxes(boxes: DataFrame) -> DataFrame:
-    """Box coordinates x, y, w, h in pixels of the actual image."""
-    sx = F.col("actual_width") / F.col("width")
-    sy = F.col("actual_height") / F.col("height")
+    """Box coordinates x, y, w, h in pixels of the actual image; NULL when a dimension is not positive."""
+    sx = F.when(F.col("width") > 0, F.col("actual_width") / F.col("width"))
+    sy = F.when(F.col("height") > 0, F.col("actual_height") / F.col("height"))
     scaled = [F.col("bbox")[i] * s for i, s in enumerate((sx, sy, sx, sy))]
     return boxes.select("*", *[c.alias(n) for c, n in zip(scaled, "xywh")])
 
@@ -75,7 +75,9 @@ def expand_boxes(boxes: DataFrame, margin: float = MARGIN) -> DataFrame:
 
 def mark_small(boxes: DataFrame, min_side: int = MIN_SIDE) -> DataFrame:
     small = (F.col("x1") - F.col("x0") < min_side) | (F.col("y1") - F.col("y0") < min_side)
-    return boxes.withColumn("reason", F.coalesce("reason", F.when(small, F.lit("too_small"))))
+    unplaced = F.col("x").isNull() | F.col("y").isNull()
+    why = F.when(unplaced, F.lit("bad_dimension")).when(small, F.lit("too_small"))
+    return boxes.withColumn("reason", F.coalesce("reason", why))
 
 
 def filter_small(boxes: DataFrame, min_side: int = MIN_SIDE) -> tuple[DataFrame, DataFrame]:

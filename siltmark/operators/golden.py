@@ -111,12 +111,18 @@ def pending(plan: DataFrame, ledger: DataFrame, keys: Sequence[str], limit: int
     return joined.join(F.broadcast(first), keys, "left").withColumn("state", state).drop("_done", "_now")
 
 
-def param_grid(spark, **lists: Sequence) -> DataFrame:
-    """Every combination of the listed values once, generated by nested explodes of literals."""
-    out = spark.range(1).select(F.lit(1).alias("_one"))
+def expand_grid(df: DataFrame, **lists: Sequence) -> DataFrame:
+    """Every row with every combination of the listed values once, by nested explodes of literals."""
     for name, values in lists.items():
-        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in dict.fromkeys(values)])))
-    return out.drop("_one")
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in dict.fromkeys(values)])))
+    return df
+
+
+def param_grid(spark, **lists: Sequence) -> DataFrame:
+    """The grid alone; an empty list makes an empty grid, which is refused."""
+    if not lists or not all(len(v) for v in lists.values()):
+        raise ValueError("a grid needs at least one value per parameter")
+    return expand_grid(spark.range(1), **lists).drop("id")
 
 
 def append_new(rows: DataFrame, ledger: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

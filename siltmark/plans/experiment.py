@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import ExperimentConfig
+from ..config import ARM_NAMES, ExperimentConfig
 from ..functions import columns as fx
 from ..operators import features, heads, metrics, selection, significance, splits
 from ..sinks import writers
@@ -68,24 +68,20 @@ def run_experiment(
         .persist()
     )
     if cfg.early_stop and "D_qubo" in cfg.arms:
-        results = significance.before_stop(results, fx_label("D_qubo", cfg), "rbf_svm")
-    labels = [fx_label(a, cfg) for a in cfg.arms]
+        results = significance.before_stop(results, display_label("D_qubo", cfg), "rbf_svm")
+    labels = [display_label(a, cfg) for a in cfg.arms]
     return ExperimentResult(
         split, chosen, pred, results, metrics.summarise(results),
         significance.paired_significance(results, labels), model.explained_pct,
     )
 
 
-def fx_label(arm: str, cfg: ExperimentConfig) -> str:
-    from ..config import ARM_NAMES
-
+def display_label(arm: str, cfg: ExperimentConfig) -> str:
     return f"Full-{cfg.pca_components}" if arm == "Z_full" else f"{ARM_NAMES[arm]}-{cfg.k}"
 
 
 def positioned(pred: DataFrame, run_id: str) -> DataFrame:
     """Prediction rows in the stored form: an order by item that is the same for every arm and head."""
-    from pyspark.sql import Window
-
     # one window partition per (repeat, arm, head) would hold a whole test side; the order is local to
     # hash buckets of the items and offset by the sizes of the buckets before
     bucket = F.pmod(F.xxhash64("item_id"), F.lit(256)).cast("int")

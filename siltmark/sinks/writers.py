@@ -101,7 +101,7 @@ def run_context(spark: SparkSession, root: str, run_id: str, **facts) -> Iterato
 
     The final manifest lists every artifact document in the folder with its hash.
     """
-    if fx_unsafe(run_id):
+    if _unsafe_name(run_id):
         raise ValueError(f"unsafe run id {run_id!r}")
     run = RunContext(spark, root, run_id, {"schema_version": 1, "run_id": run_id, "started_at": _now(), **facts})
     run.save("running", finished_at=None)
@@ -121,7 +121,7 @@ def _documents(run: RunContext) -> DataFrame:
     return artifact_inventory(run.spark, f"{run.path}/documents*", "rep*_*.json")
 
 
-def fx_unsafe(name: str) -> bool:
+def _unsafe_name(name: str) -> bool:
     return not name or name in (".", "..") or any(c in name for c in '/\\:<>"|?*')
 
 

@@ -62,11 +62,11 @@ def ingest_once(
     )
 
 
-def stream_runs(spark: SparkSession, root: str) -> DataFrame:
-    """Complete runs as their manifests appear under ``root``."""
+def stream_runs(spark: SparkSession, root: str, one_per_file: bool = True) -> DataFrame:
+    """Complete runs as their manifests appear under ``root``, one per file or one per line."""
     docs = (
         spark.readStream.schema(schemas.MANIFEST)
-        .option("multiLine", True)
+        .option("multiLine", one_per_file)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.json")
         .json(root)
