@@ -12,9 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import by_rep, frame, lists, replace_column
+
 MAX_PARAMETERS = 50_000_000  # doubles in one broadcast, 400 MB
 EDGE_GAP = 1e-8  # quantile edges closer than this are one edge
 
@@ -77,6 +80,13 @@ def minmax_fit_train(split: DataFrame, low: float = 0.05, high: float = 1.52) ->
 # ---- PCA ---------------------------------------------------------------------
 
 
+def add_list(df: DataFrame, name: str, kind: str, task) -> DataFrame:
+    """Rows with the array column ``name`` set by an Arrow batch function; all else passes through."""
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != name]
+    ordered = df.select(*[f.name for f in df.schema.fields if f.name != name], *([name] if name in df.columns else []))
+    return ordered.mapInArrow(task, ", ".join([*fields, f"`{name}` {kind}"]))
+
+
 @dataclass(frozen=True)
 class PcaModel:
     """Fitted projections, one per repeat, small enough for the driver and a broadcast."""
@@ -94,18 +104,15 @@ class PcaModel:
             {r: (self.mean[r], self.components[r] / self.std[r]) for r in self.mean}
         )
 
-        def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for rep, part in pdf.groupby("rep", sort=False):
-                    mean, weights = state.value[int(rep)]
-                    x = np.stack(part["features"].to_numpy()).astype(float)
-                    yield part.assign(features=list((x - mean) @ weights.T))
+        def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = np.empty((batch.num_rows, self.k))
+                for rep, at, x in by_rep(batch):
+                    mean, weights = state.value[rep]
+                    out[at] = (x - mean) @ weights.T
+                yield replace_column(batch, "features", lists(out))
 
-        kept = [f for f in df.schema.fields if f.name != "features"]
-        names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-        ordered = df.select(*[f.name for f in kept], "features")
-        out = ordered.mapInPandas(project, f"{names}, features array<double>")
-        return out.withColumn("transform_fit", F.lit(self.transform_fit))
+        return add_list(df, "features", "array<double>", project).withColumn("transform_fit", F.lit(self.transform_fit))
 
 
 def gram_train(rows: DataFrame, centre: DataFrame) -> DataFrame:
@@ -121,35 +128,34 @@ def gram_train(rows: DataFrame, centre: DataFrame) -> DataFrame:
     shift = np.array([r["c"] for r in centre.orderBy("f").collect()], dtype=float)
     shared = rows.sparkSession.sparkContext.broadcast(shift)
 
-    def emit(rep: int, n: int, sums: np.ndarray, gram: np.ndarray) -> pd.DataFrame:
-        i, j = np.triu_indices(len(sums))
-        return pd.DataFrame(
-            {
-                "rep": rep,
-                "i": np.concatenate([i, np.arange(len(sums)), [-1]]),
-                "j": np.concatenate([j, np.full(len(sums), -1), [-1]]),
-                "s": np.concatenate([gram[i, j], sums, [float(n)]]),
-            }
+    def emit(rep: int, n: int, sums: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
+        i, j = np.triu_indices(d)
+        edge = np.full(d, -1)
+        return frame(
+            rep=np.int32(rep),
+            i=np.concatenate([i, np.arange(d), [-1]]).astype(np.int32),
+            j=np.concatenate([j, edge, [-1]]).astype(np.int32),
+            s=np.concatenate([gram[i, j], sums, [float(n)]]),
         )
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows arrive ordered by repeat, so one matrix is held at a time
         rep, n, sums, gram = None, 0, None, None
-        for pdf in batches:
-            for this, part in pdf.groupby("rep", sort=True):
-                x = np.stack(part["features"].to_numpy()).astype(float) - shared.value
+        for batch in batches:
+            for this, _, x in by_rep(batch):
                 if this != rep:
                     if rep is not None:
                         yield emit(rep, n, sums, gram)
-                    rep, n, sums, gram = int(this), 0, np.zeros(d), np.zeros((d, d))
-                n, sums, gram = n + len(x), sums + x.sum(0), gram + x.T @ x
+                    rep, n, sums, gram = this, 0, np.zeros(d), np.zeros((d, d))
+                y = x - shared.value
+                n, sums, gram = n + len(y), sums + y.sum(0), gram + y.T @ y
         if rep is not None:
             yield emit(rep, n, sums, gram)
 
     cells = (
         rows.select("rep", "features")
         .sortWithinPartitions("rep")
-        .mapInPandas(partial, "rep int, i int, j int, s double")
+        .mapInArrow(partial, "rep int, i int, j int, s double")
     )
     return cells.groupBy("rep", "i", "j").agg(F.sum("s").alias("s"))
 
@@ -227,52 +233,87 @@ def refuse_transductive(df: DataFrame) -> DataFrame:
 # ---- quantile bins -----------------------------------------------------------
 
 
-def quantile_edges(train: DataFrame, bins: int, exact: bool = True, accuracy: int = 10000) -> DataFrame:
-    """(rep, f, edges): bins + 1 quantiles by linear interpolation, on (rep, f, x) rows.
+def _bounds(train: DataFrame, probs: list[float], accuracy: int) -> list[np.ndarray]:
+    """Per feature, values that enclose each wanted quantile; a proposal that need not be accurate."""
+    slack = 2.0 / accuracy
+    around = sorted({min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)})
+    sketch = F.percentile_approx("x", around, accuracy)
+    rows = long_features(train.select("features")).groupBy("f").agg(sketch.alias("b")).collect()
+    out = {r["f"]: np.unique(r["b"]) for r in rows}
+    return [out[f] for f in range(len(out))]
+
 
-    Exact without sorting a feature in one task: a sketch proposes narrow value
-    brackets around the wanted positions, counts per bracket are exact, and only
-    values of brackets that hold a wanted position are ranked, equal values
-    collapsed first. A poor sketch costs time, never correctness.
+def _placed(batches: Iterator[pa.RecordBatch], bounds: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(rep, f, values, bracket of each value) of every batch."""
+    for batch in batches:
+        for rep, _, x in by_rep(batch):
+            for f, b in enumerate(bounds):
+                yield rep, f, x[:, f], np.searchsorted(b, x[:, f], side="right")
+
+
+def quantile_edges(train: DataFrame, bins: int, exact: bool = True, accuracy: int = 2000) -> DataFrame:
+    """(rep, f, edges): bins + 1 quantiles by linear interpolation, from (rep, features) rows.
+
+    Exact without sorting a feature in one task, in three scans. A sketch proposes
+    narrow brackets around the wanted positions; rows per bracket are counted; and
+    only values of brackets that hold a wanted position are shuffled and ranked,
+    equal values collapsed first. A poor sketch costs time, never correctness. What
+    passes through the driver is features x (2 bins + 2) bounds and as many counts per repeat.
     """
     probs = [i / bins for i in range(bins + 1)]
     keys = ["rep", "f"]
     if not exact:
         q = F.percentile_approx("x", probs, accuracy)
-        return train.groupBy(*keys).agg(q.alias("edges"))
-    slack = 2.0 / accuracy
-    around = sorted({min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)})
-    bounds = train.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("x", around, accuracy)).alias("_bounds"), F.count("x").alias("_n")
-    )
-    placed = train.join(F.broadcast(bounds), keys).withColumn(
-        "_b", F.size(F.filter("_bounds", lambda b: b <= F.col("x")))
-    )
-    slots = placed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_b")
-    slots = slots.withColumn("_below", F.sum("_c").over(w) - F.col("_c"))
-    position = F.transform(F.array(*[F.lit(p) for p in probs]), lambda p: p * (F.col("_n") - 1))
-    spots = F.array_sort(F.array_distinct(F.concat(F.transform(position, lambda v: F.floor(v)), F.transform(position, lambda v: F.ceil(v)))))
-    inside = F.filter(spots, lambda s: (s >= F.col("_below")) & (s < F.col("_below") + F.col("_c")))
-    wanted = slots.withColumn("_spots", inside).where(F.size("_spots") > 0).select(*keys, "_b", "_below", "_spots", "_n")
-    # at most 2 (bins + 1) rows per feature and repeat
-    values = placed.drop("_n", "_bounds").join(F.broadcast(wanted), [*keys, "_b"])
-    values = values.groupBy(*keys, "_b", "x").agg(
-        F.count(F.lit(1)).alias("_c"), F.first("_below").alias("_below"), F.first("_spots").alias("_spots"), F.first("_n").alias("_n")
-    )
-    order = Window.partitionBy(*keys, "_b").orderBy("x")
-    values = values.withColumn("_last", F.col("_below") + F.sum("_c").over(order)).withColumn(
-        "_hit", F.filter("_spots", lambda s: (s < F.col("_last")) & (s >= F.col("_last") - F.col("_c")))
+        return long_features(train, "rep").groupBy(*keys).agg(q.alias("edges"))
+    spark = train.sparkSession
+    rows = train.select("rep", "features")
+    shared = spark.sparkContext.broadcast(_bounds(rows, probs, accuracy))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for rep, f, _, at in _placed(batches, shared.value):
+            hits = np.bincount(at, minlength=len(shared.value[f]) + 1)
+            total[rep, f] = total[rep, f] + hits if (rep, f) in total else hits
+        for (rep, f), hits in total.items():
+            yield frame(rep=np.int32(rep), f=np.int32(f), b=np.arange(len(hits), dtype=np.int32), c=hits)
+
+    counts = rows.mapInArrow(count, "rep int, f int, b int, c bigint")
+    counts = counts.groupBy(*keys, "b").agg(F.sum("c").alias("c")).toPandas()
+    wanted: dict[tuple[int, int], dict[int, tuple[int, list[int], int]]] = {}
+    for (rep, f), part in counts.sort_values("b").groupby(keys):
+        b, c = part["b"].to_numpy(), part["c"].to_numpy()
+        last, n = c.cumsum(), int(c.sum())
+        spots = sorted({int(g(p * (n - 1))) for p in probs for g in (np.floor, np.ceil)})
+        home = wanted.setdefault((int(rep), int(f)), {})
+        for spot in spots:
+            i = int(np.searchsorted(last, spot, side="right"))
+            home.setdefault(int(b[i]), (int(last[i] - c[i]), [], n))[1].append(spot)
+    plan = spark.createDataFrame(
+        [(r, f, b, below, spots, n) for (r, f), home in wanted.items() for b, (below, spots, n) in home.items()],
+        "rep int, f int, b int, below bigint, spots array<bigint>, n bigint",
     )
+    targets = spark.sparkContext.broadcast({k: np.array(sorted(v)) for k, v in wanted.items()})
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rep, f, x, at in _placed(batches, shared.value):
+            inside = np.isin(at, targets.value[rep, f])
+            values, first, c = np.unique(x[inside], return_index=True, return_counts=True)
+            yield frame(rep=np.int32(rep), f=np.int32(f), b=at[inside][first].astype(np.int32), x=values, c=c)
+
+    values = rows.mapInArrow(pick, "rep int, f int, b int, x double, c bigint")
+    values = values.groupBy(*keys, "b", "x").agg(F.sum("c").alias("c")).join(F.broadcast(plan), [*keys, "b"])
+    order = Window.partitionBy(*keys, "b").orderBy("x")
+    values = values.withColumn("last", F.col("below") + F.sum("c").over(order))
+    hit = F.filter("spots", lambda s: (s < F.col("last")) & (s >= F.col("last") - F.col("c")))
     found = (
-        values.select(*keys, "_n", "x", F.explode("_hit").alias("_spot"))
+        values.select(*keys, "n", "x", F.explode(hit).alias("spot"))
         .groupBy(*keys)
-        .agg(F.first("_n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_spot", "x"))).alias("_at"))
+        .agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("spot", "x"))).alias("at"))
     )
 
     def edge(p):
-        pos = p * (F.col("_n") - 1)
-        low, high = F.col("_at")[F.floor(pos)], F.col("_at")[F.ceil(pos)]
+        pos = p * (F.col("n") - 1)
+        low, high = F.col("at")[F.floor(pos)], F.col("at")[F.ceil(pos)]
         return low + (high - low) * (pos - F.floor(pos))
 
     return found.select(*keys, F.transform(F.array(*[F.lit(p) for p in probs]), edge).alias("edges"))
@@ -288,7 +329,23 @@ def inner_cuts(edges: DataFrame) -> DataFrame:
 def quantile_bins(split: DataFrame, bins: int = 16, exact: bool = True) -> DataFrame:
     """Rows with ``codes``: per feature the number of train-fitted inner cuts <= value."""
     split = refuse_transductive(split)
-    edges = quantile_edges(long_features(train_rows(split), "rep"), bins, exact)
-    arrays = per_rep_arrays(inner_cuts(edges), "cuts")
-    codes = F.transform("features", lambda x, i: F.size(F.filter(F.col("cuts")[i], lambda c: c <= x)))
-    return split.join(F.broadcast(arrays), "rep").withColumn("codes", codes).drop("cuts")
+    fitted = inner_cuts(quantile_edges(train_rows(split), bins, exact)).collect()
+    if len(fitted) * bins > MAX_PARAMETERS:
+        raise ValueError("cuts of all repeats are too large for one broadcast; bin fewer repeats at a time")
+    cuts: dict[int, dict[int, np.ndarray]] = {}
+    for r in fitted:
+        cuts.setdefault(r["rep"], {})[r["f"]] = np.array(r["cuts"], dtype=float)
+    shared = split.sparkSession.sparkContext.broadcast(cuts)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = None
+            for rep, at, x in by_rep(batch):
+                own = shared.value[rep]
+                out = np.empty((batch.num_rows, x.shape[1]), dtype=np.int32) if out is None else out
+                for f in range(x.shape[1]):
+                    out[at, f] = np.searchsorted(own[f], x[:, f], side="right")
+            if out is not None:
+                yield replace_column(batch, "codes", lists(out))
+
+    return add_list(split, "codes", "array<int>", code)

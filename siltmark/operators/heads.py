@@ -12,11 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import by_rep, lists, matrix, replace_column
 from ..functions.columns import seeded_hash
-from .features import MAX_PARAMETERS, refuse_transductive, train_rows
+from .features import MAX_PARAMETERS, add_list, refuse_transductive, train_rows
 from .splits import balanced_weights, cap_rows
 
 HEADS = ("rbf_svm", "rbf_svm_tuned", "linear_svm")
@@ -77,14 +79,14 @@ class HeadModels:
     models: DataFrame
 
     def predict(self, split: DataFrame) -> DataFrame:
-        """(rep, arm, clf, item_id, grp, y_true, y_pred, predict_seconds) for the held-out rows."""
+        """(rep, item_id, grp, y_true, arm, clf, y_pred, predict_seconds) for the held-out rows."""
         rows = [r.asDict() for r in self.models.collect()]
         if sum(len(r["support"]) + len(r["coef"]) for r in rows) > MAX_PARAMETERS:
             raise ValueError("models of all repeats are too large for one broadcast; predict fewer repeats at a time")
-        by_rep: dict[int, list[dict]] = {}
+        held: dict[int, list[dict]] = {}
         for r in rows:
             d = len(r["selected"])
-            by_rep.setdefault(r["rep"], []).append(
+            held.setdefault(r["rep"], []).append(
                 {
                     "key": (r["arm"], r["clf"]),
                     "idx": np.array(r["selected"], dtype=int),
@@ -94,30 +96,29 @@ class HeadModels:
                     "classes": np.array(r["classes"], dtype=object),
                 }
             )
-        shared = split.sparkSession.sparkContext.broadcast(by_rep)
+        shared = split.sparkSession.sparkContext.broadcast(held)
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for rep, part in pdf.groupby("rep", sort=False):
-                    x = np.stack(part["features"].to_numpy()).astype(float)
-                    for m in shared.value.get(int(rep), []):
+        names = ["rep", "item_id", "grp", "y_true", "arm", "clf", "y_pred", "predict_seconds"]
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rep, at, x in by_rep(batch):
+                    ids = batch.select(names[:4]).take(pa.array(at))
+                    for m in shared.value.get(rep, []):
                         start = time.perf_counter()
                         decision = _kernel(x[:, m["idx"]], m["support"], m["gamma"]) @ m["coef"]
                         guess = m["classes"][decision.argmax(1)]
-                        spent = time.perf_counter() - start
-                        out = part[["rep", "item_id", "grp", "y_true"]].copy()
-                        out["arm"], out["clf"] = m["key"]
-                        out["y_pred"], out["predict_seconds"] = guess, spent / len(out)
-                        yield out[["rep", "arm", "clf", "item_id", "grp", "y_true", "y_pred", "predict_seconds"]]
+                        spent = (time.perf_counter() - start) / len(at)
+                        more = [pa.array([v] * len(at)) for v in m["key"]]
+                        more += [pa.array(guess, pa.string()), pa.array(np.full(len(at), spent))]
+                        yield pa.RecordBatch.from_arrays([*ids.columns, *more], names=names)
 
         test = split.where("is_test").select(
             "rep", F.col("row_id").cast("string").alias("item_id"), F.col("grp").cast("string").alias("grp"),
             F.col("label").alias("y_true"), "features",
         )
-        schema = (
-            "rep int, arm string, clf string, item_id string, grp string, y_true string, y_pred string, predict_seconds double"
-        )
-        return test.mapInPandas(score, schema)
+        schema = "rep int, item_id string, grp string, y_true string, arm string, clf string, y_pred string, predict_seconds double"
+        return test.mapInArrow(score, schema)
 
 
 def fit_heads(
@@ -176,17 +177,15 @@ def fit_heads(
 def fourier_features(df: DataFrame, width: int, gamma: float, out: int = 256, seed: int = 42) -> DataFrame:
     """Features replaced by ``out`` seeded random Fourier features of the RBF kernel with this gamma."""
 
-    def lift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
         weights = rng.normal(0.0, np.sqrt(2.0 * gamma), (width, out))
         shift = rng.uniform(0.0, 2.0 * np.pi, out)
-        for pdf in batches:
-            x = np.stack(pdf["features"].to_numpy()).astype(float)
-            yield pdf.assign(features=list(np.sqrt(2.0 / out) * np.cos(x @ weights + shift)))
+        for batch in batches:
+            x = matrix(batch.column("features"))
+            yield replace_column(batch, "features", lists(np.sqrt(2.0 / out) * np.cos(x @ weights + shift)))
 
-    kept = [f for f in df.schema.fields if f.name != "features"]
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return df.select(*[f.name for f in kept], "features").mapInPandas(lift, f"{names}, features array<double>")
+    return add_list(df, "features", "array<double>", lift)
 
 
 def weighted_rows(split: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import by_rep, frame
+
 
 def _xlogx(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
@@ -44,22 +46,24 @@ def pair_cells(binned: DataFrame, bins: int) -> DataFrame:
     is bounded by features^2 / 2 x bins^2 cells per task and repeat.
     """
 
-    def emit(rep: int, table: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+    def emit(rep: int, table: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for fi, counts in table.items():
             at = np.flatnonzero(counts)
             fj, rest = np.divmod(at, bins * bins)
             bi, bj = np.divmod(rest, bins)
-            yield pd.DataFrame({"rep": rep, "fi": fi, "fj": fj + fi, "bi": bi, "bj": bj, "c": counts[at]})
+            small = [a.astype(np.int32) for a in (fj + fi, bi, bj)]
+            yield frame(rep=np.int32(rep), fi=np.int32(fi), fj=small[0], bi=small[1], bj=small[2], c=counts[at])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows arrive ordered by repeat, so the table of one repeat is held at a time
         rep, table = None, {}
-        for pdf in batches:
-            for this, part in pdf.groupby("rep", sort=True):
+        for batch in batches:
+            for this, _, x in by_rep(batch, "codes"):
                 if this != rep:
                     if rep is not None:
                         yield from emit(rep, table)
-                    rep, table = int(this), {}
-                codes = np.stack(part["codes"].to_numpy()).astype(np.int64)
+                    rep, table = this, {}
+                codes = x.astype(np.int64)
                 d = codes.shape[1]
                 for fi in range(d):
                     offset = np.arange(d - fi) * bins * bins
@@ -72,7 +76,7 @@ def pair_cells(binned: DataFrame, bins: int) -> DataFrame:
     local = (
         binned.select("rep", "codes")
         .sortWithinPartitions("rep")
-        .mapInPandas(count, "rep int, fi int, fj int, bi int, bj int, c bigint")
+        .mapInArrow(count, "rep int, fi int, fj int, bi int, bj int, c bigint")
     )
     return local.groupBy("rep", "fi", "fj", "bi", "bj").agg(F.sum("c").alias("c"))
 

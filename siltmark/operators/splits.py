@@ -38,10 +38,14 @@ def group_split(
     """Every row once per repeat with ``rep`` and ``is_test``; no group is on both sides."""
     if not 0 < fraction < 1:
         raise ValueError("fraction must be inside (0, 1)")
-    cut = split_cutoffs(df, group, reps, fraction, seed).select("rep", "cutoff")
-    rows = fan_out(df, reps).join(F.broadcast(cut), "rep", "left")
-    side = seeded_hash(F.col("rep") + F.lit(seed), F.col(group)) <= F.col("cutoff")
-    return rows.withColumn("is_test", F.coalesce(side, F.lit(False))).drop("cutoff")
+    # one hash per repeat: computed once, then part of the plan, so that using the split needs no join
+    cutoffs = {r["rep"]: r["cutoff"] for r in split_cutoffs(df, group, reps, fraction, seed).collect()}
+    copies = F.array(
+        *[F.struct(F.lit(int(r)).alias("rep"), F.lit(cutoffs.get(r, "")).alias("_cutoff")) for r in reps]
+    )
+    rows = df.withColumn("_copy", F.explode(copies)).select(*df.columns, "_copy.rep", "_copy._cutoff")
+    side = seeded_hash(F.col("rep") + F.lit(seed), F.col(group)) <= F.col("_cutoff")
+    return rows.withColumn("is_test", F.coalesce(side, F.lit(False))).drop("_cutoff")
 
 
 def cap_rows(df: DataFrame, n: int, seed: int, row_id: str = "row_id", by: str = "rep") -> DataFrame:

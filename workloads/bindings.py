@@ -49,7 +49,7 @@ def items(spark, sf) -> DataFrame:
     prefix = F.when(u % 37 == 0, "scan_").otherwise("batch_")
     stem = _text(prefix, u % 12 + 1, "_", F.lpad(u.cast("string"), 6, "0"))
     path = _text("crops/", F.col("event_type"), "/", stem, "_ann", F.col("event_id"), ".jpg")
-    rows = table(spark, sf, "events").select("event_id", "user_id", "ts", F.col("event_type").alias("class"), path.alias("item_id"))
+    rows = spread(table(spark, sf, "events"), "event_id").select("event_id", "user_id", "ts", F.col("event_type").alias("class"), path.alias("item_id"))
     return rows.withColumn("grp", fx.group_key("item_id")).withColumn("zone", fx.zone_of("item_id"))
 
 
@@ -98,7 +98,7 @@ def vector_split(spark, sf) -> DataFrame:
 def order_lines(spark, sf) -> DataFrame:
     """lineitem as four wide numeric features, grouped by order."""
     numbers = F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem"), "l_orderkey").select(
         F.col("l_orderkey").alias("grp"), F.col("l_returnflag").alias("label"), numbers.alias("features")
     )
 

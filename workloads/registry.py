@@ -457,8 +457,7 @@ def minmax_fit_train(spark, sf):
 
 @query
 def quantile_edges(spark, sf):
-    train = features.long_features(features.train_rows(b.line_split(spark, sf)), "rep")
-    out = features.quantile_edges(train, 16).select("rep", "f", F.posexplode("edges").alias("i", "edge"))
+    out = features.quantile_edges(features.train_rows(b.line_split(spark, sf)), 16).select("rep", "f", F.posexplode("edges").alias("i", "edge"))
     return rounded(out, "edge")
 
 
