@@ -143,8 +143,9 @@ def wilson(successes: ColumnOrName, n: ColumnOrName, z: float = 1.96) -> tuple[C
     scale = 1 + z * z / nn
     centre = p + z * z / (2 * nn)
     spread = z * F.sqrt((p * (1 - p) + z * z / (4 * nn)) / nn)
-    low = F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (centre - spread) / scale))
-    high = F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), (centre + spread) / scale))
+    none = (n == 0) & (s == 0)
+    low = F.when(none, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (centre - spread) / scale))
+    high = F.when(none, F.lit(1.0)).otherwise(F.least(F.lit(1.0), (centre + spread) / scale))
     return low, high
 
 

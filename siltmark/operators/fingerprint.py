@@ -111,6 +111,14 @@ def artifact_inventory(spark: SparkSession, path: str, pattern: str = "rep*_*.js
     return files.select(name.alias("artifact"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
+def table_inventory(spark: SparkSession, folder: str, tables: Sequence[str]) -> DataFrame:
+    """(artifact, sha256, bytes) of all part files of the named tables, by their path inside the folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{folder}/{t}" for t in tables])
+    run = folder.rstrip("/").rsplit("/", 1)[-1]
+    inside = F.substring_index("path", f"/{run}/", -1)
+    return files.select(inside.alias("artifact"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+
+
 def verify_artifacts(recorded: DataFrame, actual: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
     """(by, artifact, problem): recorded files that are missing or differ, and files nobody recorded."""
     keys = [*by, "artifact"]

@@ -104,10 +104,10 @@ def store_experiment(vectors: DataFrame, cfg: ExperimentConfig, root: str, run_i
     facts = {"seed": cfg.seed, "classes": list(cfg.classes), "arms": list(cfg.arms)}
     with writers.run_context(spark, root, run_id, **facts) as run:
         out = run_experiment(vectors, cfg, **options)
-        writers.write_predictions(positioned(out.predictions, run_id), f"{run.path}/predictions")
-        writers.write_results(out.results.withColumn("run_id", F.lit(run_id)), f"{run.path}/results")
-        writers.write_table(out.summary, f"{run.path}/summary")
-        writers.write_table(out.significance, f"{run.path}/significance")
+        writers.write_predictions(positioned(out.predictions, run_id), run.table("predictions"))
+        writers.write_results(out.results.withColumn("run_id", F.lit(run_id)), run.table("results"))
+        writers.write_table(out.summary, run.table("summary"))
+        writers.write_table(out.significance, run.table("significance"))
         overlap = splits.group_overlap(out.split).count()
         run.manifest.update(reps_completed=cfg.n_repeats, group_overlap_events=overlap)
     return out

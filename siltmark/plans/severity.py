@@ -54,24 +54,37 @@ def predictions_for(
     if not run["reps_completed"]:
         raise ProvenanceError(f"run {run['run_id']!r} has no completed repeats")
     folder = f"{root}/{run['run_id']}"
-    recorded = run_source.recorded_artifacts(catalog.where(F.col("run_id") == run["run_id"]))
-    actual = fingerprint.artifact_inventory(spark, folder).withColumn("run_id", F.lit(run["run_id"]))
-    expected = spark.createDataFrame(
-        [(run["run_id"], f"rep{r}_{arm}.json") for r in range(run["reps_completed"])], "run_id string, artifact string"
-    )
-    keys = ["run_id", "artifact"]
-    unlisted = expected.join(recorded, keys, "left_anti").select(*keys, F.lit("unrecorded").alias("problem"))
-    faults = fingerprint.verify_artifacts(recorded, actual).join(expected, keys, "left_semi").unionByName(unlisted)
+    pred, faults = _from_tables(spark, folder, run) if run["tables"] else _from_documents(spark, folder, run, arm)
     bad = faults.limit(5).collect()
     if bad:
         raise ProvenanceError("; ".join(f"{r['artifact']}: {r['problem']}" for r in bad))
-    pred = run_source.read_predictions(spark, folder).where((F.col("arm") == arm) & (F.col("clf") == clf))
+    pred = pred.where((F.col("arm") == arm) & (F.col("clf") == clf))
     problems = validate.prediction_report(pred).limit(5).collect()
     if problems:
         raise ProvenanceError("; ".join(f"{r['code']} {r['path']}: {r['message']}" for r in problems))
     return pred
 
 
+def _from_documents(spark: SparkSession, folder: str, run, arm: str) -> tuple[DataFrame, DataFrame]:
+    """(predictions, faults) of a run stored as one document per repeat and arm."""
+    listed = [(k, v["sha256"]) for k, v in (run["artifacts"] or {}).items()]
+    recorded = spark.createDataFrame(listed, "artifact string, sha256 string")
+    names = [(f"rep{r}_{arm}.json",) for r in range(run["reps_completed"])]
+    expected = spark.createDataFrame(names, "artifact string")
+    actual = fingerprint.artifact_inventory(spark, folder)
+    unlisted = expected.join(recorded, "artifact", "left_anti").select("artifact", F.lit("unrecorded").alias("problem"))
+    faults = fingerprint.verify_artifacts(recorded, actual, by=()).join(expected, "artifact", "left_semi")
+    return run_source.read_predictions(spark, folder), faults.unionByName(unlisted)
+
+
+def _from_tables(spark: SparkSession, folder: str, run) -> tuple[DataFrame, DataFrame]:
+    """(predictions, faults) of a run stored as partitioned tables with a table of hashes."""
+    recorded = spark.read.parquet(f"{folder}/{run_source.ARTIFACT_TABLE}")
+    actual = fingerprint.table_inventory(spark, folder, run["tables"])
+    pred = run_source.read_prediction_table(spark, f"{folder}/predictions")
+    return pred, fingerprint.verify_artifacts(recorded, actual, by=())
+
+
 def city_report(table: DataFrame, weights: Mapping[str, float] = HAZARD_WEIGHTS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(figures, weighted agreement, composition) of a zone table."""
     return zones.kpis(table), zones.weighted_agreement(table), zones.composition(table, list(weights))

@@ -30,7 +30,7 @@ PREDICTION = (
 MANIFEST = (
     "schema_version int, run_id string, status string, started_at string, finished_at string, config_sha256 string, "
     "seed bigint, classes array<string>, arms array<string>, reps_completed int, group_overlap_events int, "
-    "artifacts map<string, struct<sha256: string, bytes: bigint>>"
+    "artifacts map<string, struct<sha256: string, bytes: bigint>>, tables array<string>"
 )
 
 SPLIT_COLUMNS = ("rep", "row_id", "grp", "label", "is_test", "features")

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from ..operators.fingerprint import artifact_inventory
+from ..operators.fingerprint import table_inventory
 from ..operators.golden import append_new
-from ..sources.runs import MANIFEST_NAME
+from ..sources.runs import ARTIFACT_TABLE, MANIFEST_NAME
 
 
 def write_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> None:
@@ -79,11 +79,18 @@ class RunContext:
     root: str
     run_id: str
     manifest: dict = field(default_factory=dict)
+    tables: list[str] = field(default_factory=list)
 
     @property
     def path(self) -> str:
         return f"{self.root}/{self.run_id}"
 
+    def table(self, name: str) -> str:
+        """Path of a table of this run, which becomes part of the record."""
+        if name not in self.tables:
+            self.tables.append(name)
+        return f"{self.path}/{name}"
+
     def save(self, status: str, **more) -> None:
         self.manifest.update(status=status, **more)
         row = json.dumps(self.manifest, sort_keys=True)
@@ -99,7 +106,7 @@ def _now() -> str:
 def run_context(spark: SparkSession, root: str, run_id: str, **facts) -> Iterator[RunContext]:
     """Manifest ``running`` at the start, ``complete`` after the block, ``failed`` when it raises.
 
-    The final manifest lists every artifact document in the folder with its hash.
+    Before that the hashes of all files of ``run.tables`` are stored beside them.
     """
     if _unsafe_name(run_id):
         raise ValueError(f"unsafe run id {run_id!r}")
@@ -110,15 +117,11 @@ def run_context(spark: SparkSession, root: str, run_id: str, **facts) -> Iterato
     except BaseException:
         run.save("failed", finished_at=_now())
         raise
-    listed = {
-        r["artifact"]: {"sha256": r["sha256"], "bytes": r["bytes"]}
-        for r in _documents(run).collect()  # one small row per stored document
-    }
-    run.save("complete", finished_at=_now(), artifacts=listed)
-
-
-def _documents(run: RunContext) -> DataFrame:
-    return artifact_inventory(run.spark, f"{run.path}/documents*", "rep*_*.json")
+    if run.tables:
+        # hashes of the part files are a table of their own; the manifest only names the tables
+        listed = table_inventory(spark, run.path, run.tables)
+        listed.write.mode("overwrite").parquet(f"{run.path}/{ARTIFACT_TABLE}")
+    run.save("complete", finished_at=_now(), tables=run.tables)
 
 
 def _unsafe_name(name: str) -> bool:

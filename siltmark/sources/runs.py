@@ -9,6 +9,7 @@ from .. import schemas
 from ..functions import columns as fx
 
 MANIFEST_NAME = "run_manifest.json"
+ARTIFACT_TABLE = "artifacts"
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
@@ -78,7 +79,7 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
         # a run without a usable time of its own is as old as its newest file
         F.coalesce(finished, F.when(fx.iso_timestamp("started_at").isNull(), F.col("_mtime"))).alias("finished_at"),
         F.coalesce("reps_completed", F.lit(0)).alias("reps_completed"),
-        "arms", "classes", "seed", "group_overlap_events", "artifacts", "size_bytes",
+        "arms", "classes", "seed", "group_overlap_events", "artifacts", "tables", "size_bytes",
     )
 
 
