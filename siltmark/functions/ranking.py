@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .joins import small
 
 
 def hash_cutoffs(df: DataFrame, keys: Sequence[str], hashed: str, n: Column) -> DataFrame:
@@ -30,7 +31,8 @@ def hash_cutoffs(df: DataFrame, keys: Sequence[str], hashed: str, n: Column) ->
     wanted = F.least(F.col("n"), F.col("total"))
     hit = ranked.where((F.col("_below") < wanted) & (wanted <= F.col("_below") + F.col("_c")))
     hit = hit.select(*keys, "_p", "total", "n", (wanted - F.col("_below")).alias("_need"))
-    inside = prefixed.join(F.broadcast(hit), [*keys, "_p"])
+    # one row per key: broadcast where the keys are repeats, of which there are at most a hundred
+    inside = prefixed.join(F.broadcast(hit) if keys == ["rep"] else small(hit), [*keys, "_p"])
     pos = F.row_number().over(Window.partitionBy(*keys).orderBy("_h"))
     return (
         inside.withColumn("_pos", pos)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.batches import by_rep, lists, matrix, replace_column
 from ..functions.columns import seeded_hash
+from ..functions.joins import small
 from .features import MAX_PARAMETERS, add_list, refuse_transductive, train_rows
 from .splits import balanced_weights, cap_rows
 
@@ -191,7 +192,7 @@ def fourier_features(df: DataFrame, width: int, gamma: float, out: int = 256, se
 def weighted_rows(split: DataFrame) -> DataFrame:
     """Split rows with ``weight``, the balanced weight of their class on the train side (1 for unseen classes)."""
     weights = balanced_weights(train_rows(split)).select("rep", "label", "weight")
-    return split.join(F.broadcast(weights), ["rep", "label"], "left").fillna({"weight": 1.0})
+    return split.join(small(weights), ["rep", "label"], "left").fillna({"weight": 1.0})
 
 
 def linear_head(split: DataFrame, rep: int = 0, reg: float = 0.01, max_iter: int = 50, clf: str = "linear_svm"):

@@ -74,11 +74,13 @@ def confusion(pred: DataFrame, classes: Sequence[str], by: Sequence[str] = ("clf
     """Counts over the full class x class grid; rows with another label are left out."""
     by = list(by)
     names = F.array(*[F.lit(c) for c in classes])
-    inside = pred.where(F.col("y_true").isin(*classes) & F.col("y_pred").isin(*classes))
-    counted = cells(inside, by)
-    keys = cells(pred, by).select(*by).distinct()
-    grid = keys.withColumn("y_true", F.explode(names)).withColumn("y_pred", F.explode(names))
-    return grid.join(counted, [*by, "y_true", "y_pred"], "left").fillna({"n": 0})
+    inside = F.col("y_true").isin(*classes) & F.col("y_pred").isin(*classes)
+    # at most classes^2 entries per key; a key whose rows are all left out keeps an empty map
+    entry = F.when(inside, F.struct(F.struct("y_true", "y_pred").alias("k"), F.col("n").alias("v")))
+    packed = cells(pred, by).groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
+    grid = packed.withColumn("y_true", F.explode(names)).withColumn("y_pred", F.explode(names))
+    found = F.try_element_at("_m", F.struct("y_true", "y_pred"))
+    return grid.select(*by, "y_true", "y_pred", F.coalesce(found, F.lit(0)).alias("n"))
 
 
 def confusion_normalised(pred: DataFrame, classes: Sequence[str], by: Sequence[str] = ("clf",)) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -61,7 +62,8 @@ def select_first(spark, reps: Sequence[int], n: int, k: int) -> DataFrame:
 
 def select_mi(mi: DataFrame, n: int, k: int) -> DataFrame:
     check_budget(k, n)
-    return _arm(top_k(mi, "mi", k), "C_mi")
+    # scores that agree to 12 digits are a tie
+    return _arm(top_k(mi.withColumn("score", F.round("mi", 12)), "score", k), "C_mi")
 
 
 def select_full(spark, reps: Sequence[int], n: int) -> DataFrame:
@@ -215,10 +217,9 @@ def select_lasso(
     """Features ranked by mean |coefficient| of an L1 multinomial model, penalty by group-wise folds.
 
     Every fit is a distributed MLlib job over all train rows of one repeat;
-    ``parallelism`` fits run side by side.
+    ``parallelism`` repeats run side by side, each with as many fits.
     """
     check_budget(k, n)
-    from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.feature import StringIndexer
@@ -231,24 +232,28 @@ def select_lasso(
     train = train.select(
         "rep", "label", array_to_vector("features").alias("vector"), fold.cast("int").alias("fold")
     ).persist()
-    out = []
+
+    def one_repeat(rep: int) -> list[tuple[int, int]]:
+        rows = train.where(F.col("rep") == rep)
+        model = LogisticRegression(
+            featuresCol="vector", labelCol="y", family="multinomial", elasticNetParam=1.0,
+            standardization=False, maxIter=max_iter,
+        )
+        indexed = StringIndexer(inputCol="label", outputCol="y").fit(rows).transform(rows)
+        cv = CrossValidator(
+            estimator=model,
+            estimatorParamMaps=ParamGridBuilder().addGrid(model.regParam, list(regs)).build(),
+            evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy"),
+            numFolds=folds, foldCol="fold", parallelism=parallelism,
+        )
+        weight = np.abs(cv.fit(indexed).bestModel.coefficientMatrix.toArray()).mean(axis=0)
+        return [(rep, int(f)) for f in sorted(np.argsort(-weight, kind="stable")[:k])]
+
     try:
-        for rep in sorted(r["rep"] for r in train.select("rep").distinct().collect()):
-            rows = train.where(F.col("rep") == rep)
-            model = LogisticRegression(
-                featuresCol="vector", labelCol="y", family="multinomial", elasticNetParam=1.0,
-                standardization=False, maxIter=max_iter,
-            )
-            indexed = StringIndexer(inputCol="label", outputCol="y").fit(rows).transform(rows)
-            cv = CrossValidator(
-                estimator=Pipeline(stages=[model]),
-                estimatorParamMaps=ParamGridBuilder().addGrid(model.regParam, list(regs)).build(),
-                evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy"),
-                numFolds=folds, foldCol="fold", parallelism=parallelism,
-            )
-            best = cv.fit(indexed).bestModel.stages[-1]
-            weight = np.abs(best.coefficientMatrix.toArray()).mean(axis=0)
-            out += [(int(rep), int(f)) for f in sorted(np.argsort(-weight, kind="stable")[:k])]
+        reps = sorted(int(r["rep"]) for r in train.select("rep").distinct().collect())
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
+            # the threads only submit jobs; the fits run on the executors
+            out = [row for rows in pool.map(one_repeat, reps) for row in rows]
     finally:
         train.unpersist()
     return _arm(spark.createDataFrame(out, "rep int, f int"), "E_lasso")

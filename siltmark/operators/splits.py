@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import seeded_hash
+from ..functions.joins import small
 from ..functions.ranking import hash_cutoffs
 
 
@@ -52,7 +53,7 @@ def cap_rows(df: DataFrame, n: int, seed: int, row_id: str = "row_id", by: str =
     """At most n rows per repeat, chosen by a seeded hash of the id alone, so blind to the label."""
     hashed = df.withColumn("_hash", seeded_hash(F.col(by) + F.lit(seed), F.col(row_id)))
     cut = hash_cutoffs(hashed, [by], "_hash", F.lit(n)).select(by, "cutoff")
-    return hashed.join(F.broadcast(cut), by).where(F.col("_hash") <= F.col("cutoff")).drop("_hash", "cutoff")
+    return hashed.join(small(cut), by).where(F.col("_hash") <= F.col("cutoff")).drop("_hash", "cutoff")
 
 
 def cap_rows_stratified(
@@ -71,12 +72,12 @@ def cap_rows_stratified(
         .when(F.col("_classes") * 2 > n, F.raise_error(F.lit("row cap is under twice the number of classes")).cast("string"))
         .otherwise(F.col("cutoff")),
     ).select(by, label, "_second", "_classes")
-    marked = hashed.join(F.broadcast(pair), [by, label]).withColumn("_must", F.col("_hash") <= F.col("_second"))
+    marked = hashed.join(small(pair), [by, label]).withColumn("_must", F.col("_hash") <= F.col("_second"))
     free = marked.where(~F.col("_must"))
     # the same number of places is left for every row of a repeat
     need = F.lit(n) - 2 * F.col("_classes")
     rest = hash_cutoffs(free, [by, "_classes"], "_hash", need).select(by, "cutoff")
-    chosen = marked.join(F.broadcast(rest), by, "left").where(
+    chosen = marked.join(small(rest), by, "left").where(
         F.col("_must") | (F.col("_hash") <= F.col("cutoff"))
     )
     return chosen.drop("_hash", "_second", "_classes", "_must", "cutoff")

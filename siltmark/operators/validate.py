@@ -46,45 +46,73 @@ def corrupt_records(df: DataFrame, table: str, column: str = "_corrupt_record")
     return finding(df.where(F.col(column).isNotNull()), "json", F.lit(table), F.lit("not a valid JSON object"))
 
 
+Rule = tuple[Column, str, Column, str]  # condition, code, path, message
+
+
+def row_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Findings of any number of per-row rules from one scan of the table."""
+    hits = [
+        F.when(cond, F.struct(F.lit(code).alias("code"), path.cast("string").alias("path"), F.lit(text).alias("message")))
+        for cond, code, path, text in rules
+    ]
+    return df.select(F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull())))
+
+
+def id_rules(table: str, key: str = "id") -> list[Rule]:
+    bad = F.col(key).isNull() | (F.col(key) < 0)
+    return [(bad, "id", _at(table, key), "id must be a nonnegative integer")]
+
+
+def duplicate_ids(df: DataFrame, table: str, key: str = "id") -> DataFrame:
+    twice = df.where(F.col(key) >= 0).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    text = F.concat(F.lit("id occurs "), F.col("n").cast("string"), F.lit(" times"))
+    return finding(twice, "duplicate_id", _at(table, key), text)
+
+
 def ids(df: DataFrame, table: str, key: str = "id") -> DataFrame:
     """Ids are integers >= 0 and unique."""
-    bad = df.where(F.col(key).isNull() | (F.col(key) < 0))
-    twice = df.where(F.col(key) >= 0).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return union_violations(
-        finding(bad, "id", _at(table, key), F.lit("id must be a nonnegative integer")),
-        finding(twice, "duplicate_id", _at(table, key), F.concat(F.lit("id occurs "), F.col("n").cast("string"), F.lit(" times"))),
-    )
+    return union_violations(row_findings(df, id_rules(table, key)), duplicate_ids(df, table, key))
+
+
+def name_rules() -> list[Rule]:
+    blank = F.trim(F.coalesce("name", F.lit(""))) == ""
+    return [(blank, "schema", _at("categories", "id", ".name"), "expected a nonempty string")]
 
 
 def category_names(categories: DataFrame) -> DataFrame:
-    name = F.trim(F.coalesce("name", F.lit("")))
-    blank = categories.where(name == "")
-    twice = categories.where(name != "").groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    named = categories.where(F.trim(F.coalesce("name", F.lit(""))) != "")
+    twice = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return union_violations(
-        finding(blank, "schema", _at("categories", "id", ".name"), F.lit("expected a nonempty string")),
+        row_findings(categories, name_rules()),
         finding(twice, "category", _at("categories", "name"), F.lit("duplicate category name")),
     )
 
 
+def dimension_rules() -> list[Rule]:
+    return [
+        (F.col(d).isNull() | (F.col(d) < 1), "dimension", _at("images", "id", f".{d}"), "expected a positive integer")
+        for d in ("width", "height")
+    ]
+
+
 def dimensions(images: DataFrame) -> DataFrame:
-    return union_violations(
-        *[
-            finding(
-                images.where(F.col(d).isNull() | (F.col(d) < 1)),
-                "dimension", _at("images", "id", f".{d}"), F.lit("expected a positive integer"),
-            )
-            for d in ("width", "height")
-        ]
-    )
+    return row_findings(images, dimension_rules())
+
+
+def file_name_rules(key: str = "id", column: str = "file_name", table: str = "images") -> list[Rule]:
+    return [(fx.is_nonportable_path(column), "path", _at(table, key, f".{column}"), "path is unsafe or not portable")]
+
+
+def duplicate_files(images: DataFrame, column: str = "file_name", table: str = "images") -> DataFrame:
+    good = images.where(~fx.is_nonportable_path(column)).groupBy(fx.portable_key(column).alias("k"))
+    twice = good.agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return finding(twice, "duplicate_path", _at(table, "k"), F.lit("duplicate portable path"))
 
 
 def file_names(images: DataFrame, key: str = "id", column: str = "file_name", table: str = "images") -> DataFrame:
     """Names are portable relative paths and unique when case and separators are ignored."""
-    bad = fx.is_nonportable_path(column)
-    good = images.where(~bad).groupBy(fx.portable_key(column).alias("k")).agg(F.count(F.lit(1)).alias("n"))
     return union_violations(
-        finding(images.where(bad), "path", _at(table, key, f".{column}"), F.lit("path is unsafe or not portable")),
-        finding(good.where("n > 1"), "duplicate_path", _at(table, "k"), F.lit("duplicate portable path")),
+        row_findings(images, file_name_rules(key, column, table)), duplicate_files(images, column, table)
     )
 
 
@@ -106,48 +134,66 @@ def references(annotations: DataFrame, images: DataFrame, categories: DataFrame)
     )
 
 
-def boxes(annotations: DataFrame, images: DataFrame, slack: float = 1e-6) -> DataFrame:
-    """Four finite numbers, origin >= 0, positive extent, inside the annotated image."""
-    finite = F.coalesce(
-        (F.size("bbox") == 4)
-        & F.forall("bbox", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))),
-        F.lit(False),
-    )
-    x, y, w, h = (F.col("bbox")[i] for i in range(4))
-    shaped = annotations.where(finite)
+def _four_numbers() -> Column:
+    plain = F.forall("bbox", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    return F.coalesce((F.size("bbox") == 4) & plain, F.lit(False))
+
+
+def _side(i: int) -> Column:
+    return F.get("bbox", F.lit(i))
+
+
+def box_rules() -> list[Rule]:
+    at, four = _at("annotations", "id"), _four_numbers()
+    bad = (_side(0) < 0) | (_side(1) < 0) | (_side(2) <= 0) | (_side(3) <= 0)
+    return [
+        (~four, "bbox", at, "bbox must contain four finite numbers"),
+        (four & bad, "bbox", at, "bbox needs origin >= 0 and positive extent"),
+    ]
+
+
+def boxes_outside(annotations: DataFrame, images: DataFrame, slack: float = 1e-6) -> DataFrame:
     size = images.select(F.col("id").alias("image_id"), "width", "height").where("width >= 1 and height >= 1")
-    outside = shaped.join(size, "image_id").where(
-        (x + w > F.col("width") + slack) | (y + h > F.col("height") + slack)
-    )
-    at = _at("annotations", "id")
-    return union_violations(
-        finding(annotations.where(~finite), "bbox", at, F.lit("bbox must contain four finite numbers")),
-        finding(shaped.where((x < 0) | (y < 0) | (w <= 0) | (h <= 0)), "bbox", at, F.lit("bbox needs origin >= 0 and positive extent")),
-        finding(outside, "bbox", at, F.lit("bbox exceeds the annotated image")),
-    )
+    over = (_side(0) + _side(2) > F.col("width") + slack) | (_side(1) + _side(3) > F.col("height") + slack)
+    outside = annotations.where(_four_numbers()).join(size, "image_id").where(over)
+    return finding(outside, "bbox", _at("annotations", "id"), F.lit("bbox exceeds the annotated image"))
 
 
-def optional_fields(annotations: DataFrame) -> DataFrame:
+def boxes(annotations: DataFrame, images: DataFrame) -> DataFrame:
+    """Four finite numbers, origin >= 0, positive extent, inside the annotated image."""
+    return union_violations(row_findings(annotations, box_rules()), boxes_outside(annotations, images))
+
+
+def optional_rules() -> list[Rule]:
     area = F.col("area").isNotNull() & (~fx.is_finite("area") | (F.col("area") < 0))
     crowd = F.col("iscrowd").isNotNull() & ~F.col("iscrowd").isin(0, 1)
-    return union_violations(
-        finding(annotations.where(area), "schema", _at("annotations", "id", ".area"), F.lit("expected a finite number >= 0")),
-        finding(annotations.where(crowd), "schema", _at("annotations", "id", ".iscrowd"), F.lit("expected 0 or 1")),
-    )
+    return [
+        (area, "schema", _at("annotations", "id", ".area"), "expected a finite number >= 0"),
+        (crowd, "schema", _at("annotations", "id", ".iscrowd"), "expected 0 or 1"),
+    ]
+
+
+def optional_fields(annotations: DataFrame) -> DataFrame:
+    return row_findings(annotations, optional_rules())
 
 
 def annotation_report(images: DataFrame, categories: DataFrame, annotations: DataFrame) -> DataFrame:
-    """All rules on one annotation set."""
+    """All rules on one annotation set; the per-row rules of a table share one scan."""
     tables = {"images": images, "categories": categories, "annotations": annotations}
+    own = {
+        "images": dimension_rules() + file_name_rules(),
+        "categories": name_rules(),
+        "annotations": box_rules() + optional_rules(),
+    }
+    twice_named = category_names(categories).where("code = 'category'")
     return union_violations(
         *[not_empty(df, name) for name, df in tables.items()],
-        *[ids(df, name) for name, df in tables.items()],
-        category_names(categories),
-        dimensions(images),
-        file_names(images),
+        *[row_findings(df, id_rules(name) + own[name]) for name, df in tables.items()],
+        *[duplicate_ids(df, name) for name, df in tables.items()],
+        twice_named,
+        duplicate_files(images),
         references(annotations, images, categories),
-        boxes(annotations, images),
-        optional_fields(annotations),
+        boxes_outside(annotations, images),
     )
 
 

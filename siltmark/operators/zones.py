@@ -59,8 +59,10 @@ def zone_table_from_cells(
     bands: Sequence[tuple[int, str]] = BANDS,
 ) -> DataFrame:
     zones = _per_zone(cells, weights, clean)
-    # largest weighted cell of all zones: a scalar subquery, so no window over the whole table
-    peak = zones.agg(F.max("_worst").alias("peak")).scalar()
+    # largest weighted cell of all zones: a scalar subquery, so no window over the whole table. It names
+    # the same columns as the table itself, so that both read one shuffle of the cells
+    same = F.struct("_worst", "_agreement_sum", "_agreement_n")
+    peak = zones.agg(F.max(same).getField("_worst").alias("peak")).scalar()
     scale = F.when(peak > 0, peak).otherwise(1.0)
     z = fx.bonferroni_z(len(weights))
 

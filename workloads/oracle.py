@@ -463,7 +463,27 @@ ORACLE["mi_pairs"] = sql("SELECT rep, fi, fj, round(mi, 6) AS mi FROM vec_pair_m
 ORACLE["mi_pairs_order_lines"] = sql("SELECT rep, fi, fj, round(mi, 6) AS mi FROM line_pair_mi")
 ORACLE["select_mi"] = sql("""
   SELECT rep, 'C_mi' AS arm, string_agg(f::VARCHAR, ',' ORDER BY f) AS selected FROM (
-    SELECT rep, f FROM vec_mi QUALIFY row_number() OVER (PARTITION BY rep ORDER BY round(mi, 9) DESC, f) <= 8) GROUP BY rep""")
+    SELECT rep, f FROM vec_mi QUALIFY row_number() OVER (PARTITION BY rep ORDER BY round(mi, 12) DESC, f) <= 8) GROUP BY rep""")
+CTE["prep_train"] = """
+  SELECT rep, row_id, label, features FROM (
+    SELECT *, md5((rep + 9) || ':' || row_id) AS h, row_number() OVER (PARTITION BY rep, label ORDER BY md5((rep + 9) || ':' || row_id)) <= 2 AS must
+    FROM vec_split WHERE NOT is_test) QUALIFY row_number() OVER (PARTITION BY rep ORDER BY must DESC, h) <= 48"""
+CTE["prep_test"] = """
+  SELECT rep, row_id, label, features FROM vec_split WHERE is_test
+  QUALIFY row_number() OVER (PARTITION BY rep ORDER BY md5((rep + 10) || ':' || row_id)) <= 64"""
+CTE["prep_long"] = """
+  SELECT rep, row_id, label, is_test, (i - 1)::INT AS f, features[i] AS x FROM (
+    SELECT *, false AS is_test FROM prep_train UNION ALL SELECT *, true FROM prep_test), (SELECT unnest(range(1, 65)) AS i)"""
+bin_ctes("prep_q", "prep_long", 8)
+CTE["prep_codes"] = "SELECT * FROM prep_q_codes WHERE NOT is_test"
+mi_ctes("prep_mi", "code", "label", "f", "prep_codes")
+CTE["prep_pick"] = "SELECT rep, f, row_number() OVER (PARTITION BY rep ORDER BY round(mi, 12) DESC, f) - 1 AS i FROM prep_mi QUALIFY i < 6"
+ORACLE["prepare_split"] = sql("""
+  SELECT rep, row_id, is_test, i::INT AS i, round(0.05::DOUBLE + (x - lo) * (1.47::DOUBLE / CASE WHEN hi > lo THEN hi - lo ELSE 1 END), 6) + 0 AS x
+  FROM prep_long JOIN prep_pick USING (rep, f) JOIN (SELECT rep, f, min(x) AS lo, max(x) AS hi FROM prep_long WHERE NOT is_test GROUP BY rep, f) USING (rep, f)""")
+ORACLE["prepare_split_record"] = sql("""
+  SELECT rep, string_agg(f::VARCHAR, ',' ORDER BY i) AS selected, (SELECT count(*) FROM prep_train t WHERE t.rep = p.rep)::INT AS n_train,
+    (SELECT count(*) FROM prep_test t WHERE t.rep = p.rep)::INT AS n_test, false AS clipped FROM prep_pick p GROUP BY rep""")
 CTE["hash_pick"] = f"""
   SELECT rep, f FROM (SELECT unnest({b.VECTOR_REPS}) AS rep), (SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS f)
   QUALIFY row_number() OVER (PARTITION BY rep ORDER BY md5((rep + {b.SEED}) || ':' || f)) <= 8"""

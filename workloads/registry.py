@@ -13,7 +13,7 @@ from siltmark.operators import (
     audit, boxes, features, fingerprint, golden, heads, information, metrics, runs, selection,
     significance, splits, taxonomy, validate, votes, zones,
 )
-from siltmark.plans import severity
+from siltmark.plans import prepare, severity
 from siltmark.session import ensure_checkpoint_dir
 from siltmark.sinks import writers
 from siltmark.sources import runs as run_source
@@ -497,8 +497,7 @@ def mi_pairs_order_lines(spark, sf):
 @query
 def select_mi(spark, sf):
     """Top 8 features by information, as index text."""
-    scored = information.mi_label(_binned(spark, sf)).withColumn("mi", F.round("mi", 9))
-    picked = selection.select_mi(scored, 64, 8)
+    picked = selection.select_mi(information.mi_label(_binned(spark, sf)), 64, 8)
     indices = F.array_sort(F.collect_list("f"))
     return picked.groupBy("rep", "arm").agg(fx.join_indices(indices).alias("selected"))
 
@@ -616,6 +615,21 @@ def rbf_head(spark, sf):
     return pred.groupBy("clf", "y_true").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def prepare_split(spark, sf):
+    """Capped, ranked and scaled rows as (rep, row_id, is_test, place in the ranking, value)."""
+    rows, _ = prepare.prepare_split(b.vector_split(spark, sf), 6, seed=9)
+    return rounded(rows.select("rep", "row_id", "is_test", F.posexplode("features").alias("i", "x")), "x")
+
+
+@query
+def prepare_split_record(spark, sf):
+    _, record = prepare.prepare_split(b.vector_split(spark, sf), 6, seed=9)
+    return record.select(
+        "rep", fx.join_indices("selected").alias("selected"), F.size("ids_train").alias("n_train"), F.size("ids_test").alias("n_test"), "clipped"
+    )
+
+
 # ---- annotation sets ------------------------------------------------------------------------
 
 
