@@ -63,7 +63,12 @@ def audit_repeats(
     inventory: file, one row per file. manifests: run_id, reps_completed, arms.
     hash_problems: run_id, rep, arm, one row per artifact that differs from the record.
     """
-    spots = _positions(pred)
+    return _audit_spots(pred, _positions(pred), inventory, manifests, hash_problems)
+
+
+def _audit_spots(
+    pred: DataFrame, spots: DataFrame, inventory: DataFrame, manifests: DataFrame, hash_problems: DataFrame | None
+) -> DataFrame:
     expected = (
         manifests.where("reps_completed >= 1")
         .select("run_id", F.explode(F.sequence(F.lit(0), F.col("reps_completed") - 1)).alias("rep"), "arms")
@@ -153,7 +158,8 @@ def audit_runs(
 ) -> DataFrame:
     """Verdict per run. Runs that are not complete, and an empty inventory, are errors, not passes."""
     complete = manifests.where((F.col("status") == "complete") & (F.col("reps_completed") >= 1))
-    reps = audit_repeats(pred, inventory, complete, hash_problems)
+    spots = _positions(pred)  # one shuffle of the predictions, read by every check below
+    reps = _audit_spots(pred, spots, inventory, complete, hash_problems)
     per_run = reps.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("repeats"),
         F.count_if(~F.col("ok")).alias("failed_repeats"),
@@ -161,7 +167,7 @@ def audit_runs(
     )
     has_files = inventory.limit(1).agg((F.count(F.lit(1)) > 0)).scalar()
     recorded = F.col("group_overlap_events")
-    joined = manifests.join(per_run, "run_id", "left").join(repeats_sharing(pred), "run_id", "left")
+    joined = manifests.join(per_run, "run_id", "left").join(repeats_sharing(spots), "run_id", "left")
     auditable = F.col("repeats").isNotNull()
     agrees = F.when(auditable & recorded.isNotNull(), recorded == F.col("straddling"))
     error = (

@@ -938,21 +938,16 @@ def json_numbers(spark, sf):
     )
 
 
-def _hash_problems(spark, sf) -> DataFrame:
-    rows = b.audited(spark, sf).where("rep = 4 and arm = 'Z_full'").select("run_id", "rep", "arm").distinct()
-    return rows
-
-
 @query
 def audit_repeats(spark, sf):
     return audit.audit_repeats(
-        b.audited(spark, sf), b.audit_inventory(spark, sf), b.manifests(spark, sf).where("status = 'complete'"), _hash_problems(spark, sf)
+        b.audited(spark, sf), b.audit_inventory(spark, sf), b.manifests(spark, sf).where("status = 'complete'"), b.hash_problems(spark, sf)
     )
 
 
 @query
 def audit_runs(spark, sf):
-    return audit.audit_runs(b.audited(spark, sf), b.audit_inventory(spark, sf), b.manifests(spark, sf), _hash_problems(spark, sf))
+    return audit.audit_runs(b.audited(spark, sf), b.audit_inventory(spark, sf), b.manifests(spark, sf), b.hash_problems(spark, sf))
 
 
 # ---- stored tables and streams ------------------------------------------------------------------------
