@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
+from ..functions.joins import small
 
 CATCH_ALL = "Unlabeled litter"  # leaf an unknown category is mapped to
 MARGIN = 0.10
@@ -19,15 +20,14 @@ def map_taxonomy(
 ) -> DataFrame:
     """Annotations with ``coarse``; an unknown leaf gets the catch-all. Only listed classes stay.
 
-    Category and taxonomy tables have one row per leaf; whether they are broadcast
-    is left to the optimizer's size check.
+    Category and taxonomy tables have one row per leaf and are broadcast after a check of their size.
     """
     leaves = categories.select(F.col("id").alias("category_id"), F.col("name").alias("leaf"))
     coarse = F.coalesce("coarse", F.lit(CATCH_ALL))
     named = leaves.join(taxonomy.select("leaf", "coarse"), "leaf", "left").withColumn("coarse", coarse)
     if classes is not None:
         named = named.where(F.col("coarse").isin(*classes))
-    return annotations.join(named, "category_id")
+    return annotations.join(small(named), "category_id")
 
 
 def unknown_leaves(categories: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def annotate(annotations: DataFrame, categories: DataFrame, images: DataFrame) -
     """Annotations with category name and image columns (inner)."""
     cats = categories.select(F.col("id").alias("category_id"), F.col("name").alias("category"))
     ims = images.select(F.col("id").alias("image_id"), "width", "height", "file_name")
-    return annotations.join(cats, "category_id").join(ims, "image_id")
+    return annotations.join(small(cats), "category_id").join(ims, "image_id")
 
 
 def attach_image_status(boxes: DataFrame, files: DataFrame) -> DataFrame:

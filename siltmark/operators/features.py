@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.batches import by_rep, frame, lists, replace_column
+from ..functions.joins import small
 
 MAX_PARAMETERS = 50_000_000  # doubles in one broadcast, 400 MB
 EDGE_GAP = 1e-8  # quantile edges closer than this are one edge
@@ -301,7 +302,7 @@ def quantile_edges(train: DataFrame, bins: int, exact: bool = True, accuracy: in
             yield frame(rep=np.int32(rep), f=np.int32(f), b=at[inside][first].astype(np.int32), x=values, c=c)
 
     values = rows.mapInArrow(pick, "rep int, f int, b int, x double, c bigint")
-    values = values.groupBy(*keys, "b", "x").agg(F.sum("c").alias("c")).join(F.broadcast(plan), [*keys, "b"])
+    values = values.groupBy(*keys, "b", "x").agg(F.sum("c").alias("c")).join(small(plan), [*keys, "b"])
     order = Window.partitionBy(*keys, "b").orderBy("x")
     values = values.withColumn("last", F.col("below") + F.sum("c").over(order))
     hit = F.filter("spots", lambda s: (s < F.col("last")) & (s >= F.col("last") - F.col("c")))

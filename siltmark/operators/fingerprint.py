@@ -82,9 +82,13 @@ def ordered_fingerprint(inventory: DataFrame, classes: Sequence[str], limit: int
     )
 
 
-def split_fingerprint(split: DataFrame, transform_fit: str = "raw") -> DataFrame:
+def split_fingerprint(
+    split: DataFrame,
+    transform_fit: str = "raw",
+    columns: Sequence[str] = ("row_id", "grp", "label", "is_test", "features"),
+) -> DataFrame:
     """(rep, rows, fingerprint) over ids, groups, labels, sides and features of each repeat."""
-    row = sha256_hex(F.to_json(F.struct("row_id", "grp", "label", "is_test", "features")))
+    row = sha256_hex(F.to_json(F.struct(*columns)))
     sums = split.select("rep", row.alias("entry")).groupBy("rep").agg(F.count(F.lit(1)).alias("rows"), *digest_sums("entry"))
     text = F.concat_ws(":", F.lit(transform_fit), F.col("rows").cast("string"), *[F.col(f"s{i}").cast("string") for i in range(PIECES)])
     return sums.select("rep", "rows", sha256_hex(text).alias("fingerprint"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
+from ..functions.joins import small
 from .fingerprint import multiset_diff, set_diff
 
 COLUMNS = ("code", "path", "message")
@@ -119,7 +120,7 @@ def file_names(images: DataFrame, key: str = "id", column: str = "file_name", ta
 def orphans(child: DataFrame, parent: DataFrame, key: str, parent_key: str = "id") -> DataFrame:
     """Child rows whose reference has no parent."""
     keys = parent.select(F.col(parent_key).alias(key))
-    return child.join(keys, key, "left_anti")
+    return child.join(small(keys), key, "left_anti")
 
 
 def references(annotations: DataFrame, images: DataFrame, categories: DataFrame) -> DataFrame:

@@ -16,6 +16,9 @@ from ..operators import features, heads, metrics, selection, significance, split
 from ..sinks import writers
 
 
+BUCKETS = 4096  # pieces in which a held-out side is numbered
+
+
 @dataclass(frozen=True)
 class ExperimentResult:
     split: DataFrame
@@ -84,7 +87,7 @@ def positioned(pred: DataFrame, run_id: str) -> DataFrame:
     """Prediction rows in the stored form: an order by item that is the same for every arm and head."""
     # one window partition per (repeat, arm, head) would hold a whole test side; the order is local to
     # hash buckets of the items and offset by the sizes of the buckets before
-    bucket = F.pmod(F.xxhash64("item_id"), F.lit(256)).cast("int")
+    bucket = F.pmod(F.xxhash64("item_id"), F.lit(BUCKETS)).cast("int")
     keys = ["rep", "arm", "clf"]
     rows = pred.withColumn("_b", bucket)
     sizes = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))

@@ -18,8 +18,12 @@ from ..sources.runs import ARTIFACT_TABLE, MANIFEST_NAME
 
 
 def write_partitions(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Parquet by key; only the partitions present in ``df`` are replaced."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Parquet by key; only the partitions present in ``df`` are replaced.
+
+    The rebalance hint brings the rows of a key together, splits a key that is too
+    large for one task, and keeps the number of files near the size of the data.
+    """
+    writer = df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*keys).parquet(path)
 
 

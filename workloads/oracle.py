@@ -491,7 +491,7 @@ ORACLE["select_random"] = sql("SELECT rep::INT AS rep, 'A_random' AS arm, f::INT
 ORACLE["selection_checks"] = sql("""
   SELECT rep, arm, CASE WHEN arm = 'Z_full' THEN 64 ELSE 8 END::BIGINT AS n, CASE WHEN arm = 'Z_full' THEN 64 ELSE 8 END::BIGINT AS n_distinct,
     CASE arm WHEN 'B_pca' THEN 7 WHEN 'Z_full' THEN 63 END AS largest
-  FROM (SELECT DISTINCT rep FROM vec_split), (SELECT unnest(['A_random', 'B_pca', 'C_mi', 'Z_full']) AS arm)""")
+  FROM (SELECT DISTINCT rep FROM vec_split), (SELECT unnest(['A_random', 'B_pca', 'C_mi', 'D_qubo', 'F_mrmr', 'Z_full']) AS arm)""")
 # greedy relevance minus mean redundancy: one more feature per step of the recursion
 ORACLE["select_mrmr"] = sql("""
   WITH RECURSIVE sym AS MATERIALIZED (SELECT rep, fi, fj, mi FROM vec_pair_mi UNION ALL SELECT rep, fj, fi, mi FROM vec_pair_mi),
@@ -694,6 +694,10 @@ ORACLE["name_fingerprint"] = sql(f"""
 ORACLE["content_fingerprint"] = f"""
   SELECT n_crops, digest AS content_hash FROM (
   {set_digest("SELECT lang AS class, sha256(lang || '/' || doc_id || '.txt:' || octet_length(encode(text)) || ':' || sha256(text)) AS h FROM documents", ["en", "de", "es", "fr"])})"""
+_pieces = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::HUGEINT::VARCHAR" for i in range(4))
+ORACLE["split_fingerprint"] = sql(f"""
+  SELECT rep, count(*) AS rows, sha256(concat_ws(':', 'raw', count(*), {_pieces})) AS fingerprint FROM (
+    SELECT rep, sha256(to_json({{'row_id': event_id, 'grp': grp, 'label': class, 'is_test': is_test}})::VARCHAR) AS h FROM crop_split) GROUP BY rep""")
 CTE["marks"] = """
   SELECT l_orderkey AS o, l_linenumber AS l, 'run_' || l_orderkey AS run_id, 'rep' || l_linenumber || '_D_qubo.json' AS artifact, sha256(l_orderkey || ':' || l_linenumber) AS h
   FROM lineitem GROUP BY l_orderkey, l_linenumber"""

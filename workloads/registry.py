@@ -515,10 +515,12 @@ def _context(spark, sf) -> selection.SelectionContext:
 
 @query
 def selection_checks(spark, sf):
-    """Arms A, B, C and Z checked for exactly k different features."""
+    """All arms but the sparse model, each checked for exactly k different features."""
     ctx = _context(spark, sf)
-    rows = [selection.select_features(a, ctx, 8) for a in ("A_random", "B_pca", "C_mi", "Z_full")]
-    picked = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    picked = None
+    for arm in ("A_random", "B_pca", "C_mi", "D_qubo", "F_mrmr", "Z_full"):
+        rows = selection.select_features(arm, ctx, 8)
+        picked = rows if picked is None else picked.unionByName(rows)
     return picked.groupBy("rep", "arm").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("f").alias("n_distinct"), F.max("f").alias("largest")
     ).select("rep", "arm", "n", "n_distinct", F.when(F.col("arm").isin("B_pca", "Z_full"), F.col("largest")).alias("largest"))
@@ -839,6 +841,12 @@ def content_fingerprint(spark, sf):
 
 @query
 def split_fingerprint(spark, sf):
+    split = b.item_split(spark, sf).withColumnRenamed("event_id", "row_id").withColumnRenamed("class", "label")
+    return fingerprint.split_fingerprint(split, columns=("row_id", "grp", "label", "is_test"))
+
+
+@query
+def split_fingerprint_vectors(spark, sf):
     return fingerprint.split_fingerprint(b.vector_split(spark, sf))
 
 
