@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +41,52 @@ def hash_cutoffs(df: DataFrame, keys: Sequence[str], hashed: str, n: Column) ->
     )
 
 
+def repeat_cutoffs(
+    df: DataFrame, hashed: str, n: Callable[[int], int], key: str = "rep", step: int = 3, enough: int = 1000
+) -> dict[int, str]:
+    """Per repeat the n(total)-th smallest hash; a repeat of which none is wanted is left out.
+
+    The prefix that holds the wanted hash is made longer, three digits a pass, until
+    at most ``enough`` rows share it. What reaches the driver is bounded whatever the
+    table: 4,096 counts per repeat and pass, then ``enough`` hashes per repeat. Hashes
+    are uniform, so one pass settles millions of rows and two settle billions.
+    """
+    rows = df.select(F.col(key).alias("_k"), F.col(hashed).alias("_h"))
+    prefix: dict[int, str] = {}
+    need: dict[int, int] = {}
+    for length in range(step, 33, step):
+        near = rows if length == step else rows.where(_starts(prefix, length - step))
+        counts = near.groupBy("_k", F.left("_h", F.lit(length)).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+        cells: dict[int, list[tuple[str, int]]] = {}
+        for r in counts.collect():
+            cells.setdefault(r["_k"], []).append((r["_p"], r["_c"]))
+        largest = 0
+        for k, found in cells.items():
+            if length == step:
+                total = sum(c for _, c in found)
+                need[k] = min(n(total), total)
+            left = need[k]
+            for p, c in sorted(found):
+                if left <= c:
+                    break
+                left -= c
+            prefix[k], need[k], largest = p, left, max(largest, c)
+        if largest <= enough:
+            break
+    prefix = {k: p for k, p in prefix.items() if need[k] > 0}
+    if not prefix:
+        return {}
+    last: dict[int, list[str]] = {}
+    for r in rows.where(_starts(prefix, length)).collect():
+        last.setdefault(r["_k"], []).append(r["_h"])
+    return {k: sorted(found)[need[k] - 1] for k, found in last.items()}
+
+
+def _starts(prefix: dict[int, str], length: int) -> Column:
+    wanted = F.create_map(*[F.lit(v) for item in prefix.items() for v in item])
+    return F.left("_h", F.lit(length)) == F.try_element_at(wanted, F.col("_k"))
+
+
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:
     """1-based position in a total order, for tables too large for one sorted partition.
 

@@ -7,6 +7,7 @@ nor suffers from a group that holds a large share of them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import seeded_hash
 from ..functions.joins import small
-from ..functions.ranking import hash_cutoffs
+from ..functions.ranking import hash_cutoffs, repeat_cutoffs
 
 
 def _rep_array(reps: Sequence[int]) -> Column:
@@ -26,11 +27,11 @@ def fan_out(df: DataFrame, reps: Sequence[int]) -> DataFrame:
     return df.withColumn("rep", F.explode(_rep_array(reps)))
 
 
-def split_cutoffs(df: DataFrame, group: str, reps: Sequence[int], fraction: float, seed: int) -> DataFrame:
-    """(rep, total, n, cutoff): the ceil(fraction x groups) smallest group hashes form the test side."""
+def split_cutoffs(df: DataFrame, group: str, reps: Sequence[int], fraction: float, seed: int) -> dict[int, str]:
+    """Per repeat the hash up to which a group is on the test side: the ceil(fraction x groups)-th smallest."""
     groups = fan_out(df.select(F.col(group).alias("_g")).distinct(), reps)
     hashed = groups.withColumn("_hash", seeded_hash(F.col("rep") + F.lit(seed), F.col("_g")))
-    return hash_cutoffs(hashed, ["rep"], "_hash", F.ceil(F.lit(fraction) * F.col("total")))
+    return repeat_cutoffs(hashed, "_hash", lambda total: math.ceil(fraction * total))
 
 
 def group_split(
@@ -40,7 +41,7 @@ def group_split(
     if not 0 < fraction < 1:
         raise ValueError("fraction must be inside (0, 1)")
     # one hash per repeat: computed once, then part of the plan, so that using the split needs no join
-    cutoffs = {r["rep"]: r["cutoff"] for r in split_cutoffs(df, group, reps, fraction, seed).collect()}
+    cutoffs = split_cutoffs(df, group, reps, fraction, seed)
     copies = F.array(
         *[F.struct(F.lit(int(r)).alias("rep"), F.lit(cutoffs.get(r, "")).alias("_cutoff")) for r in reps]
     )
@@ -52,8 +53,15 @@ def group_split(
 def cap_rows(df: DataFrame, n: int, seed: int, row_id: str = "row_id", by: str = "rep") -> DataFrame:
     """At most n rows per repeat, chosen by a seeded hash of the id alone, so blind to the label."""
     hashed = df.withColumn("_hash", seeded_hash(F.col(by) + F.lit(seed), F.col(row_id)))
-    cut = hash_cutoffs(hashed, [by], "_hash", F.lit(n)).select(by, "cutoff")
-    return hashed.join(small(cut), by).where(F.col("_hash") <= F.col("cutoff")).drop("_hash", "cutoff")
+    cutoffs = repeat_cutoffs(hashed, "_hash", lambda total: n, by)
+    return hashed.where(_up_to(cutoffs, by)).drop("_hash")
+
+
+def _up_to(cutoffs: dict[int, str], by: str) -> Column:
+    if not cutoffs:
+        return F.lit(False)
+    table = F.create_map(*[F.lit(v) for item in cutoffs.items() for v in item])
+    return F.coalesce(F.col("_hash") <= F.try_element_at(table, F.col(by)), F.lit(False))
 
 
 def cap_rows_stratified(

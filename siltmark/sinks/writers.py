@@ -132,13 +132,16 @@ def _unsafe_name(name: str) -> bool:
     return not name or name in (".", "..") or any(c in name for c in '/\\:<>"|?*')
 
 
-def write_documents(pred: DataFrame, selections: DataFrame, path: str) -> None:
+def write_documents(pred: DataFrame, selections: DataFrame, path: str, limit: int = 1_000_000) -> None:
     """One JSON document per (repeat, arm), named ``rep<r>_<arm>``, for readers that expect documents.
 
-    A document holds its whole held-out side, so this form is for test-set sizes;
-    ``write_predictions`` is the form that scales.
+    A document holds its whole held-out side, so a side of more than ``limit`` rows is
+    refused; ``write_predictions`` is the form that scales.
     """
     keys = ["run_id", "rep", "arm"]
+    sides = pred.groupBy(*keys, "clf").agg(F.count(F.lit(1)).alias("n"))
+    if sides.where(F.col("n") > limit).limit(1).count():
+        raise ValueError(f"a held-out side has more than {limit} rows: use write_predictions")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "item_id", "grp", "y_true", "y_pred")))
     heads = pred.groupBy(*keys, "clf").agg(ordered.alias("l"), F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"))
     entry = F.struct("clf", F.struct("accuracy", F.col("l.y_pred").alias("predictions")))

@@ -10,13 +10,15 @@ from ..functions import columns as fx
 from ..operators.validate import finding
 
 
-def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def read_annotations(
+    spark: SparkSession, path: str, one_per_file: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, categories, annotations) of one document, or of a folder or glob of shards.
 
     One JSON document is one row and so one task; a set that is too large for that
-    is stored as shards, each with its own images and annotations.
+    is stored as shards, each with a part of the lists, one per file or one per line.
     """
-    docs = spark.read.schema(schemas.ANNOTATION_DOCUMENT).option("multiLine", True).json(path)
+    docs = spark.read.schema(schemas.ANNOTATION_DOCUMENT).option("multiLine", one_per_file).json(path)
     images, categories, annotations = (
         docs.select(F.explode(c).alias("r")).select("r.*") for c in ("images", "categories", "annotations")
     )

@@ -279,6 +279,8 @@ def test_stored_documents_read_back(spark, tmp_path):
     back = run_source.tidy(run_source.read_artifacts(spark, str(tmp_path / "documents" / "*" / "*.json")))
     assert rows(back) == rows(pred)
     assert validate.prediction_report(back).count() == 0
+    with pytest.raises(ValueError, match="write_predictions"):
+        writers.write_documents(pred, picks, str(tmp_path / "more"), limit=2)
 
 
 def test_tables_and_statistics(spark, tmp_path):

@@ -4,7 +4,7 @@ import math
 import pytest
 
 from conftest import one, rows
-from siltmark.functions.ranking import global_rank, hash_cutoffs
+from siltmark.functions.ranking import global_rank, hash_cutoffs, repeat_cutoffs
 from siltmark.operators import features, splits
 from pyspark.sql import functions as F
 
@@ -43,7 +43,10 @@ def test_cutoffs_pick_exactly_n(spark):
     for n in (1, 17, 4999, 5000, 9000):
         cut = one(hash_cutoffs(df, ["k"], "h", F.lit(n)))["cutoff"]
         assert df.where(F.col("h") <= cut).count() == min(n, 5000)
+        for enough in (1, 50, 10**6):
+            assert repeat_cutoffs(df.withColumnRenamed("k", "rep"), "h", lambda total: n, enough=enough) == {1: cut}
     assert hash_cutoffs(df, ["k"], "h", F.lit(0)).count() == 0
+    assert repeat_cutoffs(df, "h", lambda total: 0, "k") == {} == repeat_cutoffs(df.limit(0), "h", lambda total: 5, "k")
 
 
 def test_caps(spark):

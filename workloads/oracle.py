@@ -772,6 +772,12 @@ ORACLE["stored_predictions"] = sql("SELECT rep, arm, clf, pos::INT AS pos, item_
 ORACLE["stored_results"] = sql("SELECT 'r1' AS run_id, rep, arm, clf, CASE WHEN rep = 2 THEN 0.5 ELSE round(accuracy, 6) END AS accuracy FROM scored")
 ORACLE["stored_split"] = sql("SELECT rep, is_test, 'raw' AS transform_fit, count(*) AS n FROM vec_split GROUP BY ALL")
 ORACLE["stored_embeddings"] = sql("SELECT split_part(path, '/', 3) AS grp, label, count(*) AS n FROM stash GROUP BY ALL")
+ORACLE["read_annotations"] = sql("""
+  SELECT a.id, c.name AS category, i.file_name, CASE WHEN four THEN 4 ELSE 3 END AS n_box, round(CASE WHEN four THEN a.w ELSE abs(a.w) END, 2) AS w
+  FROM anns a JOIN cats c ON c.id = a.category_id JOIN imgs i ON i.id = a.image_id""")
+ORACLE["read_taxonomy"] = sql("SELECT leaf, CASE WHEN leaf = 'Brand#1' THEN 'zinc' ELSE coarse END AS coarse FROM taxo")
+ORACLE["stored_run"] = "SELECT 'run_q' AS run_id, 'complete' AS status, 5 AS reps_completed, 2 AS n_tables, 0::BIGINT AS problems"
+ORACLE["deploy_head"] = sql("SELECT 1::DOUBLE AS agreement, count(*) AS n, true AS ok FROM vec_split WHERE rep = 0 AND is_test")
 ORACLE["ingest_once"] = "SELECT event_type, count(*) AS n FROM events GROUP BY event_type"
 ORACLE["stream_runs"] = sql("SELECT run_id, reps_completed FROM catalog WHERE status = 'complete'")
 ORACLE["ranked_items"] = "SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS rank FROM events"

@@ -16,6 +16,7 @@ from siltmark.operators import (
 from siltmark.plans import prepare, severity
 from siltmark.session import ensure_checkpoint_dir
 from siltmark.sinks import writers
+from siltmark.sources import annotations as annotation_source
 from siltmark.sources import runs as run_source
 from siltmark.sources import tables
 from siltmark.streaming import live
@@ -994,6 +995,65 @@ def stored_embeddings(spark, sf):
     return tables.read_embeddings(spark, path).groupBy("grp", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _shards(df: DataFrame, name: str, size: int) -> DataFrame:
+    """One JSON document per ``size`` consecutive ids."""
+    return df.groupBy(F.expr(f"id div {size}")).agg(F.collect_list(F.struct(*df.columns)).alias(name)).select(name)
+
+
+@query
+def read_annotations(spark, sf):
+    """An annotation set written as shards of documents and read back; boxes as text."""
+    path = scratch(spark)
+    _shards(b.images(spark, sf), "images", 500).write.mode("append").json(path)
+    _shards(b.categories(spark, sf), "categories", 500).write.mode("append").json(path)
+    _shards(b.annotations(spark, sf), "annotations", 5000).write.mode("append").json(path)
+    images, categories, annotations = annotation_source.read_annotations(spark, path, one_per_file=False)
+    joined = boxes.annotate(annotations, categories, images)
+    return joined.select("id", "category", "file_name", F.size("bbox").alias("n_box"), F.round(F.get("bbox", F.lit(2)), 2).alias("w"))
+
+
+@query
+def read_taxonomy(spark, sf):
+    """A taxonomy file with blanks around names, an empty leaf and a leaf given twice."""
+    path = scratch(spark)
+    rows = b.taxonomy(spark, sf)
+    padded = rows.select(F.concat(F.lit("  "), "leaf", F.lit(" ")).alias("leaf"), "coarse")
+    again = rows.where("leaf = 'Brand#1'").select("leaf", F.lit("zinc").alias("coarse"))
+    blank = rows.where("leaf = 'Brand#2'").select(F.lit(" ").alias("leaf"), "coarse")
+    written = padded.unionByName(again).unionByName(blank)
+    written.write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return annotation_source.read_taxonomy(spark, path)
+
+
+@query
+def stored_run(spark, sf):
+    """A run stored with its manifest, read back from the catalog, with its part files verified."""
+    root = scratch(spark)
+    rows = results(spark, sf).withColumn("run_id", F.lit("run_q"))
+    with writers.run_context(spark, root, "run_q", arms=ARMS, seed=b.SEED) as run:
+        writers.write_results(rows, run.table("results"))
+        writers.write_table(metrics.summarise(rows), run.table("summary"))
+        run.manifest.update(reps_completed=len(b.REPS), group_overlap_events=0)
+    recorded = spark.read.parquet(f"{run.path}/{run_source.ARTIFACT_TABLE}")
+    actual = fingerprint.table_inventory(spark, run.path, run.tables)
+    problems = fingerprint.verify_artifacts(recorded, actual, by=()).agg(F.count(F.lit(1))).scalar()
+    return run_source.read_runs(spark, root).select("run_id", "status", "reps_completed", F.size("tables").alias("n_tables"), problems.alias("problems"))
+
+
+@query
+def deploy_head(spark, sf):
+    """Scaler, PCA, chosen components and classifier saved as one pipeline, and its agreement after loading."""
+    _, parity = heads.deploy_head(b.vector_split(spark, sf), [0, 1, 4, 7], 10, scratch(spark))
+    return rounded(parity, "agreement")
+
+
+@query
+def tuned_head(spark, sf):
+    """Penalty chosen by folds over source groups, for the linear head of one split."""
+    _, reg = heads.tuned_head(b.vector_split(spark, sf), regs=(0.01, 0.1), max_iter=10)
+    return b.vector_split(spark, sf).where("rep = 0").groupBy("is_test").agg(F.count(F.lit(1)).alias("n"), F.lit(reg).alias("reg"))
+
+
 @query
 def write_new_ledger(spark, sf):
     """Two writes to one ledger: the second adds only the cells the first lacks."""
