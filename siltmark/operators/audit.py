@@ -1,6 +1,7 @@
 """Leak audit of a run from its stored predictions and the inventory it drew from.
 
-The train side is never rebuilt row by row. A source group straddles the split
+Lists are compared by length and digest, which add up in partial aggregates. The
+train side is never rebuilt row by row. A source group straddles the split
 exactly when the inventory has more of its files than the held-out side, so two
 grouped counts and one join of the counts decide it.
 """
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
+from ..functions.joins import small
+from .fingerprint import PIECES, digest_sums, sha256_hex
 
 REP = ["run_id", "rep"]
 ART = ["run_id", "rep", "arm"]
@@ -20,35 +23,53 @@ class AuditError(RuntimeError):
     """A run cannot be audited at all."""
 
 
-def _positions(pred: DataFrame) -> DataFrame:
-    """One row per (run, rep, arm, pos), whatever the number of classifiers."""
-    return pred.groupBy(*ART, "pos").agg(
-        F.min("item_id").alias("item_id"), F.min("grp").alias("grp"), F.min("y_true").alias("y_true")
-    )
-
+def artifact_facts(pred: DataFrame) -> DataFrame:
+    """One row per (run, rep, arm, clf): list lengths and a digest of its held-out list.
 
-def artifact_alignment(pred: DataFrame) -> DataFrame:
-    """(run, rep, arm, n_ids, misaligned): label, group and prediction lists not as long as the ids."""
-    per_clf = pred.groupBy(*ART, "clf").agg(
+    The digest adds up SHA-256 pieces of (position, item), so whole lists are compared
+    without shuffling their rows: lists are equal exactly when length and digest are.
+    """
+    entry = sha256_hex(F.concat_ws(":", F.col("pos").cast("string"), "item_id"))
+    rows = pred.withColumn("_entry", F.when(F.col("item_id").isNotNull(), entry))
+    sums = rows.groupBy(*ART, "clf").agg(
         F.count("item_id").alias("n_ids"), F.count("y_true").alias("n_y"),
-        F.count("grp").alias("n_g"), F.count("y_pred").alias("n_p"),
+        F.count("grp").alias("n_g"), F.count("y_pred").alias("n_p"), *digest_sums("_entry"),
     )
+    digest = F.concat_ws(":", *[F.coalesce(F.col(f"s{i}").cast("string"), F.lit("")) for i in range(PIECES)])
+    return sums.select(*ART, "clf", "n_ids", "n_y", "n_g", "n_p", F.concat_ws(":", F.col("n_ids").cast("string"), digest).alias("digest"))
+
+
+def artifact_alignment(facts: DataFrame) -> DataFrame:
+    """(run, rep, arm, n_ids, misaligned, digest): label, group and prediction lists not as long as the ids,
+    and classifiers of one artifact that do not share one list of ids."""
     off = lambda c: (F.col(c) != F.col("n_ids")).cast("int")
-    return per_clf.groupBy(*ART).agg(
+    apart = (F.min("digest") != F.max("digest")).cast("int")
+    return facts.groupBy(*ART).agg(
         F.max("n_ids").alias("n_ids"),
-        (F.max(off("n_y")) + F.max(F.when(F.col("n_g") > 0, off("n_g")).otherwise(0)) + F.sum(off("n_p"))).alias("misaligned"),
+        (
+            F.max(off("n_y")) + F.max(F.when(F.col("n_g") > 0, off("n_g")).otherwise(0)) + F.sum(off("n_p")) + apart
+        ).alias("misaligned"),
+        F.min("digest").alias("digest"),
     )
 
 
-def different_splits(positions: DataFrame) -> DataFrame:
+def different_splits(aligned: DataFrame) -> DataFrame:
     """(run, rep, arm) of arms whose held-out list is not the first arm's, position by position."""
-    here = F.collect_list(F.struct("arm", "item_id"))  # one entry per arm
-    spots = positions.groupBy(*REP, "pos").agg(here.alias("arms"), F.min_by("item_id", "arm").alias("ref"))
-    wrong = spots.select(*REP, "ref", F.inline("arms")).where(~F.col("item_id").eqNullSafe(F.col("ref")))
-    sizes = positions.groupBy(*ART).agg(F.count("item_id").alias("n"))
-    first = sizes.groupBy(*REP).agg(F.min_by("n", "arm").alias("n0"))
-    uneven = sizes.join(first, REP).where("n <> n0")
-    return wrong.select(*ART).union(uneven.select(*ART)).distinct()
+    first = aligned.groupBy(*REP).agg(F.min_by("digest", "arm").alias("ref"))
+    return aligned.join(first, REP).where("digest <> ref").select(*ART)
+
+
+def held_out(pred: DataFrame, facts: DataFrame) -> DataFrame:
+    """(run, rep, arm, item_id, n, wrong_group): the held-out items of each artifact.
+
+    All classifiers of an artifact share its list, so the rows of one of them are read.
+    """
+    chosen = facts.groupBy(*ART).agg(F.min("clf").alias("clf"))
+    rows = pred.where(F.col("item_id").isNotNull()).join(small(chosen), [*ART, "clf"], "left_semi")
+    return rows.groupBy(*ART, "item_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("grp") != fx.group_key("item_id")).alias("wrong_group"),
+    )
 
 
 def audit_repeats(
@@ -63,18 +84,19 @@ def audit_repeats(
     inventory: file, one row per file. manifests: run_id, reps_completed, arms.
     hash_problems: run_id, rep, arm, one row per artifact that differs from the record.
     """
-    return _audit_spots(pred, _positions(pred), inventory, manifests, hash_problems)
+    facts = small(artifact_facts(pred))
+    return _audit_items(facts, held_out(pred, facts), inventory, manifests, hash_problems)
 
 
-def _audit_spots(
-    pred: DataFrame, spots: DataFrame, inventory: DataFrame, manifests: DataFrame, hash_problems: DataFrame | None
+def _audit_items(
+    facts: DataFrame, per_item: DataFrame, inventory: DataFrame, manifests: DataFrame, hash_problems: DataFrame | None
 ) -> DataFrame:
     expected = (
         manifests.where("reps_completed >= 1")
         .select("run_id", F.explode(F.sequence(F.lit(0), F.col("reps_completed") - 1)).alias("rep"), "arms")
         .select("run_id", F.col("rep").cast("int").alias("rep"), F.explode("arms").alias("arm"))
     )
-    aligned = artifact_alignment(pred)
+    aligned = artifact_alignment(facts)
     faults = hash_problems if hash_problems is not None else expected.limit(0)
     faults = faults.groupBy(*ART).agg(F.count(F.lit(1)).alias("_bad"))
     artifacts = (
@@ -89,12 +111,7 @@ def _audit_spots(
         )
     )
 
-    ids = spots.where(F.col("item_id").isNotNull())
     names = inventory.select("file", fx.group_key("file").alias("g"))
-    per_item = ids.groupBy(*ART, "item_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("grp") != fx.group_key("item_id")).alias("wrong_group"),
-    )
     found = per_item.withColumn("file", fx.base_name("item_id")).join(
         names.select("file", F.lit(True).alias("there")).distinct(), "file", "left"
     )
@@ -124,7 +141,7 @@ def _audit_spots(
             F.max("multi").alias("groups_with_multiple_crops"),
         )
     )
-    odd = different_splits(ids).groupBy(*REP).agg(F.count(F.lit(1)).alias("arms_with_different_split"))
+    odd = different_splits(aligned).groupBy(*REP).agg(F.count(F.lit(1)).alias("arms_with_different_split"))
     out = artifacts.join(content, REP, "left").join(odd, REP, "left")
     counts = [
         "duplicate_test_ids", "misaligned_artifacts", "hash_mismatches", "arms_with_different_split",
@@ -137,9 +154,9 @@ def _audit_spots(
     )
 
 
-def repeats_sharing(pred: DataFrame) -> DataFrame:
+def repeats_sharing(per_item: DataFrame) -> DataFrame:
     """(run, repeats_sharing): pairs of repeats whose held-out sides have a source group in common."""
-    held = pred.where(F.col("item_id").isNotNull()).groupBy("run_id", fx.group_key("item_id").alias("g"))
+    held = per_item.groupBy("run_id", fx.group_key("item_id").alias("g"))
     reps = held.agg(F.collect_set("rep").alias("reps"))  # at most one entry per repeat
     pairs = F.flatten(
         F.transform(
@@ -158,8 +175,9 @@ def audit_runs(
 ) -> DataFrame:
     """Verdict per run. Runs that are not complete, and an empty inventory, are errors, not passes."""
     complete = manifests.where((F.col("status") == "complete") & (F.col("reps_completed") >= 1))
-    spots = _positions(pred)  # one shuffle of the predictions, read by every check below
-    reps = _audit_spots(pred, spots, inventory, complete, hash_problems)
+    facts = small(artifact_facts(pred))
+    per_item = held_out(pred, facts)
+    reps = _audit_items(facts, per_item, inventory, complete, hash_problems)
     per_run = reps.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("repeats"),
         F.count_if(~F.col("ok")).alias("failed_repeats"),
@@ -167,7 +185,7 @@ def audit_runs(
     )
     has_files = inventory.limit(1).agg((F.count(F.lit(1)) > 0)).scalar()
     recorded = F.col("group_overlap_events")
-    joined = manifests.join(per_run, "run_id", "left").join(repeats_sharing(spots), "run_id", "left")
+    joined = manifests.join(per_run, "run_id", "left").join(repeats_sharing(per_item), "run_id", "left")
     auditable = F.col("repeats").isNotNull()
     agrees = F.when(auditable & recorded.isNotNull(), recorded == F.col("straddling"))
     error = (

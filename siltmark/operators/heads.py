@@ -183,6 +183,8 @@ def fourier_features(df: DataFrame, width: int, gamma: float, out: int = 256, se
         weights = rng.normal(0.0, np.sqrt(2.0 * gamma), (width, out))
         shift = rng.uniform(0.0, 2.0 * np.pi, out)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = matrix(batch.column("features"))
             yield replace_column(batch, "features", lists(np.sqrt(2.0 / out) * np.cos(x @ weights + shift)))
 

@@ -276,7 +276,7 @@ def cache_labels(cache: DataFrame, inventory: DataFrame, classes: Sequence[str])
         inventory.where(F.col("class").isin(*classes)).select(F.col("class").alias("label")),
         "label",
     )
-    folder = F.element_at(F.split(fx.slashes("path"), "/"), -2)
+    folder = F.coalesce(F.try_element_at(F.split(fx.slashes("path"), "/"), F.lit(-2)), F.lit(""))
     moved = cache.where(F.col("label") != folder)
     return union_violations(
         finding(unknown, "cache_label", F.col("path"), F.lit("label is not listed")),

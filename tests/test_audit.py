@@ -141,6 +141,15 @@ def test_files_gone_from_the_inventory(spark, tmp_path):
     assert one(verdict)["error"] == "the inventory is empty"
 
 
+def test_heads_of_one_artifact_share_its_list(spark, tmp_path):
+    store(spark, tmp_path, documents())
+    pred = run_source.read_predictions(spark, str(tmp_path / "r1"))
+    swap = (F.col("rep") == 0) & (F.col("arm") == "Z_full") & (F.col("clf") == "rbf_svm") & F.col("pos").isin(0, 1)
+    swapped = pred.withColumn("pos", F.when(swap, 1 - F.col("pos")).otherwise(F.col("pos")))
+    facts = audit.artifact_alignment(audit.artifact_facts(swapped)).where("misaligned > 0")
+    assert rows(facts.select("rep", "arm")) == [(0, "Z_full")]
+
+
 def test_unfinished_runs_are_not_evidence(spark, tmp_path):
     store(spark, tmp_path, documents(), status="running")
     _, verdict = audited(spark, tmp_path)
