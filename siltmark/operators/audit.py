@@ -115,31 +115,27 @@ def _audit_items(
     found = per_item.withColumn("file", fx.base_name("item_id")).join(
         names.select("file", F.lit(True).alias("there")).distinct(), "file", "left"
     )
-    per_arm = found.groupBy(*ART).agg(
+    held = found.groupBy(*ART, fx.group_key("item_id").alias("g")).agg(
+        F.count_if(F.col("there").isNotNull()).alias("held"),
+        F.sum("n").alias("crops"),
         F.sum(F.col("n") - 1).alias("duplicates"),
         F.sum("wrong_group").alias("wrong_group"),
         F.sum(F.when(F.col("there").isNull(), F.col("n")).otherwise(0)).alias("absent"),
     )
-    held = found.groupBy(*ART, fx.group_key("item_id").alias("g")).agg(
-        F.count_if(F.col("there").isNotNull()).alias("held"), F.sum("n").alias("crops")
-    )
     sizes = names.distinct().groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    straddle = held.join(sizes, "g").where("size > held").groupBy(*ART).agg(F.count(F.lit(1)).alias("straddling"))
-    groups = held.groupBy(*ART).agg(
-        F.count(F.lit(1)).alias("n_groups"), F.count_if(F.col("crops") > 1).alias("multi")
+    per_arm = held.join(sizes, "g", "left").groupBy(*ART).agg(
+        F.count(F.lit(1)).alias("n_groups"),
+        F.count_if(F.col("crops") > 1).alias("multi"),
+        F.count_if(F.col("size") > F.col("held")).alias("straddling"),
+        *[F.sum(c).alias(c) for c in ("duplicates", "wrong_group", "absent")],
     )
-    content = (
-        per_arm.join(straddle, ART, "left")
-        .join(groups, ART, "left")
-        .groupBy(*REP)
-        .agg(
-            F.max("duplicates").alias("duplicate_test_ids"),
-            F.max("wrong_group").alias("group_label_mismatches"),
-            F.max("absent").alias("held_out_missing"),
-            F.max(F.coalesce("straddling", F.lit(0))).alias("straddling_groups"),
-            F.max("n_groups").alias("n_groups"),
-            F.max("multi").alias("groups_with_multiple_crops"),
-        )
+    content = per_arm.groupBy(*REP).agg(
+        F.max("duplicates").alias("duplicate_test_ids"),
+        F.max("wrong_group").alias("group_label_mismatches"),
+        F.max("absent").alias("held_out_missing"),
+        F.max("straddling").alias("straddling_groups"),
+        F.max("n_groups").alias("n_groups"),
+        F.max("multi").alias("groups_with_multiple_crops"),
     )
     odd = different_splits(aligned).groupBy(*REP).agg(F.count(F.lit(1)).alias("arms_with_different_split"))
     out = artifacts.join(content, REP, "left").join(odd, REP, "left")
