@@ -235,11 +235,16 @@ def refuse_transductive(df: DataFrame) -> DataFrame:
 
 
 def _bounds(train: DataFrame, probs: list[float], accuracy: int) -> list[np.ndarray]:
-    """Per feature, values that enclose each wanted quantile; a proposal that need not be accurate."""
+    """Per feature, values that enclose each wanted quantile; a proposal that need not be accurate.
+
+    Repeats draw on the same rows, so the sketch of one of them serves all.
+    """
     slack = 2.0 / accuracy
     around = sorted({min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)})
     sketch = F.percentile_approx("x", around, accuracy)
-    rows = long_features(train.select("features")).groupBy("f").agg(sketch.alias("b")).collect()
+    some = train.select("rep").limit(1).collect()
+    one = train.where(F.col("rep") == some[0]["rep"]) if some else train
+    rows = long_features(one.select("features")).groupBy("f").agg(sketch.alias("b")).collect()
     out = {r["f"]: np.unique(r["b"]) for r in rows}
     return [out[f] for f in range(len(out))]
 
