@@ -1,6 +1,7 @@
 """Quality by a vote of the nearest labelled documents in a latent-semantic space.
 
-Terms are hashed trigrams of UTF-8 bytes, weighted by log count and inverse document
+Terms are hashed trigrams of UTF-8 bytes, and a block of ``AGAIN`` equal terms for words that repeat
+the word before them, as often as such words are frequent in the text; all are weighted by log count and inverse document
 frequency. A truncated SVD of a bounded sample of labelled documents gives the latent space.
 The labelled vectors are broadcast (at most ``SAMPLE`` rows, a documented parameter); every
 document is compared with all of them in blocks, and its nearest ones vote for their label
@@ -14,16 +15,19 @@ Documents with contradicting labels are left out of the sample; repeated rows ar
 from __future__ import annotations
 
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import arrow_map, texts
+from siltmark.llm.common import arrow_map, texts, words
 
 SAMPLE = 3000  # labelled rows that the fit may use, half of them per label
-TERMS = 4096
+TRIGRAMS = 4096
+AGAIN = 64
+TERMS = TRIGRAMS + AGAIN
 RANK = 64
 NEIGHBOURS = 15
 SHARPNESS = 6.0
@@ -32,12 +36,16 @@ BLOCK = 128
 
 
 def term_counts(text: bytes) -> np.ndarray:
-    """Counts of hashed byte trigrams; shorter texts are padded with spaces."""
-    b = np.frombuffer(text.ljust(3) if text else b"", np.uint8).astype(np.uint32)
-    if not len(b):
-        return np.zeros(TERMS, np.float32)
+    """Counts of hashed byte trigrams and of repeated words; texts under three bytes are padded with spaces."""
+    out = np.zeros(TERMS, np.float32)
+    if not text:
+        return out
+    b = np.frombuffer(text.ljust(3), np.uint8).astype(np.uint32)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    return np.bincount((code * np.uint32(2654435761)) >> np.uint32(20), minlength=TERMS).astype(np.float32)
+    out[:TRIGRAMS] = np.bincount((code * np.uint32(2654435761)) >> np.uint32(20), minlength=TRIGRAMS)
+    found = words(text)
+    out[TRIGRAMS:] = 200 * sum(map(eq, found, found[1:])) // max(1, len(found))
+    return out
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:

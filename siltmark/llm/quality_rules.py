@@ -26,8 +26,8 @@ STATS = "doc_id long, lang string, source string, n_words long, word_chars long,
 METRICS = {
     "word_length": (2.0, "both"),
     "symbol_share": (0.10, "upper"),
-    "dup_line_share": (0.20, "upper"),
-    "repeat_share": (0.15, "upper"),
+    "dup_line_share": (0.30, "upper"),
+    "repeat_share": (0.30, "upper"),
 }
 FENCE = 3.0
 MIN_ROWS = 100
