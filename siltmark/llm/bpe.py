@@ -27,7 +27,7 @@ from siltmark.llm.common import arrow_map, worker_state
 from siltmark.llm.tokens import ByteEncoder, Memo, byte_alphabet, read_definition, special_ids
 
 NEVER = 1 << 60
-TRANSITIONS = 500_000
+TRANSITIONS = 200_000
 
 
 @dataclass
@@ -137,28 +137,44 @@ def _encoder(merges: Merges) -> ByteEncoder:
     return ByteEncoder(lambda w: machine.encode(w.encode()), merges.special)
 
 
+def _encoded(batch: pa.RecordBatch, machine: ByteEncoder) -> list[bytes]:
+    return [machine(t or "") for t in batch.column("text").to_pylist()]
+
+
+def _decoded(ids: list[bytes], labels: list[bytes | None]) -> list[str]:
+    label = labels.__getitem__
+    return [b"".join(map(label, np.frombuffer(x, "<u4").tolist())).decode("utf-8", "replace") for x in ids]
+
+
+def _run(docs: DataFrame, tokenizer: str, decoded: bool) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(Merges.read(tokenizer))  # bounded by the vocabulary
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = _encoded(batch, worker_state(f"bpe {tokenizer}", lambda: _encoder(shared.value)))
+        columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in found], pa.int64()), "ids": pa.array(found, pa.binary())}
+        if decoded:
+            columns["decoded"] = pa.array(_decoded(found, shared.value.labels), pa.string())
+        return pa.RecordBatch.from_pydict(columns)
+
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded)
+
+
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers, one row per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(Merges.read(tokenizer))  # bounded by the vocabulary
+    return _run(docs, tokenizer, False)
 
-    def each(batch: pa.RecordBatch):
-        machine = worker_state(f"bpe {tokenizer}", lambda: _encoder(shared.value))
-        found = [machine(t or "") for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())],
-            names=["doc_id", "n_tokens", "ids"],
-        )
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, n_tokens long, ids binary")
+def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """What ``encode`` returns with column ``decoded``, made from the ids by the same worker."""
+    return _run(docs, tokenizer, True)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """``encoded`` with column ``decoded``: the arc labels of its ids, special tokens included."""
+    """``encoded`` (column ids as ``encode`` writes it) with column ``decoded``: the arc labels of its ids, special tokens included."""
     shared = encoded.sparkSession.sparkContext.broadcast(Merges.read(tokenizer).labels)
 
-    def each(batch: pa.RecordBatch):
-        label = shared.value.__getitem__
-        out = [b"".join(map(label, np.frombuffer(x or b"", "<u4").tolist())).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = _decoded([x or b"" for x in batch.column("ids").to_pylist()], shared.value)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return arrow_map(encoded.select("doc_id", "n_tokens", "ids"), each, "doc_id long, n_tokens long, ids binary, decoded string")

@@ -96,22 +96,20 @@ def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` for functions of one batch; empty batches are skipped."""
+def arrow_map(
+    df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str, rows: int = 1024
+) -> DataFrame:
+    """``mapInArrow`` for functions of one batch of at most ``rows`` rows; empty batches are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = each(batch)
+            for i in range(0, batch.num_rows, rows):
+                out = each(batch.slice(i, rows))
                 yield from ([out] if isinstance(out, pa.RecordBatch) else out)
 
     return df.mapInArrow(run, schema)
 
 
-def binaries(parts: list[np.ndarray]) -> pa.Array:
-    return pa.array([p.tobytes() for p in parts], pa.binary())
-
-
 def coverage(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Boolean mask of the n positions covered by [s, s + width) for any start s."""
     step = np.zeros(n + 1, np.int64)

@@ -28,8 +28,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op2_bpe_encode_decode(spark: SparkSession, sf: str) -> DataFrame:
-    path = tokenizer("byte_bpe_50k.json")
-    made = bpe.decode(bpe.encode(table(spark, sf, "documents"), path), path)
+    made = bpe.encode_decode(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"))
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

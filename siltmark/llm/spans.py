@@ -101,7 +101,7 @@ def paths(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
                     yield out
                 held, size, since = [], 0, k + 1
 
-    return arrow_map(docs, each, PATHS)
+    return arrow_map(docs, each, PATHS, rows=SLICE)
 
 
 def _repeats(batches):
