@@ -10,10 +10,11 @@ slower way with the same result. NULL and empty texts have no ids.
 from __future__ import annotations
 
 import json
+import re
+import struct
 import unicodedata
 from collections.abc import Callable, Iterable
 
-import numpy as np
 import regex
 
 CHUNKS = 250_000  # entries of each memo; twice as many are held at most
@@ -35,7 +36,11 @@ def byte_alphabet() -> list[str]:
 
 
 def id_bytes(ids: Iterable[int]) -> bytes:
-    return np.array(list(ids), "<u4").tobytes()
+    ids = list(ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+_BEYOND_LATIN = re.compile("[^\0-\u024f]").search
 
 
 def _young(char: str) -> bool:
@@ -101,7 +106,7 @@ class WordEncoder:
 
     def _chunk(self, chunk: str) -> bytes | None:
         """Ids of the chunk; None if libraries may disagree on what its characters are."""
-        if not chunk.isascii() and any(_young(c) for c in chunk):
+        if _BEYOND_LATIN(chunk) and any(map(_young, chunk)):
             return None
         return b"".join(map(self.words.__getitem__, self.split(chunk)))
 
@@ -128,12 +133,14 @@ def library_encoder(source: str) -> ByteEncoder | WordEncoder:
     model, normal = tokenizer.model, tokenizer.normalizer
 
     def ids(word: str) -> list[int]:
-        return [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(alphabet))]
+        if not (word.isascii() and word.isprintable()) or " " in word:  # else its bytes stand for themselves
+            word = word.encode().decode("latin-1").translate(alphabet)
+        return [t.id for t in model.tokenize(word)]
 
     special = special_ids(definition)
     if normal is None:
         return ByteEncoder(ids, special)
-    return WordEncoder(lambda w: ids(normal.normalize_str(w)), lambda t: tokenizer.encode(t, add_special_tokens=False).ids, special)
+    return WordEncoder(lambda w: ids(w.lower() if w.isascii() else normal.normalize_str(w)), lambda t: tokenizer.encode(t, add_special_tokens=False).ids, special)
 
 
 def read_definition(path: str) -> str:
