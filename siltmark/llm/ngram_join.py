@@ -23,19 +23,21 @@ NULL ids are passed over, and stay NULL where a class has no other.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltmark.llm.common import arrow_map, hashes, keyed, stored, text_key, texts, windows, words
 from siltmark.llm.components import components
 
-COUNTERS = 1 << 18  # of the order's sketch: 1 MB, whatever the corpus
-BLOCK = 1 << 12
+COUNTERS = 1 << 22  # of the order's sketch: 16 MB, whatever the corpus
+BLOCK = 1 << 18
 FILTER_BITS = 1 << 24  # of the filter of nodes whose sets are kept: 2 MB
 LEADERS = 8
 
@@ -55,20 +57,27 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def _summed(df: DataFrame, kind: str) -> dict[int, np.ndarray]:
-    """Rows (block, data) added up per block (or'ed for bits), on the executors; the result has a fixed size."""
+    """Rows (block, compressed data) added up per block (or'ed for bits), on the executors; the result has a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(data, kind)
+                part = np.frombuffer(zlib.decompress(data), np.uint8)
                 old = held.get(block)
-                held[block] = part.copy() if old is None else (old | part if kind == "u1" else old + part)
-        if held:
-            yield pa.RecordBatch.from_pydict({"block": pa.array(list(held), pa.int32()), "data": pa.array([x.tobytes() for x in held.values()], pa.binary())})
+                if kind == "bits":
+                    held[block] = part if old is None else old | part
+                else:
+                    held[block] = part.astype(np.uint32) if old is None else old + part
+        yield _blocks(held)
 
     rows = df.repartition("block").mapInArrow(run, "block int, data binary").collect()
-    return {r["block"]: np.frombuffer(r["data"], kind) for r in rows}
+    return {r["block"]: np.frombuffer(zlib.decompress(r["data"]), np.uint8 if kind == "bits" else np.uint32) for r in rows}
+
+
+def _blocks(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
+    data = pa.array([zlib.compress(x.tobytes(), 1) for x in parts.values()], pa.binary())
+    return pa.RecordBatch.from_pydict({"block": pa.array(list(parts), pa.int32()), "data": data})
 
 
 def count_sketch(docs: DataFrame, size: int) -> np.ndarray:
@@ -80,12 +89,12 @@ def count_sketch(docs: DataFrame, size: int) -> np.ndarray:
             found = texts(batch)
             for i in range(0, len(found), 256):
                 flat = np.concatenate([shingles(t, size) for t in found[i : i + 256]])
-                total += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-        parts = total.reshape(-1, BLOCK)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(parts)), pa.int32()), "data": pa.array([p.tobytes() for p in parts], pa.binary())})
+                np.add.at(total, (flat % np.uint64(COUNTERS)).astype(np.int64), np.uint32(1))
+        # a task's counts stop at 255: enough to tell frequent from rare, and any fixed order is a right one
+        yield _blocks(dict(enumerate(np.minimum(total, 255).astype(np.uint8).reshape(-1, BLOCK))))
 
     out = np.zeros(COUNTERS, np.uint32).reshape(-1, BLOCK)
-    for block, data in _summed(docs.select("text").mapInArrow(run, "block int, data binary"), "u4").items():
+    for block, data in _summed(docs.select("text").mapInArrow(run, "block int, data binary"), "counts").items():
         out[block] = data
     return out.ravel()
 
@@ -135,38 +144,56 @@ def node_filter(nodes: DataFrame) -> np.ndarray:
             bits[_filter_bits(batch.column(0).to_numpy(zero_copy_only=False)).ravel()] = True
         packed = np.packbits(bits).reshape(64, width)
         at = np.flatnonzero(packed.any(1))
-        yield pa.RecordBatch.from_pydict({"block": pa.array(at, pa.int32()), "data": pa.array([packed[i].tobytes() for i in at], pa.binary())})
+        yield _blocks({int(i): packed[i] for i in at})
 
     out = np.zeros((64, width), np.uint8)
-    for block, data in _summed(nodes.mapInArrow(run, "block int, data binary"), "u1").items():
+    for block, data in _summed(nodes.mapInArrow(run, "block int, data binary"), "bits").items():
         out[block] = data
     return np.unpackbits(out.ravel()).astype(bool)
 
 
-def whole_sets(docs: DataFrame, size: int, percent: int, order, nodes: DataFrame) -> DataFrame:
-    """(node, n, prefix, tokens) for the given nodes and the few others that the filter lets through."""
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(node_filter(nodes)))  # FILTER_BITS bits
+def _passes(nodes: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    """Which nodes the packed filter lets through."""
+    at = _filter_bits(nodes)
+    return ((packed[at >> 3] >> (7 - (at & 7))) & 1).all(0)
+
+
+def chosen(df: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose node is among ``nodes``, and the few others that the filter lets through."""
+    wanted = df.sparkSession.sparkContext.broadcast(np.packbits(node_filter(nodes)))  # FILTER_BITS bits
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(_passes(batch.column("node").to_numpy(zero_copy_only=False), wanted.value)))
+
+    return arrow_map(df, each, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema))
+
+
+def whole_sets(docs: DataFrame, size: int, places: DataFrame) -> DataFrame:
+    """(node, tokens) of the documents at the given places (place: hash of id and text key), and a few others.
+
+    Tokens are the upper 48 bits of the shingles' hashes, in order.
+    """
+    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(node_filter(places)))  # FILTER_BITS bits
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = batch.filter(pa.array(_passes(batch.column("place").to_numpy(zero_copy_only=False), wanted.value)))
+        sets = [shingles(t, size) for t in texts(found)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([node_of(x) for x in sets], pa.int64()), pa.array([np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for x in sets], pa.binary())],
+            names=["node", "tokens"],
+        )
+
+    return arrow_map(keyed(docs).select(place_of().alias("place"), "text"), each, "node long, tokens binary")
+
+
+def place_of() -> Column:
+    return F.xxhash64("doc_id", "text_key", F.lit("place"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(wanted.value)
-        sent: set[int] = set()  # copies of one set within a task send it once
-        for batch in batches:
-            rows = []
-            for text in texts(batch):
-                found = shingles(text, size)
-                node = node_of(found)
-                if not len(found) or node in sent or not bits[_filter_bits(np.array([node]))].all():
-                    continue
-                sent.add(node)
-                head = found[_order(found, order.value)[: prefix_size(len(found), percent)]]
-                rows.append((node, len(found), head.tobytes(), found.tobytes()))
-            if len(sent) > 200_000:
-                sent.clear()
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["node", "n", "prefix", "tokens"])
-
-    return docs.select("text").mapInArrow(run, "node long, n long, prefix binary, tokens binary").dropDuplicates(["node"])
+
+def _tokens(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
 
 def _both(pairs: DataFrame, facts: DataFrame, *names: str) -> DataFrame:
@@ -181,30 +208,37 @@ def _kept(batch: pa.RecordBatch, keep: list[bool]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, order) -> DataFrame:
-    """The pairs (a, b) of nodes that link: filtered by their prefixes, then counted on the whole sets."""
+def likely(pairs: DataFrame, heads: DataFrame, percent: int, order) -> DataFrame:
+    """The pairs (a, b) of nodes that their prefixes allow to link; ``heads`` has (node, n, prefix)."""
 
     def may(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
-        for na, nb, pa_, pb in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "prefix_a", "prefix_b")), strict=True):
-            x, y = np.frombuffer(pa_, np.uint64), np.frombuffer(pb, np.uint64)
-            shared = np.intersect1d(x, y, assume_unique=True)
+        for na, nb, pa_, pb in zip(*(batch.column(c) for c in ("n_a", "n_b", "prefix_a", "prefix_b")), strict=True):
+            na, nb = na.as_py(), nb.as_py()
+            x, y = (p.values.to_numpy().view(np.uint64) for p in (pa_, pb))
+            shared = len(np.intersect1d(x, y, assume_unique=True))
             last = np.array([x[-1], y[-1]])
             # the prefix that ends first holds all of its set up to there; what both may still share lies behind it
             rest = na - len(x) if _order(last, order.value)[0] == 0 else nb - len(y)
-            keep.append(len(shared) + rest >= smallest_overlap(na, nb, percent))
+            keep.append(shared + rest >= smallest_overlap(na, nb, percent))
         return _kept(batch, keep)
 
+    return arrow_map(_both(pairs, heads, "n", "prefix"), may, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, counted on the whole sets."""
+
     def do(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for ta, tb in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist(), strict=True):
-            x, y = np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64)
+            x, y = _tokens(ta), _tokens(tb)
             common = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * common >= percent * (len(x) + len(y) - common))
         return _kept(batch, keep)
 
-    likely = arrow_map(_both(pairs, sets, "n", "prefix"), may, "a long, b long")
-    return arrow_map(_both(likely, sets, "tokens"), do, "a long, b long")
+    left, right = (chosen(sets, pairs.select(s)).toDF(s, f"tokens_{s}") for s in ("a", "b"))
+    return arrow_map(pairs.join(right, "b").join(left, "a").select("a", "b", "tokens_a", "tokens_b"), do, "a long, b long").distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -270,20 +304,34 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     known = stored(prefixes(docs, size, percent, order))
 
     filled = known.where("n > 0")
-    groups = filled.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("node").alias("node"))
-    several = filled.groupBy("grp").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high").select("grp")
+    groups = stored(filled.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min("node").alias("node"), F.max("node").alias("last")))
+    several = groups.where("node != last").select("grp")
     members = stored(filled.select("grp", "node", "n").distinct().join(several, "grp"))
-    spread = groups.select("grp", "node", "n", F.posexplode("prefix").alias("at", "bucket"))
-    common = spread.groupBy("bucket").count().where("count > 1").select("bucket")
     head = F.col("at") < F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
-    rows = stored(spread.join(common, "bucket").select("bucket", "node", "n", head.alias("head"), "grp"))
+    spread = groups.select("grp", "n", F.posexplode("prefix").alias("at", "bucket")).select("bucket", "grp", head.alias("head"))
+    common = spread.groupBy("bucket").count().where("count > 1").select("bucket")
+    rows = stored(spread.join(common, "bucket").join(groups.select("grp", "node", "n"), "grp").select("bucket", "node", "n", "head", "grp"))
 
     buckets = rows.select("bucket", "node", "n").union(members.select(F.col("grp").alias("bucket"), "node", "n"))
-    sets = stored(whole_sets(docs, size, percent, order, buckets.select("node")))
+    sharing = rows.groupBy("grp").count().select("grp", "count")
+    heads = groups.join(sharing.union(several.withColumn("count", F.lit(1 << 30))).groupBy("grp").agg(F.max("count").alias("count")), "grp")
+    heads = stored(heads.select("grp", "node", "n", "prefix", (5 * F.col("count") >= F.size("prefix")).alias("close")))
+    others = members.join(heads.select("grp", "prefix", F.col("node").alias("leader")), "grp").where("node != leader").select("node", "n", "prefix")
+    facts = heads.select("node", "n", "prefix").union(others)
+
+    # sets of nodes that share a fifth of their prefix with others; a pair that needs more asks for more
+    where = filled.groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("x")).select("node", "x.doc_id", "x.text_key")
+    asked = heads.where("close").select("node").union(members.select("node")).distinct()
+    sets = [stored(whole_sets(docs, size, where.join(asked, "node").select(place_of().alias("place"))))]
     links, labels = None, None
     for leaders in (1, LEADERS, None):
         pairs = to_leaders(_labelled(buckets, labels), leaders, percent) if leaders else open_pairs(rows, members, labels, percent)
-        found = stored(verified(pairs, sets, percent, order))
+        pairs = stored(likely(pairs, facts, percent, order))
+        have = reduce(DataFrame.union, sets)
+        missing = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(have.select("node"), "node", "left_anti")
+        if not missing.isEmpty():
+            sets.append(stored(whole_sets(docs, size, where.join(missing, "node").select(place_of().alias("place")))))
+        found = stored(verified(pairs, reduce(DataFrame.union, sets), percent))
         links = found if links is None else links.union(found)
         labels = components(links)
 
