@@ -17,8 +17,8 @@ from collections.abc import Callable, Iterable
 
 import regex
 
-CHUNKS = 250_000  # entries of each memo; twice as many are held at most
-PIECES = 250_000
+CHUNKS = 180_000  # entries of each memo; twice as many are held at most
+PIECES = 180_000
 
 # fixed values: pre-split patterns of the two vocabularies
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
