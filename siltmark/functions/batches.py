@@ -6,10 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """An array<number> column whose rows have one length, as a (rows, length) matrix."""
+    """An array<number> column whose rows have one length, as a (rows, length) matrix; NULL or ragged rows are refused."""
+    sizes = pc.unique(pc.list_value_length(column))
+    if len(sizes) > 1 or column.null_count:
+        raise ValueError(f"vectors of one length are needed; there are {column.null_count} NULL ones and lengths {sizes.to_pylist()[:5]}")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
 

@@ -126,12 +126,17 @@ def param_grid(spark, **lists: Sequence) -> DataFrame:
 
 
 def append_new(rows: DataFrame, ledger: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(new, conflicts): rows whose key the ledger lacks, and keys it has with another payload."""
+    """(new, conflicts): rows whose key the ledger lacks, and keys with different payloads in the ledger or in ``rows``.
+
+    Of equal rows one is appended; of a key whose rows differ, none.
+    """
     keys = list(keys)
-    new = rows.join(ledger.select(*keys), keys, "left_anti")
+    rows = rows.distinct()
+    doubled = rows.groupBy(*keys).count().where("count > 1").select(*keys)
+    new = rows.join(ledger.select(*keys), keys, "left_anti").join(doubled, keys, "left_anti")
     payload = [c for c in rows.columns if c not in keys]
     mine = rows.select(*keys, F.sha2(F.to_json(F.struct(*payload)).cast("binary"), 256).alias("_mine"))
     held = ledger.select(*keys, F.sha2(F.to_json(F.struct(*payload)).cast("binary"), 256).alias("_held"))
     conflicts = mine.join(held, keys).where(F.col("_mine") != F.col("_held")).select(*keys)
-    return new, conflicts.distinct()
+    return new, conflicts.union(doubled).distinct()
 

@@ -126,11 +126,14 @@ def per_class_summary(pred: DataFrame, classes: Sequence[str]) -> DataFrame:
 
 
 def label_parity(a: DataFrame, b: DataFrame, key: str, floor: float = 0.999) -> DataFrame:
-    """Share of equal labels between two predictions of the same items, and whether it is enough."""
+    """Share of equal labels between two predictions of the same items, and whether it is enough.
+
+    An item that one side lacks, or without a label there, counts as a disagreement.
+    """
     left = a.select(key, F.col("y_pred").cast("string").alias("_a"))
     right = b.select(key, F.col("y_pred").cast("string").alias("_b"))
-    joined = left.join(right, key)
-    equal = F.avg((F.col("_a") == F.col("_b")).cast("double"))
+    joined = left.join(right, key, "full")
+    equal = F.avg(F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).cast("double"))
     return joined.agg(equal.alias("agreement"), F.count(F.lit(1)).alias("n")).withColumn(
         "ok", F.coalesce(F.col("agreement") >= floor, F.lit(False))
     )

@@ -8,24 +8,23 @@ from pyspark.sql import functions as F
 from ..config import ANGLE_WINDOW
 from ..operators import features, information, selection, splits
 
-MAX_TRAIN, MAX_TEST, MAX_BUDGET = 128, 256, 12
+MAX_TRAIN, MAX_BUDGET = 128, 12
 
 
 def prepare_split(
-    split: DataFrame, budget: int, seed: int = 42, max_train: int = 48, max_test: int = 64, bins: int = 8
+    split: DataFrame, budget: int, seed: int = 42, max_train: int = 48, bins: int = 8
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, record) for every repeat of a split.
 
-    Train rows are capped with two of every class kept, test rows without a look at
-    their labels. Features are ranked by information on the capped train rows, best
+    Train rows are capped with two of every class kept, the bound of the small fit; every
+    test row is kept. Features are ranked by information on the capped train rows, best
     first, and scaled to the angle window by the train range, unclipped. The record
     has one row per repeat: what was chosen, the scores, the range, the population.
     """
-    if not 2 <= max_train <= MAX_TRAIN or not 1 <= max_test <= MAX_TEST:
-        raise ValueError(f"caps must be train 2..{MAX_TRAIN} and test 1..{MAX_TEST}")
+    if not 2 <= max_train <= MAX_TRAIN:
+        raise ValueError(f"the cap on train rows must be 2..{MAX_TRAIN}")
     train = splits.cap_rows_stratified(features.train_rows(split), max_train, seed)
-    test = splits.cap_rows(split.where("is_test"), max_test, seed + 1)
-    capped = train.unionByName(test).persist()
+    capped = train.unionByName(split.where("is_test")).persist()
     width = capped.select(F.max(F.size("features"))).collect()[0][0] or 0
     if not 2 <= budget <= min(MAX_BUDGET, width):
         capped.unpersist()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,17 +47,27 @@ def ingest_once(
     path: str,
     checkpoint: str,
     key: str = "item_id",
-    event_time: str = "ts",
-    delay: str = "1 day",
     trigger: Mapping[str, object] | None = None,
 ):
-    """Append new items to a Parquet table, each key once within the watermark, each file once ever."""
-    unique = items.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+    """Append new items to a Parquet table (one folder per batch), each key once ever, however late it comes.
+
+    A batch that is run again after a failure replaces its own folder only. Items without a key are left out.
+    """
+
+    def append(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        try:
+            held = spark.read.schema(f"{key} {batch.schema[key].dataType.simpleString()}, epoch long").parquet(path)
+            fresh = fresh.join(held.where(F.col("epoch") != epoch).select(key), key, "left_anti")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        fresh.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
     return (
-        unique.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
+        items.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(append)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

@@ -46,6 +46,8 @@ def test_parity(spark):
     a = preds(spark, 0.0, reps=1)
     assert one(metrics.label_parity(a, a, "item_id"))["ok"]
     assert not one(metrics.label_parity(a, preds(spark, 0.3, reps=1), "item_id"))["ok"]
+    half = one(metrics.label_parity(a, a.limit(1), "item_id"))
+    assert half["agreement"] < 1 and not half["ok"]
 
 
 COUNTS = "i int, j int, bits string, n bigint"

@@ -119,12 +119,12 @@ def test_prepared_split_and_its_record(spark):
     from siltmark.plans.prepare import prepare_split
 
     split = splits.group_split(vectors(spark, 60), "grp", [0, 1], 0.3)
-    prepared, record = prepare_split(split, 2, max_train=20, max_test=7, bins=4)
+    prepared, record = prepare_split(split, 2, max_train=20, bins=4)
     got = one(record.where("rep = 1"))
-    assert got["selected"][0] == 0 and len(got["ids_train"]) == len(got["groups_train"]) == 20 and len(got["ids_test"]) == 7
+    assert got["selected"][0] == 0 and len(got["ids_train"]) == len(got["groups_train"]) == 20 and len(got["ids_test"]) == split.where("rep = 1 and is_test").count()
     assert not set(got["groups_train"]) & set(got["groups_test"])
     train = [r["features"] for r in prepared.where("rep = 1 and not is_test").collect()]
     assert min(v[0] for v in train) == pytest.approx(0.05) and max(v[0] for v in train) == pytest.approx(1.52)
-    for bad in (dict(budget=1), dict(budget=3), dict(budget=2, max_train=500), dict(budget=2, max_test=0)):
+    for bad in (dict(budget=1), dict(budget=3), dict(budget=2, max_train=500)):
         with pytest.raises(ValueError):
             prepare_split(split, **bad)

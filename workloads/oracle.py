@@ -469,8 +469,7 @@ CTE["prep_train"] = """
     SELECT *, md5((rep + 9) || ':' || row_id) AS h, row_number() OVER (PARTITION BY rep, label ORDER BY md5((rep + 9) || ':' || row_id)) <= 2 AS must
     FROM vec_split WHERE NOT is_test) QUALIFY row_number() OVER (PARTITION BY rep ORDER BY must DESC, h) <= 48"""
 CTE["prep_test"] = """
-  SELECT rep, row_id, label, features FROM vec_split WHERE is_test
-  QUALIFY row_number() OVER (PARTITION BY rep ORDER BY md5((rep + 10) || ':' || row_id)) <= 64"""
+  SELECT rep, row_id, label, features FROM vec_split WHERE is_test"""
 CTE["prep_long"] = """
   SELECT rep, row_id, label, is_test, (i - 1)::INT AS f, features[i] AS x FROM (
     SELECT *, false AS is_test FROM prep_train UNION ALL SELECT *, true FROM prep_test), (SELECT unnest(range(1, 65)) AS i)"""
