@@ -14,6 +14,10 @@ documents link when 100 * |intersection| >= percent * |union|; classes are what
    filtered by size, expanded to members of different classes, filtered by the overlap that
    the prefixes still allow, and verified on the whole sets. Links inside a class cannot change
    it, so no class is missed.
+5. A shingle that ``CROWD`` or more nodes of several classes share would give pairs by the square.
+   Its nodes lie in blocks of about ``BLOCK_NODES`` nodes, and pairs of blocks that share such a
+   shingle are compared as whole blocks, on all members, by a matrix product. Only links that
+   join classes leave a task, so rows grow with the pairs of blocks.
 
 Shingles and sets are told apart by 64-bit hashes. Texts with fewer words than a shingle have
 one shingle, the whole sequence; NULL texts and texts without words have none and link with
@@ -40,6 +44,9 @@ COUNTERS = 1 << 22  # of the order's sketch: 16 MB, whatever the corpus
 BLOCK = 1 << 18
 FILTER_BITS = 1 << 24  # of the filter of nodes whose sets are kept: 2 MB
 LEADERS = 8
+CROWD = 64
+BLOCK_NODES = 64
+BLOCK_TOKENS = 1 << 14
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -263,17 +270,30 @@ def to_leaders(rows: DataFrame, count: int, percent: int) -> DataFrame:
     return chosen.select(F.least("node", "x.leader").alias("a"), F.greatest("node", "x.leader").alias("b")).distinct()
 
 
-def open_pairs(rows: DataFrame, members: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Every pair of nodes of different classes whose groups share a prefix shingle, or that are of one group.
+def open_buckets(rows: DataFrame, members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """((bucket, size) of buckets with nodes of several classes, (bucket, node, n, head, comp) of those with a crowd).
+
+    Nodes are all members of the bucket's groups; a group of several is a bucket too.
+    """
+    inside = members.select("grp", F.col("node").alias("member"), F.col("n").alias("n_member"))
+    every = rows.join(inside, "grp", "left").select("bucket", F.coalesce("member", "node").alias("node"), F.coalesce("n_member", "n").alias("n"), "head")
+    every = _labelled(every.union(members.select("grp", "node", "n", F.lit(True))), labels)
+    sizes = every.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"))
+    sizes = stored(sizes.where("low != high").select("bucket", "size"))
+    crowds = stored(every.join(sizes.where(F.col("size") >= CROWD), "bucket").select("bucket", "size", "node", "n", "head", "comp"))
+    return sizes, crowds
+
+
+def open_pairs(rows: DataFrame, members: DataFrame, labels: DataFrame | None, percent: int, sizes: DataFrame) -> DataFrame:
+    """Every pair of nodes of different classes whose groups share a prefix shingle without a crowd, or that are of one such group.
 
     ``rows`` are (bucket, node, n, head, grp) with the group's leader as node, ``members`` (grp, node, n) of groups with several.
     """
     inside = _labelled(members, labels)
     span = inside.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    units = _labelled(rows, labels).join(span, "grp", "left")
+    few = sizes.where(F.col("size") < CROWD).select("bucket")
+    units = _labelled(rows.join(few, "bucket"), labels).join(span, "grp", "left")
     units = units.withColumns({"low": F.coalesce("low", "comp"), "high": F.coalesce("high", "comp")})
-    mixed = units.groupBy("bucket").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least != most").select("bucket")
-    units = units.join(mixed, "bucket")
     x = units.select("bucket", *[F.col(c).alias(f"{c}_x") for c in ("grp", "node", "n", "low", "high", "head")])
     y = units.select("bucket", *[F.col(c).alias(f"{c}_y") for c in ("grp", "node", "n", "low", "high")])
     apart = (F.col("low_x") != F.col("high_x")) | (F.col("low_y") != F.col("high_y")) | (F.col("low_x") != F.col("low_y"))
@@ -281,7 +301,7 @@ def open_pairs(rows: DataFrame, members: DataFrame, labels: DataFrame | None, pe
     ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("grp_x") < F.col("grp_y")))
     met = x.join(y, "bucket").where(F.col("head_x") & ordered & (100 * F.col("n_x") >= percent * F.col("n_y")) & apart)
     met = met.select("grp_x", "node_x", "grp_y", "node_y").distinct()
-    own = inside.join(span.where("low != high").select("grp"), "grp").select("grp", "node", "comp")
+    own = inside.join(few.withColumnRenamed("bucket", "grp"), "grp").select("grp", "node", "comp")
 
     def expand(pairs: DataFrame, side: str) -> DataFrame:
         """Members in place of a group; a group of one is its leader."""
@@ -296,6 +316,81 @@ def open_pairs(rows: DataFrame, members: DataFrame, labels: DataFrame | None, pe
     return across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def open_blocks(crowds: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """((node, comp, block) of the nodes of crowds, (x, y) pairs of blocks that may hold links between classes).
+
+    A node's family is the largest crowd it is in. Large classes of a family have blocks of their own,
+    so blocks of one class need no comparison with each other.
+    """
+    nodes = crowds.groupBy("node").agg(F.max(F.struct("size", "bucket"))["bucket"].alias("family"), F.first("n").alias("n"), F.first("comp").alias("comp"))
+    nodes = stored(nodes)
+    classes_ = nodes.groupBy("family", "comp").agg(F.count("*").alias("nodes"), F.sum("n").alias("tokens"))
+    classes_ = classes_.withColumn("own", F.when(F.col("nodes") >= BLOCK_NODES, F.col("comp")))
+    parts = F.ceil(F.greatest(F.sum("nodes") / BLOCK_NODES, F.sum("tokens") / BLOCK_TOKENS))
+    parts = classes_.groupBy("family", "own").agg(parts.alias("parts")).toDF("fam", "owner", "parts")
+    shares = classes_.join(parts, F.col("family").eqNullSafe(F.col("fam")) & F.col("own").eqNullSafe(F.col("owner"))).select("family", "comp", "own", "parts")
+    block = F.xxhash64("family", "own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("parts")))
+    placed = stored(nodes.join(shares, ["family", "comp"]).select("node", "n", "comp", block.alias("block")))
+    facts = placed.groupBy("block").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    at = crowds.select("bucket", "node", "head").join(placed.select("node", "block"), "node").groupBy("bucket", "block").agg(F.max("head").alias("head"))
+    at = at.join(facts, "block")
+    names = ("block", "head", "low", "high", "least", "most")
+    x, y = (at.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in names]) for s in ("x", "y"))
+    apart = (F.col("low_x") != F.col("high_x")) | (F.col("low_y") != F.col("high_y")) | (F.col("low_x") != F.col("low_y"))
+    sized = (100 * F.col("most_x") >= percent * F.col("least_y")) & (100 * F.col("most_y") >= percent * F.col("least_x"))
+    met = x.join(y, "bucket").where((F.col("block_x") <= F.col("block_y")) & (F.col("head_x") | F.col("head_y")) & apart & sized)
+    return placed.select("node", "comp", "block"), stored(met.select(F.col("block_x").alias("x"), F.col("block_y").alias("y")).distinct())
+
+
+def joining_links(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) between nodes (node, comp, tokens) of two blocks, as many as join all classes that links connect."""
+    xs, ys = ([(i, c, _tokens(t)) for i, c, t in {r[0]: r for r in side}.values()] for side in (left, right))
+    found = [t for _, _, t in xs + ys]
+    flat, at = np.unique(np.concatenate(found), return_inverse=True)
+    ends = np.cumsum([0, *map(len, found)])
+    common = np.zeros((len(xs), len(ys)), np.float32)
+    step = 1 << 14
+    for first in range(0, len(flat), step):  # a slice of the shingles at a time
+        marks = np.zeros((len(found), step), np.float32)
+        for i in range(len(found)):
+            here = at[ends[i] : ends[i + 1]]
+            lo, hi = np.searchsorted(here, (first, first + step))
+            marks[i, here[lo:hi] - first] = 1
+        common += marks[: len(xs)] @ marks[len(xs) :].T
+    common = common.astype(np.int64)
+    sizes = np.diff(ends)
+    union = sizes[: len(xs), None] + sizes[None, len(xs) :] - common
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(100 * common >= percent * union), strict=True):
+        p, q = top(xs[i][1]), top(ys[j][1])
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append((xs[i][0], ys[j][0]))
+    return out
+
+
+def verified_blocks(pairs: DataFrame, placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join classes, from pairs (x, y) of blocks; ``placed`` has (node, comp, block)."""
+    inside = placed.join(sets, "node").groupBy("block").agg(F.collect_list(F.struct("node", "comp", "tokens")).alias("nodes"))
+    left, right = (inside.select(F.col("block").alias(s), F.col("nodes").alias(f"nodes_{s}")) for s in ("x", "y"))
+
+    def do(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for x, y in zip(batch.column("nodes_x"), batch.column("nodes_y"), strict=True):
+            out += joining_links(*([(r["node"], r["comp"], r["tokens"]) for r in side.as_py()] for side in (x, y)), percent)
+        ends = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends.T)), pa.array(np.maximum(*ends.T))], names=["a", "b"])
+
+    return arrow_map(pairs.join(left, "x").join(right, "y").select("nodes_x", "nodes_y"), do, "a long, b long", rows=8).distinct()
+
+
 def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text_key, n, comp) of every row of ``docs``: size of its set, and a name of its class if the set is not empty."""
     spark = docs.sparkSession
@@ -324,16 +419,29 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     asked = heads.where("close").select("node").union(members.select("node")).distinct()
     sets = [stored(whole_sets(docs, size, where.join(asked, "node").select(place_of().alias("place"))))]
     links, labels = None, None
-    for leaders in (1, LEADERS, None):
-        pairs = to_leaders(_labelled(buckets, labels), leaders, percent) if leaders else open_pairs(rows, members, labels, percent)
-        pairs = stored(likely(pairs, facts, percent, order))
-        have = reduce(DataFrame.union, sets)
-        missing = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(have.select("node"), "node", "left_anti")
+
+    def fetch(wanted: DataFrame) -> DataFrame:
+        """All sets so far, with those of the wanted nodes."""
+        missing = wanted.distinct().join(reduce(DataFrame.union, sets).select("node"), "node", "left_anti")
         if not missing.isEmpty():
             sets.append(stored(whole_sets(docs, size, where.join(missing, "node").select(place_of().alias("place")))))
-        found = stored(verified(pairs, reduce(DataFrame.union, sets), percent))
+        return reduce(DataFrame.union, sets)
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        pairs = stored(likely(pairs, facts, percent, order))
+        return stored(verified(pairs, fetch(pairs.select(F.explode(F.array("a", "b")).alias("node"))), percent))
+
+    for leaders in (1, LEADERS):
+        found = compare(to_leaders(_labelled(buckets, labels), leaders, percent))
         links = found if links is None else links.union(found)
         labels = components(links)
+    sizes, crowds = open_buckets(rows, members, labels)
+    links = links.union(compare(open_pairs(rows, members, labels, percent, sizes)))
+    placed, block_pairs = open_blocks(crowds, percent)
+    if not block_pairs.isEmpty():
+        placed = placed.join(block_pairs.select(F.explode(F.array("x", "y")).alias("block")).distinct(), "block")
+        links = links.union(stored(verified_blocks(block_pairs, placed, fetch(placed.select("node")), percent)))
+    labels = components(links)
 
     return _labelled(known.select("doc_id", "text_key", "n", "node"), labels).select("doc_id", "text_key", "n", "comp")
 

@@ -182,6 +182,30 @@ def test_ngram_join(docs, none):
     assert ngram_join.link_documents(none, 3, 90).count() == 0
 
 
+def test_ngram_join_crowd(spark, monkeypatch):
+    """A family around the threshold, most members without a link, against brute force."""
+    met = []
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", 16)
+    monkeypatch.setattr(ngram_join, "verified_blocks", lambda *a, f=ngram_join.verified_blocks: met.append(a[0].count()) or f(*a))
+    rng = np.random.default_rng(16)
+    rows = []
+    for i in range(300):
+        found = [f"b{i % 2}w{j}" for j in range(200)]
+        for at in rng.choice(200, rng.integers(2, 7), replace=False):
+            found[at] = f"new{rng.integers(10**6)}"
+        rows.append((i, " ".join(found)))
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    links = [(i, j) for i in range(300) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    low, before = list(range(300)), None
+    while low != before:
+        before = list(low)
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    got = {r.doc_id: r.component_id for r in ngram_join.link_documents(_docs(spark, rows), 5, 80).collect()}
+    assert [got[i] for i in range(300)] == low
+    assert len(set(low)) > 20 and met and 0 < met[0] < 2000
+
+
 def test_packing(docs, none):
     rows = packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), 2).collect()
     by = {}
