@@ -165,12 +165,12 @@ def _passes(nodes: np.ndarray, packed: np.ndarray) -> np.ndarray:
     return ((packed[at >> 3] >> (7 - (at & 7))) & 1).all(0)
 
 
-def chosen(df: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose node is among ``nodes``, and the few others that the filter lets through."""
+def chosen(df: DataFrame, nodes: DataFrame, name: str = "node") -> DataFrame:
+    """Rows of ``df`` whose node (or other named key) is among ``nodes``, and the few others that the filter lets through."""
     wanted = df.sparkSession.sparkContext.broadcast(np.packbits(node_filter(nodes)))  # FILTER_BITS bits
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(_passes(batch.column("node").to_numpy(zero_copy_only=False), wanted.value)))
+        return batch.filter(pa.array(_passes(batch.column(name).to_numpy(zero_copy_only=False), wanted.value)))
 
     return arrow_map(df, each, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema))
 
@@ -261,8 +261,12 @@ def _near(a: str, b: str, percent: int):
 def to_leaders(rows: DataFrame, count: int, percent: int) -> DataFrame:
     """Pairs of nodes with leaders of their buckets that are not in their class, the ``count`` most frequent for each node."""
     pick = [F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(r))) for r in range(count)]
-    open_ = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.array_distinct(F.array(*pick)).alias("leaders")).where("low != high")
-    met = rows.join(open_.select("bucket", "leaders"), "bucket").select("node", "n", "comp", F.explode("leaders").alias("l"))
+    # leaders are picked where several classes meet (and where the filter errs), so other buckets send two numbers;
+    # a join with the open buckets would put all rows of a bucket into one task
+    span = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    rows = chosen(rows, span.where("low != high").select("bucket"), "bucket")
+    leaders = rows.groupBy("bucket").agg(F.array_distinct(F.array(*pick)).alias("leaders"))
+    met = rows.join(leaders, "bucket").select("node", "n", "comp", F.explode("leaders").alias("l"))
     met = met.where((F.col("comp") != F.col("l.comp")) & _near("n", "l.n", percent))
     met = met.groupBy("node", F.col("l.node").alias("leader")).count()
     best = F.slice(F.sort_array(F.collect_list(F.struct("count", "leader")), asc=False), 1, count)
@@ -428,7 +432,9 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         return reduce(DataFrame.union, sets)
 
     def compare(pairs: DataFrame) -> DataFrame:
-        pairs = stored(likely(pairs, facts, percent, order))
+        pairs = stored(pairs)
+        near = chosen(facts, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        pairs = stored(likely(pairs, near, percent, order))
         return stored(verified(pairs, fetch(pairs.select(F.explode(F.array("a", "b")).alias("node"))), percent))
 
     for leaders in (1, LEADERS):
