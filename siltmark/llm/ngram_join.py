@@ -270,8 +270,8 @@ def to_leaders(rows: DataFrame, count: int, percent: int) -> DataFrame:
     met = met.where((F.col("comp") != F.col("l.comp")) & _near("n", "l.n", percent))
     met = met.groupBy("node", F.col("l.node").alias("leader")).count()
     best = F.slice(F.sort_array(F.collect_list(F.struct("count", "leader")), asc=False), 1, count)
-    chosen = met.groupBy("node").agg(best.alias("best")).select("node", F.explode("best").alias("x"))
-    return chosen.select(F.least("node", "x.leader").alias("a"), F.greatest("node", "x.leader").alias("b")).distinct()
+    closest = met.groupBy("node").agg(best.alias("best")).select("node", F.explode("best").alias("x"))
+    return closest.select(F.least("node", "x.leader").alias("a"), F.greatest("node", "x.leader").alias("b")).distinct()
 
 
 def open_buckets(rows: DataFrame, members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
