@@ -9,6 +9,7 @@ ordinary id that sorts first. A NULL text has no words and no lines.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,6 +24,7 @@ from siltmark.session import ensure_checkpoint_dir
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +71,17 @@ def hashes(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
 
 
+def word_hashes(text: bytes, piece: int = 1 << 19) -> np.ndarray:
+    """``hashes(words(text))``; of a long text, the words of about ``piece`` bytes are held at a time."""
+    parts, at = [], 0
+    while at < len(text) or not parts:
+        blank = _BLANK.search(text, at + piece)
+        end = blank.start() if blank else len(text)
+        parts.append(hashes(words(text[at:end])))
+        at = end
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values, one to one."""
     values = (values ^ (values >> np.uint64(30))) * _MIX2
@@ -106,6 +119,7 @@ def arrow_map(
             for i in range(0, batch.num_rows, rows):
                 out = each(batch.slice(i, rows))
                 yield from ([out] if isinstance(out, pa.RecordBatch) else out)
+        pa.default_memory_pool().release_unused()  # workers stay for other tasks
 
     return df.mapInArrow(run, schema)
 

@@ -37,12 +37,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import arrow_map, hashes, keyed, stored, text_key, texts, windows, words
+from siltmark.llm.common import arrow_map, keyed, stored, text_key, texts, windows, word_hashes
 from siltmark.llm.components import components
 
 COUNTERS = 1 << 22  # of the order's sketch: 16 MB, whatever the corpus
 BLOCK = 1 << 18
 FILTER_BITS = 1 << 24  # of the filter of nodes whose sets are kept: 2 MB
+FILTER_BLOCKS = 64
+SUMS = 32  # tasks that add up blocks, of which there is a fixed number
 LEADERS = 8
 CROWD = 64
 BLOCK_NODES = 64
@@ -50,7 +52,7 @@ BLOCK_TOKENS = 1 << 14
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
-    h = hashes(words(text.lower()))
+    h = word_hashes(text.lower())
     return np.unique(windows(h, min(size, len(h)))) if len(h) else h
 
 
@@ -78,7 +80,7 @@ def _summed(df: DataFrame, kind: str) -> dict[int, np.ndarray]:
                     held[block] = part.astype(np.uint32) if old is None else old + part
         yield _blocks(held)
 
-    rows = df.repartition("block").mapInArrow(run, "block int, data binary").collect()
+    rows = df.repartition(SUMS, "block").mapInArrow(run, "block int, data binary").collect()
     return {r["block"]: np.frombuffer(zlib.decompress(r["data"]), np.uint8 if kind == "bits" else np.uint32) for r in rows}
 
 
@@ -98,7 +100,7 @@ def count_sketch(docs: DataFrame, size: int) -> np.ndarray:
                 flat = np.concatenate([shingles(t, size) for t in found[i : i + 256]])
                 np.add.at(total, (flat % np.uint64(COUNTERS)).astype(np.int64), np.uint32(1))
         # a task's counts stop at 255: enough to tell frequent from rare, and any fixed order is a right one
-        yield _blocks(dict(enumerate(np.minimum(total, 255).astype(np.uint8).reshape(-1, BLOCK))))
+        yield _blocks(dict(enumerate(np.minimum(total, 255, out=total).astype(np.uint8).reshape(-1, BLOCK))))
 
     out = np.zeros(COUNTERS, np.uint32).reshape(-1, BLOCK)
     for block, data in _summed(docs.select("text").mapInArrow(run, "block int, data binary"), "counts").items():
@@ -141,22 +143,24 @@ def _filter_bits(nodes: np.ndarray) -> np.ndarray:
     return np.concatenate([x % np.uint64(FILTER_BITS), (x >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(FILTER_BITS)]).reshape(2, -1).astype(np.int64)
 
 
-def node_filter(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over a column of nodes."""
-    width = FILTER_BITS // 8 // 64
+def node_filters(nodes: DataFrame) -> list[np.ndarray]:
+    """For each column of nodes a packed Bloom filter of fixed size over it, all from one pass."""
+    count, width = len(nodes.columns), FILTER_BITS // 8 // FILTER_BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS, bool)
+        bits = np.zeros((count, FILTER_BITS // 8), np.uint8)
         for batch in batches:
-            bits[_filter_bits(batch.column(0).to_numpy(zero_copy_only=False)).ravel()] = True
-        packed = np.packbits(bits).reshape(64, width)
+            for own, column in zip(bits, batch.columns, strict=True):
+                at = _filter_bits(column.to_numpy(zero_copy_only=False)).ravel()
+                np.bitwise_or.at(own, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        packed = bits.reshape(-1, width)
         at = np.flatnonzero(packed.any(1))
         yield _blocks({int(i): packed[i] for i in at})
 
-    out = np.zeros((64, width), np.uint8)
+    out = np.zeros((count * FILTER_BLOCKS, width), np.uint8)
     for block, data in _summed(nodes.mapInArrow(run, "block int, data binary"), "bits").items():
         out[block] = data
-    return np.unpackbits(out.ravel()).astype(bool)
+    return list(out.reshape(count, -1))
 
 
 def _passes(nodes: np.ndarray, packed: np.ndarray) -> np.ndarray:
@@ -165,9 +169,9 @@ def _passes(nodes: np.ndarray, packed: np.ndarray) -> np.ndarray:
     return ((packed[at >> 3] >> (7 - (at & 7))) & 1).all(0)
 
 
-def chosen(df: DataFrame, nodes: DataFrame, name: str = "node") -> DataFrame:
-    """Rows of ``df`` whose node (or other named key) is among ``nodes``, and the few others that the filter lets through."""
-    wanted = df.sparkSession.sparkContext.broadcast(np.packbits(node_filter(nodes)))  # FILTER_BITS bits
+def chosen(df: DataFrame, passing: np.ndarray, name: str = "node") -> DataFrame:
+    """Rows of ``df`` whose node (or other named key) passes a filter of ``node_filters``."""
+    wanted = df.sparkSession.sparkContext.broadcast(passing)  # FILTER_BITS bits
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(_passes(batch.column(name).to_numpy(zero_copy_only=False), wanted.value)))
@@ -180,7 +184,7 @@ def whole_sets(docs: DataFrame, size: int, places: DataFrame) -> DataFrame:
 
     Tokens are the upper 48 bits of the shingles' hashes, in order.
     """
-    wanted = docs.sparkSession.sparkContext.broadcast(np.packbits(node_filter(places)))  # FILTER_BITS bits
+    wanted = docs.sparkSession.sparkContext.broadcast(*node_filters(places))  # FILTER_BITS bits
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = batch.filter(pa.array(_passes(batch.column("place").to_numpy(zero_copy_only=False), wanted.value)))
@@ -197,9 +201,10 @@ def place_of() -> Column:
     return F.xxhash64("doc_id", "text_key", F.lit("place"))
 
 
-def _tokens(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _tokens(data: bytes | pa.Buffer) -> np.ndarray:
+    found = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(found), 8), np.uint8)
+    out[:, 2:] = found
     return out.view(np.uint64).ravel()
 
 
@@ -238,13 +243,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def do(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
-        for ta, tb in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist(), strict=True):
-            x, y = _tokens(ta), _tokens(tb)
+        for ta, tb in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
+            x, y = _tokens(ta.as_buffer()), _tokens(tb.as_buffer())
             common = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * common >= percent * (len(x) + len(y) - common))
         return _kept(batch, keep)
 
-    left, right = (chosen(sets, pairs.select(s)).toDF(s, f"tokens_{s}") for s in ("a", "b"))
+    left, right = (chosen(sets, f).toDF(s, f"tokens_{s}") for s, f in zip("ab", node_filters(pairs.select("a", "b")), strict=True))
     return arrow_map(pairs.join(right, "b").join(left, "a").select("a", "b", "tokens_a", "tokens_b"), do, "a long, b long").distinct()
 
 
@@ -264,7 +269,7 @@ def to_leaders(rows: DataFrame, count: int, percent: int) -> DataFrame:
     # leaders are picked where several classes meet (and where the filter errs), so other buckets send two numbers;
     # a join with the open buckets would put all rows of a bucket into one task
     span = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    rows = chosen(rows, span.where("low != high").select("bucket"), "bucket")
+    rows = chosen(rows, *node_filters(span.where("low != high").select("bucket")), "bucket")
     leaders = rows.groupBy("bucket").agg(F.array_distinct(F.array(*pick)).alias("leaders"))
     met = rows.join(leaders, "bucket").select("node", "n", "comp", F.explode("leaders").alias("l"))
     met = met.where((F.col("comp") != F.col("l.comp")) & _near("n", "l.n", percent))
@@ -433,7 +438,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     def compare(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs)
-        near = chosen(facts, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+        near = chosen(facts, *node_filters(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
         pairs = stored(likely(pairs, near, percent, order))
         return stored(verified(pairs, fetch(pairs.select(F.explode(F.array("a", "b")).alias("node"))), percent))
 
