@@ -51,7 +51,8 @@ def repeat_cutoffs(
     table: 4,096 counts per repeat and pass, then ``enough`` hashes per repeat. Hashes
     are uniform, so one pass settles millions of rows and two settle billions.
     """
-    rows = df.select(F.col(key).alias("_k"), F.col(hashed).alias("_h"))
+    # a NULL key has no hash and so no place in the order
+    rows = df.select(F.col(key).alias("_k"), F.col(hashed).alias("_h")).where("_h is not null")
     prefix: dict[int, str] = {}
     need: dict[int, int] = {}
     for length in range(step, 33, step):

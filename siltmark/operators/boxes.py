@@ -53,11 +53,17 @@ def attach_image_status(boxes: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def rescale_boxes(boxes: DataFrame) -> DataFrame:
-    """Box coordinates x, y, w, h in pixels of the actual image; NULL when a dimension is not positive."""
+    """Box coordinates x, y, w, h in pixels of the actual image; NULL when a dimension is not positive.
+
+    A box that is not four finite numbers has no coordinates and gets the reason bad_box.
+    """
+    finite = F.forall("bbox", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    sound = F.coalesce((F.size("bbox") == 4) & finite, F.lit(False))
     sx = F.when(F.col("width") > 0, F.col("actual_width") / F.col("width"))
     sy = F.when(F.col("height") > 0, F.col("actual_height") / F.col("height"))
-    scaled = [F.col("bbox")[i] * s for i, s in enumerate((sx, sy, sx, sy))]
-    return boxes.select("*", *[c.alias(n) for c, n in zip(scaled, "xywh")])
+    scaled = [F.when(sound, F.get("bbox", F.lit(i))) * s for i, s in enumerate((sx, sy, sx, sy))]
+    placed = boxes.select("*", *[c.alias(n) for c, n in zip(scaled, "xywh")])
+    return placed.withColumn("reason", F.coalesce("reason", F.when(~sound, "bad_box")))
 
 
 def expand_boxes(boxes: DataFrame, margin: float = MARGIN) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -167,7 +168,7 @@ def split_violations(
     both = rows.groupBy("grp").agg(F.count_distinct("is_test").alias("n")).where("n > 1")
     classes = train.agg(F.count_distinct("label").alias("k")).where("k < 2")
     unseen = test.select("label").distinct().join(train.select("label").distinct(), "label", "left_anti")
-    empty = rows.where((F.col("id") == "") | (F.col("grp") == "") | (F.col("label") == ""))
+    empty = rows.where(reduce(Column.__or__, [F.coalesce(c, F.lit("")) == "" for c in ("id", "grp", "label")]))
     declared = rows.limit(1).where(~F.lit(transform_fit).isin("raw", "train_only"))
     return union_violations(
         finding(n_widths, "split_width", F.lit("features"), F.lit("feature vectors differ in width")),
@@ -176,6 +177,6 @@ def split_violations(
         finding(both, "split_groups", F.col("grp"), F.lit("group is on both sides")),
         finding(classes, "split_classes", F.lit("label"), F.lit("training needs at least two classes")),
         finding(unseen, "split_labels", F.col("label"), F.lit("test label is absent from training")),
-        finding(empty, "split_empty", F.col("id"), F.lit("empty identifier")),
+        finding(empty, "split_empty", F.coalesce("id", F.lit("")), F.lit("empty identifier")),
         finding(declared, "split_transform", F.lit("transform_fit"), F.lit("declare raw or train_only")),
     )

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import columns as fx
-from ..operators.validate import finding
+from ..operators.validate import finding, row_findings
+
+LISTS = ("images", "categories", "annotations")
 
 
 def read_annotations(
@@ -17,12 +21,37 @@ def read_annotations(
 
     One JSON document is one row and so one task; a set that is too large for that
     is stored as shards, each with a part of the lists, one per file or one per line.
+    A document that is not valid JSON fails the job that reads it; ``broken_documents`` lists all of them.
+    Shards may repeat the category list: a category occurs as often as in the shard that has it most often,
+    so one that is doubled inside a shard stays doubled for the report.
     """
-    docs = spark.read.schema(schemas.ANNOTATION_DOCUMENT).option("multiLine", one_per_file).json(path)
+    docs = _documents(spark, path, one_per_file)
+    why = F.concat(F.lit("not a valid JSON document: "), F.col("_file"))
     images, categories, annotations = (
-        docs.select(F.explode(c).alias("r")).select("r.*") for c in ("images", "categories", "annotations")
+        docs.select("_doc", F.explode(F.when(_broken(), F.raise_error(why)).otherwise(F.col(c))).alias("r")).select("_doc", "r.*")
+        for c in LISTS
     )
-    return images, categories.distinct(), annotations
+    names = [c for c in categories.columns if c != "_doc"]
+    often = categories.groupBy(*categories.columns).agg(F.count(F.lit(1)).alias("_n")).groupBy(*names).agg(F.max("_n").alias("_n"))
+    copies = often.select(*names, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*names)
+    return images.drop("_doc"), copies, annotations.drop("_doc")
+
+
+def broken_documents(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Findings: the files with documents that are not valid JSON, once for each document."""
+    # a filter would be pushed into the parser, which has no corrupt record yet
+    return row_findings(_documents(spark, path, one_per_file), [(_broken(), "json", F.col("_file"), "not a valid JSON document")])
+
+
+def _documents(spark: SparkSession, path: str, one_per_file: bool) -> DataFrame:
+    schema = f"{schemas.ANNOTATION_DOCUMENT}, _corrupt_record string"
+    docs = spark.read.schema(schema).option("multiLine", one_per_file).json(path)
+    return docs.select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_doc"))
+
+
+def _broken() -> Column:
+    """No list could be read; a field of another type only makes that field NULL."""
+    return reduce(Column.__and__, [F.col(c).isNull() for c in LISTS], F.col("_corrupt_record").isNotNull())
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:

@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import columns as fx
+from ..operators.validate import row_findings
 
 MANIFEST_NAME = "run_manifest.json"
 ARTIFACT_TABLE = "artifacts"
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per stored (repeat, arm) document, with the file it came from."""
-    docs = spark.read.schema(schemas.ARTIFACT).option("multiLine", True).json(path)
-    return docs.withColumn("artifact", fx.base_name(F.input_file_name()))
+    """One row per stored (repeat, arm) document, with the file it came from.
+
+    A document that is not valid JSON fails the job that reads it; ``broken_artifacts`` lists all of them.
+    """
+    docs = _documents(spark, path)
+    why = F.concat(F.lit("not a valid JSON document: "), F.col("artifact"))
+    metrics = F.when(_broken(), F.raise_error(why)).otherwise(F.col("metrics"))
+    return docs.withColumn("metrics", metrics).drop("_corrupt_record")
+
+
+def broken_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """Findings: the stored documents that are not valid JSON."""
+    return row_findings(_documents(spark, path), [(_broken(), "json", F.col("artifact"), "not a valid JSON document")])
+
+
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    docs = spark.read.schema(f"{schemas.ARTIFACT}, _corrupt_record string").option("multiLine", True).json(path)
+    return docs.withColumn("artifact", F.col("_metadata.file_name"))
+
+
+def _broken() -> Column:
+    return F.col("_corrupt_record").isNotNull() & F.col("run_id").isNull() & F.col("metrics").isNull()
 
 
 def tidy(artifacts: DataFrame) -> DataFrame:

@@ -310,3 +310,11 @@ def test_ledger_never_replaces(spark, tmp_path):
     writers.write_new(spark.createDataFrame([("a", 1)], schema), path, ["key"])
     clash = writers.write_new(spark.createDataFrame([("a", 2), ("b", 3)], schema), path, ["key"])
     assert rows(clash) == [("a",)] and rows(spark.read.parquet(path)) == [("a", 1), ("b", 3)]
+
+
+def test_a_cut_off_artifact_is_not_lost(spark, tmp_path):
+    (tmp_path / "rep0_A.json").write_text('{"run_id": "x", "rep": 0, "metrics": {"u": {"predic')
+    path = str(tmp_path / "rep*_*.json")
+    with pytest.raises(Exception, match="not a valid JSON document: rep0_A.json"):
+        run_source.read_predictions(spark, str(tmp_path)).collect()
+    assert rows(run_source.broken_artifacts(spark, path)) == [("json", "rep0_A.json", "not a valid JSON document")]

@@ -313,3 +313,30 @@ def test_empty_and_corrupt_tables(spark):
     broken = spark.createDataFrame([("{",), (None,)], "_corrupt_record string")
     assert validate.corrupt_records(broken, "images").count() == 1
     assert one(validate.report_ok(validate.not_empty(empty, "images")))["ok"] is False
+
+
+def test_a_cut_off_shard_is_not_lost(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps(document()))
+    (tmp_path / "b.json").write_text(json.dumps(document())[:-40])
+    _, _, annotations = source.read_annotations(spark, str(tmp_path))
+    with pytest.raises(Exception, match="not a valid JSON document: b.json"):
+        annotations.collect()
+    assert rows(source.broken_documents(spark, str(tmp_path))) == [("json", "b.json", "not a valid JSON document")]
+
+
+def test_doubled_categories_stay_and_repeated_lists_do_not(spark, tmp_path):
+    doc = document()
+    (tmp_path / "a.json").write_text(json.dumps(doc))
+    (tmp_path / "b.json").write_text(json.dumps({"categories": doc["categories"]}))
+    assert source.read_annotations(spark, str(tmp_path))[1].count() == len(doc["categories"])
+    (tmp_path / "c.json").write_text(json.dumps({"categories": doc["categories"][:1] * 2}))
+    _, categories, _ = source.read_annotations(spark, str(tmp_path))
+    assert categories.count() == len(doc["categories"]) + 1
+    assert {"duplicate_id", "category"} == {r["code"] for r in validate.ids(categories, "categories").union(validate.category_names(categories)).collect()}
+
+
+def test_boxes_that_are_not_four_numbers_have_a_reason(spark):
+    odd = [None, [1.0, 2.0, 3.0], [1.0, 2.0, float("nan"), 9.0], [1.0, 2.0, None, 9.0], [1.0, 2.0, 30.0, 30.0]]
+    df = spark.createDataFrame([(i, box, 100, 100, 100, 100, None) for i, box in enumerate(odd)], "id int, bbox array<double>, width int, height int, actual_width int, actual_height int, reason string")
+    got = rows(boxes.mark_small(boxes.expand_boxes(boxes.rescale_boxes(df))).select("id", "reason"))
+    assert got == [(0, "bad_box"), (1, "bad_box"), (2, "bad_box"), (3, "bad_box"), (4, None)]

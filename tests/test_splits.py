@@ -128,3 +128,9 @@ def test_prepared_split_and_its_record(spark):
     for bad in (dict(budget=1), dict(budget=3), dict(budget=2, max_train=500)):
         with pytest.raises(ValueError):
             prepare_split(split, **bad)
+
+
+def test_rows_without_a_group_stay_in_training(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else f"g{i % 4}") for i in range(40)], "row_id int, grp string")
+    got = splits.group_split(df, "grp", [0, 1])
+    assert got.count() == 80 and got.where("grp is null and is_test").count() == 0 and got.where("is_test").count() > 0

@@ -187,11 +187,6 @@ def annotations(spark, sf) -> DataFrame:
     )
 
 
-def sound_annotations(spark, sf) -> DataFrame:
-    """Annotations whose box has four numbers; the crop plan, unlike the report, needs them."""
-    return annotations(spark, sf).where(F.size("bbox") == 4)
-
-
 # ---- runs, artifacts and the stored cache --------------------------------------------
 
 

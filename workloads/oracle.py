@@ -547,16 +547,17 @@ CTE["mapped"] = """
   SELECT a.*, c.name AS leaf, coalesce(t.coarse, 'Unlabeled litter') AS coarse FROM anns a JOIN cats c ON c.id = a.category_id LEFT JOIN taxo t ON t.leaf = c.name"""
 ORACLE["map_taxonomy"] = sql("SELECT id, leaf, coarse FROM mapped")
 CTE["corners"] = """
-  SELECT id, coarse, file_name, aw, ah, there, readable, bx IS NULL OR by_ IS NULL AS unplaced,
+  SELECT id, coarse, file_name, aw, ah, there, readable, four, bx IS NULL OR by_ IS NULL AS unplaced,
     greatest(0, trunc(bx - 0.1::DOUBLE * bw)::INT) AS x0, greatest(0, trunc(by_ - 0.1::DOUBLE * bh)::INT) AS y0,
     least(aw::INT, trunc(bx + bw * 1.1::DOUBLE)::INT) AS x1, least(ah::INT, trunc(by_ + bh * 1.1::DOUBLE)::INT) AS y1
-  FROM (SELECT m.id, m.coarse, i.file_name, d.aw, d.ah, d.file_name IS NOT NULL AS there, d.readable,
+  FROM (SELECT m.id, m.coarse, m.four, i.file_name, d.aw, d.ah, d.file_name IS NOT NULL AS there, d.readable,
           m.x * (d.aw / i.width) AS bx, m.y * (d.ah / i.height) AS by_, m.w * (d.aw / i.width) AS bw, m.h * (d.ah / i.height) AS bh
-        FROM mapped m JOIN (SELECT * REPLACE (nullif(width, 0) AS width) FROM imgs) i ON i.id = m.image_id LEFT JOIN disk d USING (file_name)
-        WHERE m.four AND m.coarse IN ('bottle', 'can', 'cup', 'lid'))"""
+        FROM (SELECT * REPLACE (CASE WHEN four THEN x END AS x, CASE WHEN four THEN y END AS y, CASE WHEN four THEN w END AS w, CASE WHEN four THEN h END AS h) FROM mapped) m
+        JOIN (SELECT * REPLACE (nullif(width, 0) AS width) FROM imgs) i ON i.id = m.image_id LEFT JOIN disk d USING (file_name)
+        WHERE m.coarse IN ('bottle', 'can', 'cup', 'lid'))"""
 CTE["crop_rows"] = """
   SELECT id, coarse, CASE WHEN there THEN x0 ELSE 0 END AS x0, CASE WHEN there THEN y0 ELSE 0 END AS y0, x1, y1,
-    CASE WHEN NOT there THEN 'missing_image' WHEN NOT readable THEN 'unreadable' WHEN unplaced THEN 'bad_dimension' WHEN x1 - x0 < 8 OR y1 - y0 < 8 THEN 'too_small' END AS reason,
+    CASE WHEN NOT there THEN 'missing_image' WHEN NOT readable THEN 'unreadable' WHEN NOT four THEN 'bad_box' WHEN unplaced THEN 'bad_dimension' WHEN x1 - x0 < 8 OR y1 - y0 < 8 THEN 'too_small' END AS reason,
     replace(replace(replace(file_name, chr(92), '_'), '/', '_'), '.jpg', '') || '_ann' || id || '.jpg' AS crop FROM corners"""
 ORACLE["crop_plan"] = sql("SELECT * FROM crop_rows")
 ORACLE["class_counts"] = sql("SELECT coarse, count(*) AS n FROM crop_rows WHERE reason IS NULL GROUP BY coarse")

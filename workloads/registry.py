@@ -650,7 +650,7 @@ def map_taxonomy(spark, sf):
 
 def _plan(spark, sf) -> DataFrame:
     return boxes.crop_plan(
-        b.sound_annotations(spark, sf), b.categories(spark, sf), b.images(spark, sf), b.taxonomy(spark, sf),
+        b.annotations(spark, sf), b.categories(spark, sf), b.images(spark, sf), b.taxonomy(spark, sf),
         b.files(spark, sf), ["bottle", "can", "cup", "lid"],
     )
 
