@@ -3,6 +3,8 @@
 Counts per document are joined with thresholds read off mergeable quantile sketches. One
 sketch is kept for each (language, source); the sketches of a language are merged for its
 small sources, and all of them for small languages, so no row is read twice for that.
+The merged sketches also bound the fences of what is in them: a source keeps nothing that
+its language as a whole keeps out.
 
 Empty or NULL texts have zero counts and fail the base rule. NULL ``lang`` or ``source`` is
 a group of its own. Repeated rows count as often as they occur. An empty table gives no rows.
@@ -22,14 +24,19 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
-#: metric -> (slack, sides): a fence is never nearer to its quartile than the slack
+#: metric -> (slack, sides, widest): a fence is never nearer to its quantile than the slack, and
+#: never beyond that of the widest rows named; words are longer in some languages than in most
 METRICS = {
-    "word_length": (2.0, "both"),
-    "symbol_share": (0.10, "upper"),
-    "dup_line_share": (0.30, "upper"),
-    "repeat_share": (0.30, "upper"),
+    "word_length": (2.0, "both", "lang"),
+    "symbol_share": (0.10, "upper", "all"),
+    "dup_line_share": (0.30, "upper", "all"),
+    "repeat_share": (0.30, "upper", "all"),
 }
 FENCE = 3.0
+#: rows beyond these quantiles, two fifths on either side, cannot move them
+MIDDLE = (0.4, 0.6)
+#: the quartiles of a normal distribution lie so many times farther apart than these quantiles
+TO_QUARTILES = 2.6623
 MIN_ROWS = 100
 
 
@@ -84,9 +91,10 @@ def _metrics() -> dict[str, Column]:
 def thresholds(stats: DataFrame, fence: float = FENCE, min_rows: int = MIN_ROWS) -> DataFrame:
     """Lower and upper fence of each metric for every (lang, source) of ``stats``.
 
-    Quartiles come from one KLL sketch per group, built on the map side and merged after
-    the shuffle. A group under ``min_rows`` takes its language's merged sketch, a language
-    under it the merged sketch of all.
+    Quantiles come from one KLL sketch per group, built on the map side and merged after
+    the shuffle. A group under ``min_rows`` takes its language's fence, a language under it
+    that of all. A larger one takes its own, or the other where that is narrower; only the
+    word length of a language is its own alone.
     """
     metrics = _metrics()
     groups = stored(
@@ -102,12 +110,18 @@ def thresholds(stats: DataFrame, fence: float = FENCE, min_rows: int = MIN_ROWS)
     g = groups.withColumn("one", F.lit(1)).alias("g")
     wide = g.join(lang, F.col("g.lang").eqNullSafe(F.col("l.lang"))).join(whole, F.col("g.one") == F.col("w.one"))
     cuts = []
-    for name, (slack, sides) in METRICS.items():
-        sketch = F.when(F.col("g.rows") >= min_rows, F.col(f"g.{name}")).when(F.col("l.rows") >= min_rows, F.col(f"l.{name}")).otherwise(F.col(f"w.{name}"))
-        low, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        reach = F.greatest(F.lit(fence) * (high - low), F.lit(slack))
-        cuts.append((high + reach).alias(f"{name}_max"))
-        cuts.append((low - reach if sides == "both" else F.lit(float("-inf"))).alias(f"{name}_min"))
+    for name, (slack, sides, widest) in METRICS.items():
+
+        def fences(side: str) -> tuple[Column, Column]:
+            low, high = (F.kll_sketch_get_quantile_double(F.col(f"{side}.{name}"), F.lit(q)) for q in MIDDLE)
+            reach = F.greatest(F.lit(fence * TO_QUARTILES) * (high - low), F.lit(slack))
+            return (low - reach if sides == "both" else F.lit(float("-inf"))), high + reach
+
+        own, of_lang, of_all = (fences(side) for side in "glw")
+        for i, (end, narrower) in enumerate((("min", F.greatest), ("max", F.least))):
+            outer = of_lang[i] if widest == "lang" else narrower(of_lang[i], of_all[i])
+            outer = F.when(F.col("l.rows") >= min_rows, outer).otherwise(of_all[i])
+            cuts.append(F.when(F.col("g.rows") >= min_rows, narrower(own[i], outer)).otherwise(outer).alias(f"{name}_{end}"))
     return wide.select("g.lang", "g.source", *cuts)
 
 

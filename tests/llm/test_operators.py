@@ -132,6 +132,48 @@ def test_quality_rules(docs, none):
     assert quality_rules.quality_rules(none).count() == 0
 
 
+def test_quality_fences_of_a_source_that_is_one_third_junk(spark):
+    """Every verdict against exact quantiles; groups are small enough for their sketches to be exact."""
+    rng = np.random.default_rng(5)
+
+    def good(n, longer=0):
+        return [" ".join("x" * int(k) + f"y{i}z{j}" for j, k in enumerate(rng.integers(1, 8 + longer, 60))) for i in range(n)]
+
+    marks = [" ".join([f"w{k}x{j}" for j in range(60)] + ["#"] * (20 + 2 * k)) for k in range(20)]
+    lined = ["\n".join("z\n" * (1 + k % 3) + " ".join(f"u{k}v{i}w{j}" for j in range(5)) for i in range(20)) for k in range(20)]
+    glued = [" ".join("q" * (30 + k) + f"{k}r{j}" for j in range(60)) for k in range(20)]
+    junk = set(marks + lined + glued)
+    placed = [("en", "clean", t) for t in good(50)] + [("en", "few", t) for t in good(8) + marks[:2]]
+    placed += [("en", source, t) for source, bad in (("m", marks), ("l", lined), ("g", glued)) for t in good(40) + bad]
+    placed += [("long", "clean", t) for t in good(50, 60)] + [("long", "few", t) for t in good(20, 60)]
+    placed += [(None, "tiny", t) for t in good(3) + lined[:3]]
+    rows = [(i, t, lang, source, len(t), 7, "k") for i, (lang, source, t) in enumerate(placed)]
+    out = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA), min_rows=50).collect()}
+    lines = {i: max(1, len([x for x in t.split("\n") if x.strip()])) for i, t, *_ in rows}
+
+    def metrics(r):
+        n = max(r.n_words, 1)
+        return r.word_chars / n, r.n_symbols / n, r.n_dup_lines / lines[r.doc_id], r.n_repeat_words / n
+
+    def fences(rows, m):
+        x = sorted(metrics(r)[m] for r in rows)
+        low, high = (x[int(np.ceil(q * len(x) - 1e-9)) - 1] for q in (0.4, 0.6))
+        reach = max(3 * 2.6623 * (high - low), (2.0, 0.1, 0.3, 0.3)[m])
+        return (low - reach if m == 0 else -np.inf), high + reach
+
+    for r in out.values():
+        of_lang = [x for x in out.values() if x.lang == r.lang]
+        own = [x for x in of_lang if x.source == r.source]
+        kept = not r.base_failed
+        for m, x in enumerate(metrics(r)):
+            inside = [fences(out.values(), m)] if m or len(of_lang) < 50 else []
+            inside += [fences(part, m) for part in (of_lang, own) if len(part) >= 50]
+            kept = kept and all(low <= x <= high for low, high in inside)
+        assert r.kept == kept, (r, metrics(r))
+    assert not any(r.kept for r in out.values() if rows[r.doc_id][1] in junk)
+    assert all(r.kept for r in out.values() if rows[r.doc_id][1] not in junk and r.lang is not None)
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://A.EXAMPLE.net/en/1?q#f", "http://example.net", "x://net/a", "http://b.example.com/de/1", "http://example.com/fr/",
             "https://www.org/fr/?x", "http://notnet/", "http://x.org/fr", "http://", "http://a.example.net/de/é"]
