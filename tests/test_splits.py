@@ -130,6 +130,40 @@ def test_prepared_split_and_its_record(spark):
             prepare_split(split, **bad)
 
 
+def test_preparation_reads_every_train_row(spark):
+    """Ranking and range against NumPy, with 14 features of which the capped rows alone would not show the best."""
+    import numpy as np
+    from siltmark.plans.prepare import prepare_split
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 14))
+    y = rng.integers(0, 2, 600)
+    for f in range(14):
+        x[:, f] += 0.06 * f * y
+    df = spark.createDataFrame([(i, f"g{i % 200}", "ab"[y[i]], x[i].tolist()) for i in range(600)], "row_id int, grp string, label string, features array<double>")
+    split = splits.group_split(df, "grp", [0, 1], 0.3)
+    prepared, record = prepare_split(split, 13, max_train=20, bins=4)
+    found, test = {}, {(r.rep, r.row_id): r.is_test for r in split.select("rep", "row_id", "is_test").collect()}
+    for r in prepared.collect():
+        found[r.rep, r.row_id] = r
+    assert {k: r.is_test for k, r in found.items()} == test
+    for rec in record.collect():
+        train = np.array(sorted(i for (rep, i), held in test.items() if rep == rec.rep and not held))
+        score = []
+        for f in range(14):
+            code = np.searchsorted(np.quantile(x[train, f], [0.25, 0.5, 0.75]), x[train, f], side="right")
+            joint = np.array([[((code == c) & (y[train] == k)).mean() for k in (0, 1)] for c in range(4)])
+            flat = np.outer(joint.sum(1), joint.sum(0))
+            score.append(float((joint[joint > 0] * np.log(joint[joint > 0] / flat[joint > 0])).sum()))
+        want = sorted(range(14), key=lambda f: (-round(score[f], 12), f))[:13]
+        low, high = x[train][:, want].min(0), x[train][:, want].max(0)
+        assert rec.selected == want and rec.scores == pytest.approx([score[f] for f in want])
+        assert rec.range_min == pytest.approx(low) and rec.range_max == pytest.approx(high) and rec.n_ranked == len(train)
+        for i in range(600):
+            assert found[rec.rep, i].features == pytest.approx(0.05 + (x[i, want] - low) * 1.47 / (high - low))
+        assert rec.ids_train == [i for i in range(600) if found[rec.rep, i].in_fit] and len(rec.ids_train) == 20
+
+
 def test_rows_without_a_group_stay_in_training(spark):
     df = spark.createDataFrame([(i, None if i % 5 == 0 else f"g{i % 4}") for i in range(40)], "row_id int, grp string")
     got = splits.group_split(df, "grp", [0, 1])

@@ -620,19 +620,34 @@ def rbf_head(spark, sf):
 
 @query
 def prepare_split(spark, sf):
-    """Capped, ranked and scaled rows as (rep, row_id, is_test, place in the ranking, value)."""
-    rows, _ = prepare.prepare_split(b.vector_split(spark, sf), 6, seed=9)
+    """Capped, ranked and scaled rows as (rep, row_id, is_test, place in the ranking, value), as the SQL twin defines them."""
+    rows, _ = prepare.prepare_split(b.vector_split(spark, sf), 6, seed=9, capped_only=True)
     return rounded(rows.select("rep", "row_id", "is_test", F.posexplode("features").alias("i", "x")), "x")
 
 
 @query
 def prepare_split_record(spark, sf):
-    _, record = prepare.prepare_split(b.vector_split(spark, sf), 6, seed=9)
+    _, record = prepare.prepare_split(b.vector_split(spark, sf), 6, seed=9, capped_only=True)
     return record.select(
         "rep", fx.join_indices("selected").alias("selected"), F.size("ids_train").alias("n_train"), F.size("ids_test").alias("n_test"), "clipped"
     )
 
 
+@query
+def prepare_split_whole(spark, sf):
+    """Every row, ranked and scaled by all train rows."""
+    rows, _ = prepare.prepare_split(b.vector_split(spark, sf), 6, seed=9)
+    return rounded(rows.select("rep", "row_id", "is_test", "in_fit", F.posexplode("features").alias("i", "x")), "x")
+
+
+@query
+def prepare_split_whole_record(spark, sf):
+    _, record = prepare.prepare_split(b.vector_split(spark, sf), 6, seed=9)
+    return record.select(
+        "rep", fx.join_indices("selected").alias("selected"), "n_ranked", F.size("ids_train").alias("n_train"), F.size("ids_test").alias("n_test"), "clipped"
+    )
+
+
 # ---- annotation sets ------------------------------------------------------------------------
 
 
