@@ -44,43 +44,67 @@ def hash_cutoffs(df: DataFrame, keys: Sequence[str], hashed: str, n: Column) ->
 def repeat_cutoffs(
     df: DataFrame, hashed: str, n: Callable[[int], int], key: str = "rep", step: int = 3, enough: int = 1000
 ) -> dict[int, str]:
-    """Per repeat the n(total)-th smallest hash; a repeat of which none is wanted is left out.
+    """Per repeat the n(total)-th smallest hash, as ``repeat_ties`` finds it."""
+    return {k: cutoff for k, (cutoff, _, _) in repeat_ties(df, hashed, n, key, step, enough).items()}
 
-    The prefix that holds the wanted hash is made longer, three digits a pass, until
-    at most ``enough`` rows share it. What reaches the driver is bounded whatever the
-    table: 4,096 counts per repeat and pass, then ``enough`` hashes per repeat. Hashes
-    are uniform, so one pass settles millions of rows and two settle billions.
+
+def repeat_ties(
+    df: DataFrame, hashed: str, n: Callable[[int], int], key: str = "rep", step: int = 3, enough: int = 1000
+) -> dict[int, tuple[str, int, int]]:
+    """Per repeat (the n(total)-th smallest hash, how many rows of it are among the n, how many there are).
+
+    A repeat of which no row is wanted is left out. The prefix that holds the wanted hash
+    is made longer, three digits a pass, until at most ``enough`` different hashes share
+    it. What reaches the driver is bounded whatever the table and however often a hash
+    occurs: 4,096 counts per repeat and pass, then ``enough`` hashes with their counts per
+    repeat. Hashes are uniform, so one pass settles millions of rows and two settle billions.
     """
     # a NULL key has no hash and so no place in the order
     rows = df.select(F.col(key).alias("_k"), F.col(hashed).alias("_h")).where("_h is not null")
     prefix: dict[int, str] = {}
     need: dict[int, int] = {}
+
+    def near(length: int) -> DataFrame:
+        return rows.where(_starts(prefix, length)).groupBy("_k", "_h").agg(F.count(F.lit(1)).alias("_c"))
+
     for length in range(step, 33, step):
-        near = rows if length == step else rows.where(_starts(prefix, length - step))
-        counts = near.groupBy("_k", F.left("_h", F.lit(length)).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-        cells: dict[int, list[tuple[str, int]]] = {}
+        p = F.left("_h", F.lit(length)).alias("_p")
+        if length == step:
+            # equal hashes are not put together before the first pass, which would shuffle the table
+            counts = rows.groupBy("_k", p).agg(F.count(F.lit(1)).alias("_c")).withColumn("_d", F.col("_c"))
+        else:
+            counts = near(length - step).groupBy("_k", p).agg(F.sum("_c").alias("_c"), F.count(F.lit(1)).alias("_d"))
+        cells: dict[int, list[tuple[str, int, int]]] = {}
         for r in counts.collect():
-            cells.setdefault(r["_k"], []).append((r["_p"], r["_c"]))
+            cells.setdefault(r["_k"], []).append((r["_p"], r["_c"], r["_d"]))
         largest = 0
         for k, found in cells.items():
             if length == step:
-                total = sum(c for _, c in found)
+                total = sum(c for _, c, _ in found)
                 need[k] = min(n(total), total)
             left = need[k]
-            for p, c in sorted(found):
+            for p, c, d in sorted(found):
                 if left <= c:
                     break
                 left -= c
-            prefix[k], need[k], largest = p, left, max(largest, c)
+            prefix[k], need[k], largest = p, left, max(largest, d)
         if largest <= enough:
             break
     prefix = {k: p for k, p in prefix.items() if need[k] > 0}
     if not prefix:
         return {}
-    last: dict[int, list[str]] = {}
-    for r in rows.where(_starts(prefix, length)).collect():
-        last.setdefault(r["_k"], []).append(r["_h"])
-    return {k: sorted(found)[need[k] - 1] for k, found in last.items()}
+    last: dict[int, list[tuple[str, int]]] = {}
+    for r in near(length).collect():
+        last.setdefault(r["_k"], []).append((r["_h"], r["_c"]))
+    ties = {}
+    for k, found in last.items():
+        left = need[k]
+        for h, c in sorted(found):
+            if left <= c:
+                break
+            left -= c
+        ties[k] = (h, left, c)
+    return ties
 
 
 def _starts(prefix: dict[int, str], length: int) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import seeded_hash
 from ..functions.joins import small
-from ..functions.ranking import hash_cutoffs, repeat_cutoffs
+from ..functions.ranking import hash_cutoffs, repeat_cutoffs, repeat_ties
 
 
 def _rep_array(reps: Sequence[int]) -> Column:
@@ -52,10 +52,23 @@ def group_split(
 
 
 def cap_rows(df: DataFrame, n: int, seed: int, row_id: str = "row_id", by: str = "rep") -> DataFrame:
-    """At most n rows per repeat, chosen by a seeded hash of the id alone, so blind to the label."""
+    """At most n rows per repeat, chosen by a seeded hash of the id alone, so blind to the label.
+
+    Where only some rows of the last id find room, a seeded hash of their columns decides.
+    """
     hashed = df.withColumn("_hash", seeded_hash(F.col(by) + F.lit(seed), F.col(row_id)))
-    cutoffs = repeat_cutoffs(hashed, "_hash", lambda total: n, by)
-    return hashed.where(_up_to(cutoffs, by)).drop("_hash")
+    ties = repeat_ties(hashed, "_hash", lambda total: n, by)
+    chosen = hashed.where(_up_to({k: h for k, (h, _, _) in ties.items()}, by))
+    short = {k: (h, wanted) for k, (h, wanted, copies) in ties.items() if wanted < copies}
+    if not short:
+        return chosen.drop("_hash")
+    at = lambda i: F.try_element_at(F.create_map(*[F.lit(v) for k, x in short.items() for v in (k, x[i])]), F.col(by))
+    tied = F.coalesce(F.col("_hash") == at(0), F.lit(False))
+    # the bound by a literal is applied in every task before the rows of an id meet
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), *df.columns)))
+    some = chosen.where(tied).withColumn("_place", place).where(F.col("_place") <= max(w for _, w in short.values()))
+    some = some.where(F.col("_place") <= at(1)).drop("_place")
+    return chosen.where(~tied).unionByName(some).drop("_hash")
 
 
 def _up_to(cutoffs: dict[int, str], by: str) -> Column:

@@ -130,6 +130,31 @@ def test_prepared_split_and_its_record(spark):
             prepare_split(split, **bad)
 
 
+def test_cap_with_an_id_on_a_third_of_the_rows(spark, monkeypatch):
+    import hashlib
+
+    ids = ["hot"] * 2000 + [f"r{i}" for i in range(4000)]
+    df = spark.createDataFrame([(rep, x, i) for rep in (0, 1) for i, x in enumerate(ids)], "rep int, row_id string, i int")
+    fetched, collect = [], type(df).collect
+
+    def counted(self):
+        fetched.append(collect(self))
+        return fetched[-1]
+
+    for n in (300, 4200):
+        order = {rep: sorted(hashlib.md5(f"{rep + 7}:{x}".encode()).hexdigest() for x in ids) for rep in (0, 1)}
+        hot = {rep: hashlib.md5(f"{rep + 7}:hot".encode()).hexdigest() for rep in (0, 1)}
+        n += max(order[rep].index(hot[rep]) for rep in (0, 1)) if n == 300 else 0
+        with monkeypatch.context() as m:
+            m.setattr(type(df), "collect", counted)
+            capped = splits.cap_rows(df, n, 7)
+        assert max(map(len, fetched)) <= 2 * 4096 and len(fetched[-1]) <= 2 * 1000
+        got = capped.collect()
+        assert len({(r.rep, r.i) for r in got}) == len(got) == 2 * n
+        for rep in (0, 1):
+            assert sorted(hashlib.md5(f"{rep + 7}:{r.row_id}".encode()).hexdigest() for r in got if r.rep == rep) == order[rep][:n]
+
+
 def test_preparation_reads_every_train_row(spark):
     """Ranking and range against NumPy, with 14 features of which the capped rows alone would not show the best."""
     import numpy as np
