@@ -277,3 +277,122 @@ def test_pipeline_stages_keep_columns(spark, docs, none):
     for table in (docs, none):
         for name, stage in corpus_pipeline.STAGES[1:4]:
             assert stage(spark, table, "").columns == table.columns, name
+
+
+def _plain_lines(rows):
+    """Without the lines of three-line windows that also start earlier, NULL ids first."""
+    seen, out = set(), {}
+    for i, text in sorted(rows.items(), key=lambda r: (r[0] is not None, r[0] or 0)):
+        found = [] if text is None else text.split("\n")
+        gone = set()
+        for k in range(len(found) - 2):
+            w = tuple(found[k : k + 3])
+            if any(x.strip() for x in w):
+                gone |= {k, k + 1, k + 2} if w in seen else set()
+                seen.add(w)
+        out[i] = "\n".join(x for k, x in enumerate(found) if k not in gone) if gone else text
+    return out
+
+
+def _plain_classes(rows):
+    """The smallest id of every class of near-duplicates, NULL ids last, and all rows without words."""
+    order = sorted(rows, key=lambda i: (i is None, i or 0))
+    sets = {}
+    for i in order:
+        w = (rows[i] or "").split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    low, before = {i: n for n, i in enumerate(order)}, None
+    while low != before:
+        before = dict(low)
+        for i in order:
+            for j in order:
+                if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    low[i] = low[j] = min(low[i], low[j])
+    return {i: rows[i] for n, i in enumerate(order) if low[i] == n}
+
+
+def _plain_spans(rows):
+    """Without the words under 20-word windows that also start earlier, NULL ids first."""
+    seen, out = set(), {}
+    for i, text in sorted(rows.items(), key=lambda r: (r[0] is not None, r[0] or 0)):
+        w, gone = (text or "").split(), set()
+        for k in range(len(w) - 19):
+            x = tuple(w[k : k + 20])
+            gone |= set(range(k, k + 20)) if x in seen else set()
+            seen.add(x)
+        out[i] = " ".join(x for k, x in enumerate(w) if k not in gone) if gone else text
+    return out
+
+
+def test_pipeline_against_plain_python(spark, tmp_path, monkeypatch):
+    """The whole chain; each stage on what the stage before it returned."""
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(11)
+    vocabulary = [f"{a}{b}{c}" for a in ("ba", "lo", "mi", "ter") for b in ("na", "ru", "sol", "ven") for c in ("", "s", "ing", "ed", "ly")]
+
+    def prose(n, per_line=6):
+        w = rng.choice(vocabulary, n).tolist()
+        return "\n".join(" ".join(w[k : k + per_line]) for k in range(0, n, per_line))
+
+    good = [prose(int(rng.integers(60, 200))) for _ in range(60)]
+    shared_lines, shared_words = prose(24), " ".join(rng.choice(vocabulary, 30))
+    for i in range(40, 46):
+        good[i] = good[i] + "\n" + shared_lines + "\n" + prose(30)
+    for i in range(46, 52):
+        good[i] = good[i].replace("\n", " ") + " " + shared_words + " " + prose(12).replace("\n", " ")
+    # copies with two words changed, in lines that are broken elsewhere
+    near = [" ".join(["other", *g.split()[1:-1], "last"]) for g in good[:8]]
+    long = " ".join(rng.choice(vocabulary, 3000))
+    junk = ["$$$ %%% ### *** " * (8 + i) + "&&& ||| " * 5 for i in range(20)]
+    texts = [*good, *near, long, *junk]
+    at = (rng.permutation(len(texts)) + 1).tolist()
+    at[3] = None
+    rows = [(i, t, "en", "s", len(t), 7, "clash") for i, t in zip(at, texts, strict=True)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(t not in junk), 0) for i, t in zip(at, texts, strict=True) if i is not None]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    made = []
+    monkeypatch.setattr(corpus_pipeline, "stored", lambda df, f=corpus_pipeline.stored: made.append(f(df)) or made[-1])
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(made) == len(corpus_pipeline.STAGES) == 5
+
+    kept = [{r.doc_id: r.text for r in df.collect()} for df in made[:4]]
+    assert [df.count() for df in made[:4]] == [len(x) for x in kept]
+    before = dict(zip(at, texts, strict=True))
+    assert kept[0] == {i: t for i, t in before.items() if t not in junk}
+    assert kept[1] == _plain_lines(kept[0]) != kept[0]
+    assert kept[2] == _plain_classes(kept[1]) != kept[1]
+    assert kept[3] == _plain_spans(kept[2]) != kept[2]
+    library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids + [2] for i, t in kept[3].items()}
+    assert {r.doc_id for r in packed} == set(ids) and len({(r.doc_id, r.piece) for r in packed}) == len(packed)
+    for i, want in ids.items():
+        mine = sorted((r for r in packed if r.doc_id == i), key=lambda r: r.start)
+        assert [r.start for r in mine] == np.cumsum([0, *[r.length for r in mine]])[:-1].tolist() and sum(r.length for r in mine) == len(want)
+        assert [r.ids_crc32 for r in mine] == [zlib.crc32(np.array(want[r.start : r.start + r.length], "<u4").tobytes()) for r in mine]
+    by = {}
+    for r in packed:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spots in by.values():
+        assert [o for o, _ in sorted(spots)] == np.cumsum([0, *[n for _, n in sorted(spots)]])[:-1].tolist() and sum(n for _, n in spots) <= 1024
+
+
+def test_likeness_of_every_row(spark, monkeypatch):
+    """Both likenesses of 90 documents in several ranges, from whole digest sets."""
+    monkeypatch.setattr(fingerprint, "in_order", lambda docs, f=fingerprint.in_order: f(docs, 16))
+    rng = np.random.default_rng(12)
+    lines_ = [f"line {k} " + "y" * (k % 9) for k in range(60)]
+    rows = [(i, "\n".join(rng.choice(lines_, rng.integers(0, 80)))) for i in range(90)] + [(None, None)]
+    got = {r.doc_id: r for r in fingerprint.compare_versions(_docs(spark, rows)).collect()}
+
+    def alike(a, b):
+        a, b = (set(fingerprint.digests(x.encode()).tolist()) for x in (a, b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    order = sorted(rows, key=lambda r: -1 if r[0] is None else r[0], reverse=True)
+    assert len(got) == len(rows)
+    for (i, text), (_, following) in zip(order, order[1:] + order[:1], strict=True):
+        text, following = text or "", following or ""
+        assert got[i].near_next == pytest.approx(alike(text, following))
+        assert got[i].near_edited == pytest.approx(alike(text, fingerprint.edited(text, following)))
