@@ -11,6 +11,11 @@ document. Paths are brought together by minimizer in order of their source coord
 at an earlier coordinate is repeated. Repeated runs return to their documents by a join, and
 the words they cover are removed.
 
+A minimizer with very many different paths, as a phrase in ever new surroundings has, would
+bring them all to one task. Such minimizers are looked for in a sample of the documents, which
+decides the way only, not the result: the edges of their paths are grouped by (minimizer, edge)
+for the least coordinate, with partial results in every task, and joined with that.
+
 Edges are compared by 64 bits of minimizer and 48 bits of window. Documents with fewer words
 than a window keep them all, as do NULL and empty texts (no words). Rows equal in id and text
 are one document and keep their first occurrence in each row. Rows of one id with different
@@ -24,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import arrow_map, hashes, mixed, rewrite_texts, same_document, signed, text_key, texts, windows, words
+from siltmark.llm.common import arrow_map, hashes, mixed, rewrite_texts, same_document, signed, stored, text_key, texts, windows, words
 
 WINDOW = 20
 SEED = 6
 CHUNK_WORDS = 300_000
 EDGE = 6  # bytes of an edge beside its minimizer
 SLICE = 1 << 15  # rows whose groups are numbered together
+SAMPLE = 16  # one document in so many is looked at for hot minimizers
+HOT_PATHS = 1 << 17  # a minimizer with more paths, by the sample, is hot
+MOST_HOT = 10_000  # the hottest, what is broadcast
 PATHS = "minimizer long, doc_id long, text_key long, start int, windows int, edges binary"
 RUNS = "doc_id long, text_key long, start int, windows int"
 
@@ -141,10 +149,39 @@ def _repeats(batches):
         last, seen = minimizer[-1], np.unique(same & ((np.uint64(1) << bits) - np.uint64(1)))
 
 
+def hot_minimizers(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> list[int]:
+    """Minimizers of which a sample of the documents promises more than ``HOT_PATHS`` paths."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SAMPLE)) == 0)
+    counts = paths(some, window, seed).where(F.length("edges") > 0).groupBy("minimizer").count()
+    found = counts.where(F.col("count") * SAMPLE > HOT_PATHS).orderBy(F.desc("count"), "minimizer").limit(MOST_HOT)
+    return [r["minimizer"] for r in found.collect()]
+
+
+def _repeated_edges(hot: DataFrame) -> DataFrame:
+    """Repeated runs of paths whose minimizers are hot, a run for each window."""
+    piece = lambda i: F.struct((F.col("start") + i).alias("start"), F.substring("edges", i * EDGE + 1, F.lit(EDGE)).alias("edge"))
+    one = F.explode(F.transform(F.sequence(F.lit(0), F.col("windows") - 1), piece)).alias("x")
+    edges = hot.select("minimizer", "doc_id", "text_key", one).select("minimizer", "doc_id", "text_key", "x.start", "x.edge")
+    place = F.struct("doc_id", "text_key", "start")
+    first = edges.groupBy("minimizer", "edge").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    first = first.where(~F.col("first").eqNullSafe(F.col("last"))).select("minimizer", "edge", "first")
+    later = edges.join(first, ["minimizer", "edge"]).where(~place.eqNullSafe(F.col("first")))
+    return later.select("doc_id", "text_key", "start", F.lit(1).alias("windows"))
+
+
 def repeated_runs(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(doc_id, text_key, start, windows): runs of windows that also start at an earlier coordinate."""
-    graph = paths(docs, window, seed).repartition("minimizer").sortWithinPartitions("minimizer", "doc_id", "text_key", "start")
-    return graph.mapInArrow(_repeats, RUNS)
+    graph, found = paths(docs, window, seed), hot_minimizers(docs, window, seed)
+    edges = None
+    if found:
+        hot = F.broadcast(docs.sparkSession.createDataFrame([(m,) for m in found], "minimizer long"))
+        edges = _repeated_edges(stored(graph.join(hot, "minimizer").where(F.length("edges") > 0)))
+        # a decided path has a random number for its minimizer and no edges
+        marked = graph.join(hot.withColumn("apart", F.lit(True)), "minimizer", "left")
+        graph = marked.where(F.col("apart").isNull() | (F.length("edges") == 0)).drop("apart")
+    graph = graph.repartition("minimizer").sortWithinPartitions("minimizer", "doc_id", "text_key", "start")
+    runs = graph.mapInArrow(_repeats, RUNS)
+    return runs.unionByName(edges) if edges is not None else runs
 
 
 def identified(docs: DataFrame) -> tuple[Column, DataFrame]:

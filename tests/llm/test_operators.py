@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siltmark.llm import bpe, classifier, fingerprint, lines, ngram_join, packing, quality_rules, spans, token_files, tokens, url_rules
@@ -378,6 +379,30 @@ def test_pipeline_against_plain_python(spark, tmp_path, monkeypatch):
         assert [o for o, _ in sorted(spots)] == np.cumsum([0, *[n for _, n in sorted(spots)]])[:-1].tolist() and sum(n for _, n in spots) <= 1024
 
 
+def test_spans_with_a_phrase_in_many_surroundings(spark, monkeypatch):
+    """Paths of a hot minimizer don't meet in one task, and the result is that of brute force."""
+    rng = np.random.default_rng(21)
+    phrase = " ".join(f"hot{k}" for k in range(6))
+    pool = [" ".join(f"p{i}q{j}" for j in range(40)) for i in range(5)]
+    rows = []
+    for i in range(400):
+        w = [f"u{i}v{k}" for k in range(30)]
+        rows.append((None if i == 7 else i, " ".join([*w[:15], phrase, *w[15:], pool[i % 5] if i % 3 == 0 else "", phrase, *w[:25]])))
+    docs = _docs(spark, rows)
+    largest = []
+    plain = {i: (t or "").split() for i, t in _plain_spans(dict(rows)).items()}
+    for sample, most in ((1, 0), (1, 100), (16, 1 << 17)):
+        monkeypatch.setattr(spans, "SAMPLE", sample)
+        monkeypatch.setattr(spans, "HOT_PATHS", most)
+        single = spans.identified(docs.select("doc_id", "text"))[1]
+        hot = spans.hot_minimizers(single)
+        largest.append(len(hot))
+        met = spans.paths(single).where(~F.col("minimizer").isin(hot) & (F.length("edges") > 0)).groupBy("minimizer").count().agg(F.max("count")).first()[0] or 0
+        assert met <= most
+        assert {r.doc_id: r.text.split() for r in spans.remove_repeats(docs).collect()} == plain
+    assert largest[0] > largest[1] > largest[2] == 0
+
+
 def test_likeness_of_every_row(spark, monkeypatch):
     """Both likenesses of 90 documents in several ranges, from whole digest sets."""
     monkeypatch.setattr(fingerprint, "in_order", lambda docs, f=fingerprint.in_order: f(docs, 16))
