@@ -146,3 +146,15 @@ def test_arms_in_one_table(ctx):
 
 def test_bins_are_reused(ctx):
     assert ctx.mi is ctx.mi and isinstance(ctx.pairs, type(ctx.binned)) and features.EDGE_GAP == 1e-8
+
+
+def test_tuned_head_predicts_every_held_out_row(spark):
+    from conftest import SMALL
+    from workloads import bindings as b
+    from workloads.registry import QUERIES
+
+    got = QUERIES["tuned_head"](spark, SMALL).collect()
+    want = {(r.rep, str(r.row_id)): r.label for r in b.vector_split(spark, SMALL).where("is_test").collect()}
+    assert len(got) == len(want) and {(r.rep, r.item_id): r.y_true for r in got} == want
+    assert {r.reg for r in got} <= {0.001, 0.01, 0.1} and {r.rep for r in got} == set(b.VECTOR_REPS)
+    assert {r.y_pred for r in got} <= set(want.values()) and len({r.y_pred for r in got}) > 1
