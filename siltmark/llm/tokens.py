@@ -95,6 +95,43 @@ class ByteEncoder:
         return self._plain(text) if text else b""
 
 
+class RankEncoder:
+    """Byte-level vocabulary, whole texts at a time, by the ranks of its tokens.
+
+    Merging the pair of lowest rank and merging the pair whose union is the token of lowest id
+    are the same if ids ascend with ranks and every token is the encoding of its own label:
+    ``usable`` checks both. Very long white space goes to the library.
+    """
+
+    def __init__(self, tokenizer, definition: dict):
+        import tiktoken
+
+        self.special = special_ids(definition)
+        byte_of = {c: b for b, c in enumerate(byte_alphabet())}
+        ranks = {bytes(byte_of[c] for c in k): i for k, i in definition["model"]["vocab"].items() if k not in self.special}
+        self.ranks = tiktoken.Encoding("ranks", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.blank = re.compile(r"\s{5000}").search
+        self.library = tokenizer
+
+    @staticmethod
+    def usable(tokenizer, definition: dict) -> bool:
+        model, special, vocab = tokenizer.model, special_ids(definition), definition["model"]["vocab"]
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in definition["model"]["merges"])
+        made = [vocab[u + v] for u, v in pairs]
+        return made == sorted(made) and all([t.id for t in model.tokenize(k)] == [i] for k, i in vocab.items() if k not in special)
+
+    def ids(self, text: str) -> list[int]:
+        if self.cut and any(s in text for s in self.special):
+            return [i for p in self.cut.split(text) if p for i in ([self.special[p]] if p in self.special else self.ids(p))]
+        if len(text) >= 5000 and self.blank(text):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return self.ranks(text)
+
+    def __call__(self, text: str) -> bytes:
+        return id_bytes(self.ids(text))
+
+
 class WordEncoder:
     """Lower-cased vocabulary with word ends: words of ``WORD_PATTERN``, white space dropped."""
 
@@ -124,7 +161,7 @@ def special_ids(definition: dict) -> dict[str, int]:
     return {t["content"]: t["id"] for t in definition["added_tokens"] if t["special"]}
 
 
-def library_encoder(source: str) -> ByteEncoder | WordEncoder:
+def library_encoder(source: str) -> ByteEncoder | RankEncoder | WordEncoder:
     """Encoder over the words' ids of the tokenizers library; ``source`` is the tokenizer's JSON text."""
     from tokenizers import Tokenizer
 
@@ -139,7 +176,7 @@ def library_encoder(source: str) -> ByteEncoder | WordEncoder:
 
     special = special_ids(definition)
     if normal is None:
-        return ByteEncoder(ids, special)
+        return RankEncoder(tokenizer, definition) if RankEncoder.usable(tokenizer, definition) else ByteEncoder(ids, special)
     return WordEncoder(lambda w: ids(w.lower() if w.isascii() else normal.normalize_str(w)), lambda t: tokenizer.encode(t, add_special_tokens=False).ids, special)
 
 
