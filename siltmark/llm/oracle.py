@@ -64,9 +64,44 @@ SELECT l.doc_id, coalesce(len(a), 0)::BIGINT AS n_lines, coalesce(gone.n, 0)::BI
 FROM l LEFT JOIN gone USING (doc_id)
 """
 
+OP12 = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), n AS (SELECT conv_id, max(k) AS n FROM t GROUP BY conv_id
+), h AS (
+  SELECT conv_id, n, conv_id - conv_id % 5 AS base, xor(list_reduce(
+           list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+           lambda crc, byte: list_reduce(range(8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384), xor(crc, byte)), 4294967295::BIGINT
+         ), 4294967295::BIGINT) % 9 AS h FROM n
+), c AS (SELECT h.*, least(h, coalesce(b.n, 0)) AS m FROM h LEFT JOIN n b ON b.conv_id = h.base
+), r AS (
+  SELECT c.conv_id, k AS d, role, text FROM c JOIN t ON t.conv_id = c.base AND k <= c.h
+  UNION ALL SELECT c.conv_id, m + k - c.h, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND k > c.h
+), a AS (
+  SELECT c.conv_id, coalesce(s, []) AS s, coalesce(b, []) AS b FROM c LEFT JOIN (
+    SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY d) AS s, list(octet_length(encode(text)) ORDER BY d) AS b FROM r GROUP BY conv_id
+  ) USING (conv_id)
+), p AS (SELECT conv_id, d, array_to_string(list_slice(s, 1, d), ',') AS s, coalesce(b[d], 0) AS bytes, len(s) AS l FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM a)
+), m AS (
+  SELECT conv_id, d, l, bytes, min(conv_id) OVER (PARTITION BY d, s) AS node, count(*) OVER (PARTITION BY d, s) AS n_convs FROM p
+), v AS (
+  SELECT DISTINCT m.node, m.d, m.n_convs, (m.n_convs - 1) * m.bytes AS saving, up.node AS parent FROM m LEFT JOIN m up ON up.conv_id = m.node AND up.d = m.d - 1
+), w AS (
+  SELECT v.*, coalesce(k.n, 0) AS n_children FROM v LEFT JOIN (SELECT parent, d - 1 AS d, count(*) AS n FROM v GROUP BY ALL) k ON k.parent = v.node AND k.d = v.d
+), under AS (
+  SELECT m.node, m.d, count(*) FILTER (w.n_children = 0) AS leaves, sum(w.saving) AS saved FROM w JOIN m ON m.conv_id = w.node AND m.d <= w.d GROUP BY ALL
+), ends AS (SELECT node, d, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM m WHERE d = l GROUP BY ALL)
+SELECT w.node AS conv_id, w.d::BIGINT AS depth, w.parent AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM w JOIN under USING (node, d) LEFT JOIN ends USING (node, d)
+"""
+
 ORACLE = {
     "op1_ngram_jaccard_join": OP1,
     "op7_url_filters": OP7,
     "op8_substring_dedup": OP8,
     "op9_line_dedup": OP9,
+    "op12_conversation_trie": OP12,
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltmark.llm import bpe, classifier, fingerprint, lines, ngram_join, packing, periodic_runs, quality_rules, spans, token_counts, token_files, url_rules
+from siltmark.llm import bpe, classifier, conversation_trie, fingerprint, lines, ngram_join, packing, periodic_runs, quality_rules, spans, token_counts, token_files, url_rules
 from siltmark.llm.common import table
 
 
@@ -70,6 +70,11 @@ def op11_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"), limit=1024)
 
 
+def op12_conversation_trie(spark: SparkSession, sf: str) -> DataFrame:
+    conv = F.col("conv_id")
+    return conversation_trie.prefix_trie(table(spark, sf, "conversations"), base=conv - conv % 5, head=F.crc32(conv.cast("string")) % 9, most_head=8)
+
+
 def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.periodic_runs(table(spark, sf, "documents"), periodic_runs.repeated_tail))
 
@@ -78,6 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_bpe_encode_decode, op3_token_files, op4_document_fingerprints, op5_quality_classifier,
-        op6_quality_rules, op7_url_filters, op8_substring_dedup, op9_line_dedup, op10_best_fit_packing, op11_token_counts, op13_periodic_runs,
+        op6_quality_rules, op7_url_filters, op8_substring_dedup, op9_line_dedup, op10_best_fit_packing, op11_token_counts, op12_conversation_trie, op13_periodic_runs,
     )
 } | {"pipeline": corpus_pipeline.run}
