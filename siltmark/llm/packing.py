@@ -1,16 +1,17 @@
-"""Best-fit packing of documents into sequences of at most ``SIZE`` tokens.
+"""Packing of documents into sequences of at most ``SIZE`` tokens, as few as can be found.
 
 Documents become pieces; only documents longer than a sequence are cut, with a first piece
 that holds the remainder. How pieces share sequences depends on their lengths alone, so the
 plan is made from the histogram of lengths (``SIZE`` numbers, whatever the corpus): the
 configuration linear program is solved by multiplicative weights, each step pricing lengths by
-what they still lack and finding the best configuration by knapsack dynamic programming. The
-fractional plan is rounded down, what is left is priced and filled again, and the last pieces
-go where they fit best. Each piece then finds its place from its rank among the pieces of its
-length: ranks come from counts of salted buckets, so a length that many share is not one task.
+what they still lack and finding the best configuration by knapsack dynamic programming. Every
+set of prices also bounds the number of sequences from below. The fractional plan is rounded, and
+what that leaves, together with as much of the program's end as helps, goes where it fits best. Each
+piece then finds its place from its rank among the pieces of its length: ranks come from counts of
+salted buckets, so a length that many share is not one task, nor are the rows of one id.
 
 NULL and empty texts are one piece that holds the end id. Repeated rows are packed as often as
-they occur. An empty table gives no rows.
+they occur. An empty table gives no rows. Columns beside ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from siltmark.llm.common import arrow_map, stored, worker_state
 from siltmark.llm.tokens import id_bytes, library_encoder, read_definition
 
 SIZE = 1024
-ROUNDS = 400
-RATE = 0.25
-FILLS = 1500
-BUCKET_ROWS = 200_000
+STEP = 0.5  # of a length's need that one configuration covers at a time
+ETA = 0.5  # how fast a price falls with the share that is covered
+TAILS = (0.98, 0.95, 0.9, 0.8, 0.6, 0.3, 0.0)  # shares of the program that are kept in turn
+BUCKET_ROWS = 20_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE) -> DataFrame:
@@ -41,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE) -> Da
         encoder = worker_state(f"ids {tokenizer}", lambda: library_encoder(source.value))
         rows: list[list] = [[], [], [], [], []]
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            data = encoder(text or "") + end
+            data = memoryview(encoder(text or "") + end)
             n = len(data) // 4
             first = n if n <= size else n % size or size
             begin, piece = 0, 0
@@ -78,56 +79,123 @@ def best_configuration(price: np.ndarray, size: int) -> np.ndarray:
     return counts
 
 
-def fractional_plan(need: np.ndarray, size: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often to use each, so that together they cover ``need`` roughly evenly."""
+def program(need: np.ndarray, size: int, step: float = STEP, eta: float = ETA) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """(configurations and how often to use each, lower bound on the number of sequences) of the covering program.
+
+    The program asks for the fewest sequences whose configurations cover every length's need. Each
+    length has a weight that starts at the volume it brings and falls exponentially with the share of its
+    need that is covered, so its price is its length times that factor. The configuration of the highest
+    price is found by the knapsack, and used until one of its lengths gains ``step`` of its need or has
+    all of it: at most lengths / step + lengths rounds. No configuration costs more than the best, so
+    the price of all needs over that of the best configuration bounds any plan from below.
+    """
     lengths = np.arange(size + 1)
-    weight = np.where(need > 0, 1.0, 0.0)
-    covered = np.zeros(size + 1)
+    start = lengths * (1.0 + lengths / size)  # a long piece fits in fewer places than its volume in short ones
+    rest = need.astype(float)
+    bound = lower_bound(need, size)
     found: dict[bytes, list] = {}
-    for _ in range(rounds):
-        price = np.where(need > 0, lengths * (0.5 + weight / max(weight.max(), 1e-300)), 0.0)
-        counts = np.minimum(best_configuration(price, size), need)
-        used = counts > 0
-        if not used.any():
+    while True:
+        open_ = rest > 1e-9 * need
+        open_[0] = False
+        if not open_.any():
             break
-        amount = float((need[used] / counts[used]).min()) * rate
-        covered[used] += amount * counts[used] / need[used]
-        weight = np.where(need > 0, np.exp(-(covered - covered[need > 0].min())), 0.0)
+        covered = 1.0 - rest / np.maximum(need, 1)
+        weight = np.where(need > 0, start * np.exp(-eta * covered), 0.0)
+        price = np.where(open_, weight, 0.0)
+        counts = best_configuration(price, size)
+        bound = max(bound, float(need @ price) / float(counts @ price))
+        used = counts > 0
+        amount = float((np.minimum(rest[used], step * need[used]) / counts[used]).min())
+        rest[used] = np.maximum(rest[used] - amount * counts[used], 0.0)
         found.setdefault(counts.tobytes(), [counts, 0.0])[1] += amount
-    # one scale for all, at which the most covered length of a configuration is not exceeded
-    return [(counts, amount / max(1.0, float(covered[counts > 0].max()))) for counts, amount in found.values()]
+    return [(counts, amount) for counts, amount in found.values()], bound
 
 
-def plan(need: np.ndarray, size: int = SIZE) -> list[tuple[np.ndarray, int]]:
-    """Integer plan: (counts per length, number of sequences), covering ``need`` exactly."""
-    left = need.astype(np.int64).copy()
-    out: list[tuple[np.ndarray, int]] = []
-
-    def use(counts: np.ndarray, times: int) -> None:
-        if times > 0:
-            out.append((counts, int(times)))
-            left[:] -= counts * int(times)
-
-    full = np.zeros(size + 1, np.int64)
-    full[size] = 1
-    use(full, left[size])
-    for counts, amount in sorted(fractional_plan(left, size), key=lambda x: -x[1]):
-        used = counts > 0
-        use(counts, min(int(amount), int((left[used] // counts[used]).min())))
+def lower_bound(need: np.ndarray, size: int) -> float:
+    """No plan has fewer sequences: the volume, and prices under which no configuration costs more than one.
+
+    Such are, for each k, shares of a sequence rounded down to k-ths where (k + 1) times the share is no whole number.
+    """
     lengths = np.arange(size + 1)
-    for _ in range(FILLS):  # what rounding left: scarce fits first, longer lengths dearer
-        if left.sum() <= 64:
+    best = float(need @ lengths) / size
+    for k in range(1, 12):
+        price = np.where((k + 1) * lengths % size == 0, lengths / size, (k + 1) * lengths // size / k)
+        best = max(best, float(need @ price))
+    return best
+
+
+def fullest(left: np.ndarray, room: int) -> np.ndarray:
+    """Counts of what is left that fill ``room`` as far as they can, longest first: bounded subset sums as bits of numbers."""
+    lengths = np.flatnonzero(left[: room + 1])
+    mask, sums, before = (1 << (room + 1)) - 1, 1, []
+    for length in lengths.tolist():
+        before.append(sums)
+        copies, power = min(int(left[length]), room // length), 1
+        while copies:
+            take = min(power, copies)
+            sums |= sums << (take * length) & mask
+            copies, power = copies - take, power * 2
+    counts = np.zeros(len(left), np.int64)
+    target = sums.bit_length() - 1
+    for length, below in zip(reversed(lengths.tolist()), reversed(before), strict=True):
+        times = min(int(left[length]), target // length)
+        while not below >> (target - times * length) & 1:  # some number of copies leads to a sum of the shorter ones
+            times -= 1
+        counts[length] = times
+        target -= times * length
+    return counts
+
+
+def plan(need: np.ndarray, size: int = SIZE) -> list[tuple[np.ndarray, int]]:
+    """Integer plan: (counts per length, number of sequences), covering ``need`` exactly; never more sequences than best fit takes.
+
+    Towards its end the program has few lengths left to combine, so that what it chose last is given up as
+    far as that saves sequences, and those pieces go where they fit best.
+    """
+    need = need.astype(np.int64)
+    whole = np.zeros(size + 1, np.int64)
+    whole[size] = 1
+    rest = need - need[size] * whole
+    chosen, bound = program(rest, size)
+    best, fewest = None, 0
+    for share in (1.0,) + TAILS:
+        out, left = rounded_plan(rest, chosen[: round(share * len(chosen))])
+        for finish in (best_fit, fill_up):
+            made = out + finish(left, size)
+            number = sum(n for _, n in made)
+            if best is None or number < fewest:
+                best, fewest = made, number
+        if fewest <= np.ceil(bound - 1e-6):
             break
-        counts = np.minimum(best_configuration(np.where(left > 0, lengths * (1 + lengths / (4.0 * size)), 0.0), size), left)
-        room = size - int(counts @ lengths)
-        for length in np.flatnonzero(left > counts)[::-1]:  # a clipped count leaves room
-            if length <= room:
-                more = min(room // int(length), int(left[length] - counts[length]))
-                counts[length] += more
-                room -= more * int(length)
+    return ([(whole, int(need[size]))] if need[size] else []) + best
+
+
+def rounded_plan(need: np.ndarray, chosen: list[tuple[np.ndarray, float]]) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """(configurations with whole numbers, needs that they leave): rounded down, then up by the largest remainders as far as the needs allow."""
+    left, times = need.copy(), [int(amount + 1e-6) for _, amount in chosen]
+    for (counts, _), n in zip(chosen, times, strict=True):
+        left -= n * counts
+    for i in sorted(range(len(chosen)), key=lambda i: times[i] - chosen[i][1]):
+        if (left >= chosen[i][0]).all():
+            left -= chosen[i][0]
+            times[i] += 1
+    return [(counts, n) for (counts, _), n in zip(chosen, times, strict=True) if n], left
+
+
+def fill_up(need: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
+    """Sequences that take the longest piece there is and are filled as far as the others can; equal ones at once."""
+    left, out = need.copy(), []
+    while left.any():
+        longest = int(np.flatnonzero(left)[-1])
+        left[longest] -= 1
+        counts = fullest(left, size - longest)
+        left[longest] += 1
+        counts[longest] += 1
         used = counts > 0
-        use(counts, max(1, int((left[used] // counts[used]).min())))
-    return out + best_fit(left, size)
+        times = int((left[used] // counts[used]).min())
+        out.append((counts, times))
+        left -= times * counts
+    return out
 
 
 def best_fit(need: np.ndarray, size: int) -> list[tuple[np.ndarray, int]]:
@@ -170,7 +238,7 @@ def places(chosen: list[tuple[np.ndarray, int]]) -> dict[str, np.ndarray]:
 
 
 def packed(cut: DataFrame, size: int = SIZE) -> DataFrame:
-    """``cut`` (a written table of pieces) with sequence_id and offset."""
+    """``cut`` (a written table of pieces, with a random number as salt) with sequence_id and offset."""
     spark = cut.sparkSession
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     histogram = cut.groupBy("length").count().collect()  # ``size`` rows at most
@@ -182,7 +250,7 @@ def packed(cut: DataFrame, size: int = SIZE) -> DataFrame:
     shared = spark.sparkContext.broadcast(places(plan(need, size)))  # bounded by the rounds, not by the corpus
 
     buckets = int(-(-need.max() // BUCKET_ROWS))
-    salted = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    salted = cut.withColumn("bucket", F.pmod("salt", F.lit(buckets)).cast("int"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = salted.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
@@ -204,4 +272,5 @@ def packed(cut: DataFrame, size: int = SIZE) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE) -> DataFrame:
     """One row per piece with its sequence and its place there."""
-    return packed(stored(pieces(docs, tokenizer, end_id, size)), size)
+    cut = pieces(docs, tokenizer, end_id, size).withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+    return packed(stored(cut), size)
