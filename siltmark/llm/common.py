@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,35 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read again: lineage ends here, a lost executor costs nothing."""
+_SCRATCH: list[list[str]] = []
+
+
+def stored(df: DataFrame, outlives: bool = False) -> DataFrame:
+    """``df`` written once to the shared folder and read again: lineage ends here, a lost executor costs nothing.
+
+    Inside ``scratch`` the folder goes with the block, or with the block around it if it ``outlives`` this one.
+    """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    scopes = _SCRATCH[:-1] if outlives else _SCRATCH
+    if scopes:
+        scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block whose ``stored`` tables are removed when it ends. What it returns must be stored to outlive it."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _SCRATCH.pop():
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+
+
 def text_key() -> Column:
     """64-bit key of the text beside the id; NULL and empty text differ."""
     return F.xxhash64(F.col("text"), F.col("text").isNull())

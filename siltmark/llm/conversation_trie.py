@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import arrow_map, signed, stored
+from siltmark.llm.common import arrow_map, scratch, signed, stored
 
 ROWS = 1 << 16  # of a batch of numbers
 PACKED = 512  # ids in one row on their way to a hash
@@ -328,6 +328,11 @@ def prefix_trie(conversations: DataFrame, base: Column, head: Column, most_head:
     conversations = conversations.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")
     ).where("conv_id IS NOT NULL")
+    with scratch(conversations.sparkSession):
+        return stored(_trie(conversations, base, head, most_head), outlives=True)
+
+
+def _trie(conversations: DataFrame, base: Column, head: Column, most_head: int) -> DataFrame:
     nodes, ending = _nodes(conversations, base, head, most_head)
 
     parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("fa").alias("ga"), F.col("fb").alias("gb"), F.col("conv_id").alias("parent_conv_id"))

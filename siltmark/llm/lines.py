@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import arrow_map, coverage, hashes, keyed, rewrite_texts, same_document, signed, stored, text_key, texts, windows
+from siltmark.llm.common import arrow_map, coverage, hashes, keyed, rewrite_texts, same_document, scratch, signed, stored, text_key, texts, windows
 
 LINES = 3
 
@@ -46,11 +46,12 @@ def _windows(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
 
 def repeated_windows(docs: DataFrame, size: int = LINES) -> DataFrame:
     """(doc_id, text_key, lines): the first lines of the windows that also start earlier, per document."""
-    rows = stored(arrow_map(keyed(docs), lambda b: _windows(b, size), "window long, doc_id long, text_key long, line int"))
-    place = F.struct("doc_id", "text_key", "line")
-    first = rows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("window", "first")
-    later = rows.join(first, "window").where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("starts"))
+    with scratch(docs.sparkSession):
+        rows = stored(arrow_map(keyed(docs), lambda b: _windows(b, size), "window long, doc_id long, text_key long, line int"))
+        place = F.struct("doc_id", "text_key", "line")
+        first = rows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("window", "first")
+        later = rows.join(first, "window").where(~place.eqNullSafe(F.col("first")))
+        return stored(later.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("starts")), outlives=True)
 
 
 def _rest(batch: pa.RecordBatch, size: int) -> tuple[list[int], list[int], list[bytes | None]]:

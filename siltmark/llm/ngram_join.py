@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltmark.llm.common import arrow_map, keyed, stored, text_key, texts, windows, word_hashes
+from siltmark.llm.common import arrow_map, keyed, scratch, stored, text_key, texts, windows, word_hashes
 from siltmark.llm.components import components
 
 COUNTERS = 1 << 22  # of the order's sketch: 16 MB, whatever the corpus
@@ -402,6 +402,11 @@ def verified_blocks(pairs: DataFrame, placed: DataFrame, sets: DataFrame, percen
 
 def classes(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text_key, n, comp) of every row of ``docs``: size of its set, and a name of its class if the set is not empty."""
+    with scratch(docs.sparkSession):
+        return stored(_classes(docs, size, percent), outlives=True)
+
+
+def _classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     order = spark.sparkContext.broadcast(count_sketch(docs, size))  # COUNTERS numbers

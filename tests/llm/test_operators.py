@@ -272,6 +272,51 @@ def test_plan_covers_every_piece(pairs):
     made = packing.plan(need, 64)
     assert (sum((c * n for c, n in made), np.zeros(65, np.int64)) == need).all()
     assert all(c @ np.arange(65) <= 64 for c, _ in made)
+    total = sum(n for _, n in made)
+    assert packing.lower_bound(need, 64) - 1e-6 <= total <= sum(n for _, n in packing.best_fit(need, 64))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=33, max_size=33), st.integers(0, 32))
+def test_fullest_is_the_best_bounded_sum(left, room):
+    left = np.array([0, *left[1:]])
+    counts = packing.fullest(left, room)
+    sums = {0}
+    for length, copies in enumerate(left.tolist()):
+        sums = {s + k * length for s in sums for k in range(copies + 1) if s + k * length <= room}
+    assert counts @ np.arange(33) == max(sums) and (counts <= left).all()
+
+
+@pytest.mark.parametrize("kind", ["uniform", "log-normal", "halves", "thirds"])
+def test_program_closes_the_gap(kind):
+    """The plan lies within one percent of the program's dual bound (thirds: of the sum of three pieces a sequence)."""
+    rng = np.random.default_rng(len(kind))
+    lengths = {
+        "uniform": rng.integers(1, 257, 20_000), "log-normal": np.minimum(256, 1 + rng.lognormal(3.5, 1, 20_000)).astype(int),
+        "halves": rng.integers(129, 200, 5000), "thirds": rng.integers(75, 125, 5000),
+    }[kind]
+    need = np.bincount(lengths, minlength=257)
+    total, plain = (sum(n for _, n in f(need, 256)) for f in (packing.plan, packing.best_fit))
+    chosen, bound = packing.program(np.where(np.arange(257) < 256, need, 0), 256)
+    assert total <= plain
+    assert total <= 1.01 * (bound + need[256]) if kind != "thirds" else total < plain
+    placed, left = packing.rounded_plan(np.where(np.arange(257) < 256, need, 0), chosen)
+    assert left.sum() < 0.1 * len(lengths)
+
+
+def test_scratch_tables_go_with_their_block(spark, docs):
+    from siltmark.llm.common import scratch, stored
+
+    with scratch(spark):
+        kept = stored(docs, outlives=True)
+        gone = stored(docs)
+        with scratch(spark):
+            inner = stored(docs, outlives=True)
+        assert gone.count() == kept.count() == inner.count() == len(ROWS)
+    assert kept.count() == len(ROWS)
+    for table in (gone, inner):
+        with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST"):
+            table.count()
 
 
 def test_pipeline_stages_keep_columns(spark, docs, none):
