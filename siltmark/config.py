@@ -23,9 +23,6 @@ HAZARD_WEIGHTS = {"cigarette": 3.0, "bottle": 1.0, "can": 1.0, "carton": 0.8, "c
 CLEAN_CLASSES = ("bottle", "can", "carton", "cup", "lid")
 BANDS = ((50, "Good"), (100, "Moderate"), (200, "Unhealthy"), (300, "Very Unhealthy"), (500, "Hazardous"))
 
-# Image hosts that a download list may name.
-IMAGE_HOSTS = ("staticflickr.com", "olm-s3.s3.eu-west-1.amazonaws.com")
-
 # Window the training range of a feature is scaled into.
 ANGLE_WINDOW = (0.05, 1.52)
 

@@ -7,7 +7,7 @@ checked against ``MAX_PARAMETERS``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.batches import by_rep, frame, lists, replace_column
+from ..functions.batches import PACKED, added_up, by_rep, by_side, frame, lists, packed, replace_column
 from ..functions.joins import small
 
 MAX_PARAMETERS = 50_000_000  # doubles in one broadcast, 400 MB
@@ -42,13 +42,42 @@ def per_rep_arrays(table: DataFrame, *values: str) -> DataFrame:
 # ---- standardise and min-max -------------------------------------------------
 
 
-def moments_train(split: DataFrame) -> DataFrame:
-    """(rep, f, n, mean, std) from train rows only; std is the population one."""
-    return (
-        long_features(train_rows(split), "rep")
-        .groupBy("rep", "f")
-        .agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-    )
+def moments_train(split: DataFrame, reps: Sequence[int] | None = None) -> DataFrame:
+    """(rep, f, n, mean, std) from train rows only; std is the population one.
+
+    With ``reps`` the rows are those of ``splits.group_masks``, each there once. A task sends three numbers per repeat and
+    feature; values are shifted by the first row it sees of a feature, and the shifted sums of tasks are put together pairwise.
+    """
+    rows = train_rows(split).select("rep", "features") if reps is None else split.select("train", "features")
+
+    def count(state: dict, batch: pa.RecordBatch) -> None:
+        for rep, x in by_side(batch, reps):
+            if len(x):
+                x = x.astype(float)
+                mean = x.mean(0)
+                own = np.stack([np.full(x.shape[1], float(len(x))), mean, ((x - mean) ** 2).sum(0)])
+                state[rep, 0] = together(state[rep, 0], own) if (rep, 0) in state else own
+
+    def together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n, gap = a[0] + b[0], b[1] - a[1]
+        return np.stack([n, a[1] + gap * b[0] / n, a[2] + b[2] + gap**2 * a[0] * b[0] / n])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {}
+        for batch in batches:
+            count(state, batch)
+        yield from packed(state, 0, 1)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for rep, data in zip(batch.column("rep").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                own = np.frombuffer(data).reshape(3, -1)
+                total[rep] = together(total[rep], own) if rep in total else own
+        for rep, (n, mean, square) in total.items():
+            yield frame(rep=np.int32(rep), f=np.arange(len(n), dtype=np.int32), n=n.astype(np.int64), mean=mean, std=np.sqrt(square / n))
+
+    return rows.mapInArrow(partial, PACKED).repartition("rep").mapInArrow(last, "rep int, f int, n bigint, mean double, std double")
 
 
 def standardise_train(split: DataFrame) -> DataFrame:
@@ -116,11 +145,11 @@ class PcaModel:
         return add_list(df, "features", "array<double>", project).withColumn("transform_fit", F.lit(self.transform_fit))
 
 
-def gram_train(rows: DataFrame, centre: DataFrame) -> DataFrame:
+def gram_train(rows: DataFrame, centre: DataFrame, reps: Sequence[int] | None = None) -> DataFrame:
     """(rep, i, j, s) for i <= j: sums of products of values shifted by a common centre.
 
-    Each task adds its rows up in one matrix per repeat and emits it once, so the
-    shuffle carries features^2 / 2 cells per task whatever the number of rows. The
+    Each task adds its rows up in one matrix per repeat and sends every row of it once, packed, so the
+    shuffle carries features rows per task and repeat whatever the number of rows. The
     shift keeps the sums well conditioned; j = -1 carries the shifted sums, i = -1 the count.
     """
     d = centre.count()
@@ -129,46 +158,37 @@ def gram_train(rows: DataFrame, centre: DataFrame) -> DataFrame:
     shift = np.array([r["c"] for r in centre.orderBy("f").collect()], dtype=float)
     shared = rows.sparkSession.sparkContext.broadcast(shift)
 
-    def emit(rep: int, n: int, sums: np.ndarray, gram: np.ndarray) -> pa.RecordBatch:
-        i, j = np.triu_indices(d)
-        edge = np.full(d, -1)
-        return frame(
-            rep=np.int32(rep),
-            i=np.concatenate([i, np.arange(d), [-1]]).astype(np.int32),
-            j=np.concatenate([j, edge, [-1]]).astype(np.int32),
-            s=np.concatenate([gram[i, j], sums, [float(n)]]),
-        )
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows arrive ordered by repeat, so one matrix is held at a time
-        rep, n, sums, gram = None, 0, None, None
-        for batch in batches:
-            for this, _, x in by_rep(batch):
-                if this != rep:
-                    if rep is not None:
-                        yield emit(rep, n, sums, gram)
-                    rep, n, sums, gram = this, 0, np.zeros(d), np.zeros((d, d))
-                y = x - shared.value
-                n, sums, gram = n + len(y), sums + y.sum(0), gram + y.T @ y
-        if rep is not None:
-            yield emit(rep, n, sums, gram)
-
-    cells = (
-        rows.select("rep", "features")
-        .sortWithinPartitions("rep")
-        .mapInArrow(partial, "rep int, i int, j int, s double")
-    )
-    return cells.groupBy("rep", "i", "j").agg(F.sum("s").alias("s"))
-
-
-def _fit(rows: DataFrame, k: int, transform_fit: str) -> PcaModel:
+    def count(state: dict, batch: pa.RecordBatch) -> None:
+        for rep, x in by_side(batch, reps):
+            if not len(x):
+                continue
+            y = x - shared.value
+            gram, sums = y.T @ y, np.append(y.sum(0), float(len(y)))
+            if (rep, 0) not in state:
+                for i in range(d):
+                    state[rep, i] = np.zeros(d - i)
+                state[rep, d] = np.zeros(d + 1)
+            for i in range(d):
+                state[rep, i] += gram[i, i:]
+            state[rep, d] += sums
+
+    def finish(rep: int, part: int, total: np.ndarray) -> pa.RecordBatch:
+        if part < d:
+            return frame(rep=np.int32(rep), i=np.int32(part), j=np.arange(part, d, dtype=np.int32), s=total)
+        return frame(rep=np.int32(rep), i=np.append(np.arange(d), -1).astype(np.int32), j=np.int32(-1), s=total)
+
+    given = rows.select("rep", "features") if reps is None else rows.select("train", "features")
+    return added_up(given, count, "<f8", finish, "rep int, i int, j int, s double")
+
+
+def _fit(rows: DataFrame, k: int, transform_fit: str, masks: Sequence[int] | None = None) -> PcaModel:
     centre = long_features(rows.select("features")).groupBy("f").agg(F.avg("x").alias("c"))
     centre = centre.cache()
     d = centre.count()
     if k > d:
         raise ValueError(f"{k} components asked of {d} features")
     shift = np.array([r["c"] for r in centre.orderBy("f").collect()], dtype=float)
-    gram = gram_train(rows, centre)
+    gram = gram_train(rows, centre, masks)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j, s = pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["s"].to_numpy()
@@ -198,7 +218,7 @@ def _fit(rows: DataFrame, k: int, transform_fit: str) -> PcaModel:
         )
 
     schema = "rep int, mean array<double>, std array<double>, comp array<double>, pct double"
-    reps = [r["rep"] for r in rows.select("rep").distinct().collect()]
+    reps = masks or [r["rep"] for r in rows.select("rep").distinct().collect()]
     if len(reps) * d * (k + 2) > MAX_PARAMETERS:
         raise ValueError("projections of all repeats are too large for one broadcast; fit fewer repeats at a time")
     fitted = gram.groupBy("rep").applyInPandas(solve, schema).collect()
@@ -213,8 +233,13 @@ def _fit(rows: DataFrame, k: int, transform_fit: str) -> PcaModel:
     )
 
 
-def pca_train(split: DataFrame, k: int) -> PcaModel:
-    """Standardise + PCA fitted on the train rows of each repeat; signs fixed by the largest loading."""
+def pca_train(split: DataFrame, k: int, reps: Sequence[int] | None = None) -> PcaModel:
+    """Standardise + PCA fitted on the train rows of each repeat; signs fixed by the largest loading.
+
+    With ``reps`` the rows are those of ``splits.group_masks``.
+    """
+    if reps is not None:
+        return _fit(split.select("train", "features"), k, "train_only", list(reps))
     return _fit(train_rows(split).select("rep", "features"), k, "train_only")
 
 
@@ -242,23 +267,23 @@ def _bounds(train: DataFrame, probs: list[float], accuracy: int) -> list[np.ndar
     slack = 2.0 / accuracy
     around = sorted({min(max(p + s, 0.0), 1.0) for p in probs for s in (-slack, slack)})
     sketch = F.percentile_approx("x", around, accuracy)
-    some = train.select("rep").limit(1).collect()
+    some = train.select("rep").limit(1).collect() if "rep" in train.columns else []
     one = train.where(F.col("rep") == some[0]["rep"]) if some else train
     rows = long_features(one.select("features")).groupBy("f").agg(sketch.alias("b")).collect()
     out = {r["f"]: np.unique(r["b"]) for r in rows}
     return [out[f] for f in range(len(out))]
 
 
-def _placed(batches: Iterator[pa.RecordBatch], bounds: list[np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _placed(batches: Iterator[pa.RecordBatch], bounds: list[np.ndarray], reps: Sequence[int] | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(rep, f, values, bracket of each value) of every batch."""
     for batch in batches:
-        for rep, _, x in by_rep(batch):
+        for rep, x in by_side(batch, reps):
             for f, b in enumerate(bounds):
                 yield rep, f, x[:, f], np.searchsorted(b, x[:, f], side="right")
 
 
-def quantile_edges(train: DataFrame, bins: int, exact: bool = True, accuracy: int = 2000) -> DataFrame:
-    """(rep, f, edges): bins + 1 quantiles by linear interpolation, from (rep, features) rows.
+def quantile_edges(train: DataFrame, bins: int, exact: bool = True, accuracy: int = 2000, reps: Sequence[int] | None = None) -> DataFrame:
+    """(rep, f, edges): bins + 1 quantiles by linear interpolation, from (rep, features) rows, or from those of ``splits.group_masks``.
 
     Exact without sorting a feature in one task, in three scans. A sketch proposes
     narrow brackets around the wanted positions; rows per bracket are counted; and
@@ -272,12 +297,12 @@ def quantile_edges(train: DataFrame, bins: int, exact: bool = True, accuracy: in
         q = F.percentile_approx("x", probs, accuracy)
         return long_features(train, "rep").groupBy(*keys).agg(q.alias("edges"))
     spark = train.sparkSession
-    rows = train.select("rep", "features")
+    rows = train.select("rep" if reps is None else "train", "features")
     shared = spark.sparkContext.broadcast(_bounds(rows, probs, accuracy))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
-        for rep, f, _, at in _placed(batches, shared.value):
+        for rep, f, _, at in _placed(batches, shared.value, reps):
             hits = np.bincount(at, minlength=len(shared.value[f]) + 1)
             total[rep, f] = total[rep, f] + hits if (rep, f) in total else hits
         for (rep, f), hits in total.items():
@@ -301,7 +326,7 @@ def quantile_edges(train: DataFrame, bins: int, exact: bool = True, accuracy: in
     targets = spark.sparkContext.broadcast({k: np.array(sorted(v)) for k, v in wanted.items()})
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rep, f, x, at in _placed(batches, shared.value):
+        for rep, f, x, at in _placed(batches, shared.value, reps):
             inside = np.isin(at, targets.value[rep, f])
             values, first, c = np.unique(x[inside], return_index=True, return_counts=True)
             yield frame(rep=np.int32(rep), f=np.int32(f), b=at[inside][first].astype(np.int32), x=values, c=c)
@@ -332,15 +357,21 @@ def inner_cuts(edges: DataFrame) -> DataFrame:
     return edges.select("rep", "f", cuts.alias("cuts"))
 
 
-def quantile_bins(split: DataFrame, bins: int = 16, exact: bool = True) -> DataFrame:
-    """Rows with ``codes``: per feature the number of train-fitted inner cuts <= value."""
-    split = refuse_transductive(split)
-    fitted = inner_cuts(quantile_edges(train_rows(split), bins, exact)).collect()
+def train_cuts(train: DataFrame, bins: int, exact: bool = True, reps: Sequence[int] | None = None) -> dict[int, dict[int, np.ndarray]]:
+    """Inner cuts by repeat and feature, small enough for the driver and a broadcast."""
+    fitted = inner_cuts(quantile_edges(train, bins, exact, reps=reps)).collect()
     if len(fitted) * bins > MAX_PARAMETERS:
         raise ValueError("cuts of all repeats are too large for one broadcast; bin fewer repeats at a time")
     cuts: dict[int, dict[int, np.ndarray]] = {}
     for r in fitted:
         cuts.setdefault(r["rep"], {})[r["f"]] = np.array(r["cuts"], dtype=float)
+    return cuts
+
+
+def quantile_bins(split: DataFrame, bins: int = 16, exact: bool = True) -> DataFrame:
+    """Rows with ``codes``: per feature the number of train-fitted inner cuts <= value."""
+    split = refuse_transductive(split)
+    cuts = train_cuts(train_rows(split), bins, exact)
     shared = split.sparkSession.sparkContext.broadcast(cuts)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

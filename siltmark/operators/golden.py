@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
@@ -128,15 +129,21 @@ def param_grid(spark, **lists: Sequence) -> DataFrame:
 def append_new(rows: DataFrame, ledger: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(new, conflicts): rows whose key the ledger lacks, and keys with different payloads in the ledger or in ``rows``.
 
-    Of equal rows one is appended; of a key whose rows differ, none.
+    Of equal rows one is appended; of a key whose rows differ, none. NULL is a value like any other in a key.
     """
     keys = list(keys)
     rows = rows.distinct()
     doubled = rows.groupBy(*keys).count().where("count > 1").select(*keys)
-    new = rows.join(ledger.select(*keys), keys, "left_anti").join(doubled, keys, "left_anti")
+    new = _by_key(_by_key(rows, ledger.select(*keys), keys, "left_anti"), doubled, keys, "left_anti")
     payload = [c for c in rows.columns if c not in keys]
     mine = rows.select(*keys, F.sha2(F.to_json(F.struct(*payload)).cast("binary"), 256).alias("_mine"))
     held = ledger.select(*keys, F.sha2(F.to_json(F.struct(*payload)).cast("binary"), 256).alias("_held"))
-    conflicts = mine.join(held, keys).where(F.col("_mine") != F.col("_held")).select(*keys)
+    conflicts = _by_key(mine, held, keys, "inner").where(F.col("_mine") != F.col("_held")).select(*keys)
     return new, conflicts.union(doubled).distinct()
 
+
+def _by_key(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys in which NULL equals NULL; the right side's keys are dropped."""
+    named = right.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    return left.join(named, same, how).drop(*[f"_key{i}" for i in range(len(keys))])

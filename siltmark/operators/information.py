@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.batches import by_rep, frame
+from ..functions.batches import added_up, by_side, frame
 
 
 def _xlogx(c: Column | str) -> Column:
@@ -38,66 +38,56 @@ def mi_label(binned: DataFrame, label: str = "label") -> DataFrame:
     return joint.join(rows, ["rep", "f"]).join(cols, ["rep", "f"]).select("rep", "f", F.greatest(mi, F.lit(0.0)).alias("mi"))
 
 
-def pair_cells(binned: DataFrame, bins: int) -> DataFrame:
-    """(rep, fi, fj, bi, bj, c) with fi <= fj: joint counts of the codes of two features.
+TABLE_BYTES = 1 << 28  # joint counts that a task holds at a time
 
-    A task counts its rows into one dense table per repeat and emits its non-zero
-    cells once. So a row is never multiplied by the number of pairs, and the shuffle
-    is bounded by features^2 / 2 x bins^2 cells per task and repeat.
-    """
 
-    def emit(rep: int, table: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for fi, counts in table.items():
-            at = np.flatnonzero(counts)
-            fj, rest = np.divmod(at, bins * bins)
-            bi, bj = np.divmod(rest, bins)
-            small = [a.astype(np.int32) for a in (fj + fi, bi, bj)]
-            yield frame(rep=np.int32(rep), fi=np.int32(fi), fj=small[0], bi=small[1], bj=small[2], c=counts[at])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows arrive ordered by repeat, so the table of one repeat is held at a time
-        rep, table = None, {}
-        for batch in batches:
-            for this, _, x in by_rep(batch, "codes"):
-                if this != rep:
-                    if rep is not None:
-                        yield from emit(rep, table)
-                    rep, table = this, {}
+def mi_pairs(binned: DataFrame, bins: int = 16, reps: Sequence[int] | None = None, cuts: dict[int, dict[int, np.ndarray]] | None = None) -> DataFrame:
+    """(rep, fi, fj, mi) for fi < fj. The diagonal tables give the marginals of each feature.
+
+    A task counts its rows into dense joint tables and sends the table of a pair once, packed, so a row is never multiplied
+    by the number of pairs and no row carries a single count. Features whose tables do not fit in ``TABLE_BYTES`` are
+    counted in blocks, a scan each. With ``reps`` the rows are those of ``splits.group_masks``, each there once, and
+    ``cuts`` holds each repeat's cuts per feature; without, they are (rep, codes).
+    """
+    source = "codes" if reps is None else "features"
+    rows = binned.select("rep", "codes") if reps is None else binned.select("train", "features")
+    width = rows.select(F.size(source).alias("d")).first()
+    d = width["d"] if width else 0
+    shared = rows.sparkSession.sparkContext.broadcast(cuts)
+    repeats = len(reps) if reps is not None else max(binned.select("rep").distinct().count(), 1)
+    per = max(1, TABLE_BYTES // (8 * bins * bins * max(d, 1) * repeats))
+    sums = None
+    for low in range(0, max(d, 1), per):
+        high = min(low + per, d)
+
+        def count(state: dict, batch: pa.RecordBatch, low: int = low, high: int = high) -> None:
+            for rep, x in by_side(batch, reps, source):
+                if reps is not None:
+                    own = shared.value[rep]
+                    x = np.stack([np.searchsorted(own[f], x[:, f], side="right") for f in range(d)], 1) if len(x) else x
                 codes = x.astype(np.int64)
-                d = codes.shape[1]
-                for fi in range(d):
+                for fi in range(low, high):
                     offset = np.arange(d - fi) * bins * bins
                     key = offset + codes[:, fi : fi + 1] * bins + codes[:, fi:]
                     hits = np.bincount(key.ravel(), minlength=(d - fi) * bins * bins)
-                    table[fi] = table[fi] + hits if fi in table else hits
-        if rep is not None:
-            yield from emit(rep, table)
-
-    local = (
-        binned.select("rep", "codes")
-        .sortWithinPartitions("rep")
-        .mapInArrow(count, "rep int, fi int, fj int, bi int, bj int, c bigint")
-    )
-    return local.groupBy("rep", "fi", "fj", "bi", "bj").agg(F.sum("c").alias("c"))
+                    state[rep, fi] = state[rep, fi] + hits if (rep, fi) in state else hits
 
+        def spread(state: dict) -> dict:
+            return {(rep, fi * d + fi + i): pair for (rep, fi), hits in state.items() for i, pair in enumerate(hits.reshape(d - fi, -1))}
 
-def mi_pairs(binned: DataFrame, bins: int = 16) -> DataFrame:
-    """(rep, fi, fj, mi) for fi < fj. The diagonal tables give the marginals of each feature."""
-    sums = (
-        pair_cells(binned, bins)
-        .groupBy("rep", "fi", "fj")
-        .agg(F.sum(_xlogx("c")).alias("s"), F.sum("c").alias("n"))
-    )
+        def finish(rep: int, part: int, total: np.ndarray) -> pa.RecordBatch:
+            c = total[total > 0].astype(float)
+            fi, fj = divmod(part, d)
+            return frame(rep=np.int32(rep), fi=np.int32(fi), fj=np.int32(fj), s=np.array([(c * np.log(c)).sum()]), n=np.array([int(total.sum())]))
+
+        block = added_up(rows, count, "<i8", finish, "rep int, fi int, fj int, s double, n bigint", spread)
+        sums = block if sums is None else sums.unionByName(block)
     own = sums.where("fi = fj").select("rep", F.col("fi").alias("f"), F.col("s").alias("own"))
-    left = F.broadcast(own.select("rep", F.col("f").alias("fi"), F.col("own").alias("own_i")))
-    right = F.broadcast(own.select("rep", F.col("f").alias("fj"), F.col("own").alias("own_j")))
+    left = own.select("rep", F.col("f").alias("fi"), F.col("own").alias("own_i"))
+    right = own.select("rep", F.col("f").alias("fj"), F.col("own").alias("own_j"))
     mi = (F.col("s") - F.col("own_i") - F.col("own_j")) / F.col("n") + F.log(F.col("n").cast("double"))
-    return (
-        sums.where("fi < fj")
-        .join(left, ["rep", "fi"])
-        .join(right, ["rep", "fj"])
-        .select("rep", "fi", "fj", F.greatest(mi, F.lit(0.0)).alias("mi"))
-    )
+    joined = sums.where("fi < fj").join(left, ["rep", "fi"]).join(right, ["rep", "fj"])
+    return joined.select("rep", "fi", "fj", F.greatest(mi, F.lit(0.0)).alias("mi"))
 
 
 def live_features(binned: DataFrame) -> DataFrame:

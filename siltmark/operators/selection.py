@@ -7,18 +7,19 @@ features^2 numbers per repeat.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import seeded_hash
 from . import features as feat
 from . import information as info
+from .convex import fit_lasso
 
 
 class BudgetError(ValueError):
@@ -122,32 +123,34 @@ def select_mrmr(mi: DataFrame, pairs: DataFrame, live: DataFrame, n: int, k: int
 # ---- quadratic objective --------------------------------------------------------
 
 
-def anneal(linear: np.ndarray, pair: np.ndarray, reads: int, sweeps: int, seed: int) -> np.ndarray:
-    """Lowest-energy 0/1 vector of linear.x + sum_{i<j} pair_ij x_i x_j over seeded reads.
+def anneal(linear: np.ndarray, pair: tuple[np.ndarray, np.ndarray], streams: Sequence[np.random.Generator], sweeps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(0/1 vectors, energies) after one annealing of linear_r.x + sum_{i<j} pair_rij x_i x_j for every row r.
 
-    All reads advance together; the temperature falls geometrically from a range
-    set by the largest and the smallest coefficient.
+    ``pair`` is a factor per row and one symmetric matrix. Rows advance together, each
+    with a random stream of its own; a row's temperature falls geometrically from where its largest change is
+    accepted half the time to where its smallest is accepted once in a hundred.
     """
-    n = len(linear)
-    rng = np.random.default_rng(seed)
-    size = np.abs(np.concatenate([linear, pair[np.triu_indices(n, 1)]]))
-    size = size[size > 0]
-    if not len(size):
-        return np.zeros(n, dtype=int)
-    hot = np.log(2) / max(np.abs(linear).max() + np.abs(pair).sum(1).max(), 1e-12)
-    cold = np.log(100) / max(size.min(), 1e-3 * size.max())
-    x = rng.integers(0, 2, (reads, n)).astype(float)
-    field_ = x @ pair + linear
-    for beta in np.geomspace(hot, max(cold, hot), sweeps):
-        draw = rng.random((n, reads))
+    factor, matrix = pair
+    rows, n = linear.shape
+    reach = np.abs(linear).max(1) + factor * np.abs(matrix).sum(1).max()
+    off = np.abs(matrix[np.triu_indices(n, 1)])
+    least = np.full(rows, np.inf)
+    for sizes in (np.abs(linear), factor[:, None] * off[None, :]):
+        least = np.minimum(least, np.where(sizes > 0, sizes, np.inf).min(1, initial=np.inf))
+    hot = np.log(2) / np.maximum(reach, 1e-12)
+    cold = np.maximum(hot, np.log(100) / np.maximum(np.minimum(least, reach), np.maximum(1e-3 * reach, 1e-12)))
+    x = np.array([g.integers(0, 2, n) for g in streams], float)
+    pull = factor[:, None] * (x @ matrix) + linear
+    for sweep in range(sweeps):
+        beta = hot * (cold / hot) ** (sweep / max(sweeps - 1, 1))
+        draw = np.array([g.random(n) for g in streams])
         for i in range(n):
-            step = 1.0 - 2.0 * x[:, i]
-            flip = draw[i] < np.exp(np.minimum(0.0, -beta * step * field_[:, i]))
-            change = np.where(flip, step, 0.0)
+            gain = (1.0 - 2.0 * x[:, i]) * pull[:, i]
+            change = np.where(draw[:, i] < np.exp(np.minimum(0.0, -beta * gain)), 1.0 - 2.0 * x[:, i], 0.0)
             x[:, i] += change
-            field_ += change[:, None] * pair[i]
-    energy = x @ linear + 0.5 * np.einsum("ri,ij,rj->r", x, pair, x)
-    return x[int(energy.argmin())].astype(int)
+            pull += (factor * change)[:, None] * matrix[i]
+    energy = (x * linear).sum(1) + 0.5 * factor * np.einsum("ri,ij,rj->r", x, matrix, x)
+    return x.astype(np.int8), energy
 
 
 @dataclass(frozen=True)
@@ -156,107 +159,116 @@ class QuboResult:
     trace: DataFrame  # rep, step, alpha, n_selected, nudged
 
 
+READ = "rep int, place int, read int, alpha double"
+
+
+def lowest(tables: dict[int, tuple[np.ndarray, np.ndarray]], plan: DataFrame, sweeps: int, seed: int) -> DataFrame:
+    """(rep, place, alpha, energy, chosen) with the least energy over the reads of every planned (rep, place, alpha).
+
+    ``plan`` has a row per read (READ): reads are spread over the cluster by place, and those of one repeat that meet in a
+    task are annealed together.
+    """
+    shared = plan.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rep, place, read, alpha = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "place", "read", "alpha"))
+            for r in np.unique(rep).tolist():
+                at = np.flatnonzero(rep == r)
+                relevance, redundancy = shared.value[r]
+                streams = [np.random.default_rng([seed, r, int(place[i]), int(read[i])]) for i in at]
+                x, energy = anneal(-alpha[at, None] * relevance, (1.0 - alpha[at], redundancy), streams, sweeps)
+                chosen = pa.array([np.flatnonzero(v).tolist() for v in x], pa.list_(pa.int32()))
+                own = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(energy), chosen], names=["rep", "place", "read", "alpha", "energy", "chosen"])
+
+    out = plan.repartition("rep", "place").mapInArrow(run, f"{READ}, energy double, chosen array<int>")
+    best = F.min(F.struct("energy", "read", "chosen"))
+    return out.groupBy("rep", "place", "alpha").agg(best.alias("b")).select("rep", "place", "alpha", "b.energy", "b.chosen")
+
+
 def select_qubo(
-    mi: DataFrame,
-    pairs: DataFrame,
-    n: int,
-    k: int,
-    seed: int = 42,
-    reads: int = 10,
-    sweeps: int = 200,
-    steps: int = 12,
+    mi: DataFrame, pairs: DataFrame, n: int, k: int, seed: int = 42, reads: int = 10, sweeps: int = 200, grid: int = 8, levels: int = 4
 ) -> QuboResult:
-    """Minimise -a.relevance + (1-a).redundancy, each pair once, with a bisected until k are chosen.
+    """k features of least -a.relevance + (1-a).redundancy, each pair once, at a weight a whose least energy has k of them.
 
-    A repeat is one task. A gap left after the last step is closed by relevance
-    order, and the trace says so.
+    More weight on relevance chooses more features. A level tries ``grid`` weights of every repeat at once; the next
+    divides the step over which the number passes k. The smallest weight with exactly k is taken. Where no level has one, the set nearest
+    to k at its weight is completed or reduced by the features that change its energy least, and the trace says so.
     """
     check_budget(k, n)
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        relevance, redundancy, _ = _dense(pdf, n)
-        rep = int(pdf["rep"].iloc[0])
-        low, high, alpha, trace = 0.0, 1.0, 0.0, []
-        for step in range(steps + 1):
-            x = anneal(-alpha * relevance, (1 - alpha) * redundancy, reads, sweeps, seed + rep + int(alpha * 1000))
-            trace.append((step, round(alpha, 6), int(x.sum())))
-            if step and x.sum() == k:
-                break
-            if step:
-                low, high = (alpha, high) if x.sum() < k else (low, alpha)
-            alpha = (low + high) / 2
-        order = np.argsort(-relevance, kind="stable")
-        chosen = [i for i in order if x[i]]
+    spark = mi.sparkSession
+    rows = _tables(mi, pairs).select("rep", "fi", "fj", "mi").toPandas()  # features^2 / 2 numbers per repeat
+    if rows["rep"].nunique() * n * n > feat.MAX_PARAMETERS:
+        raise ValueError("the information tables of all repeats are too large for one broadcast; select fewer repeats at a time")
+    tables = {int(rep): _dense(part.assign(live=True), n)[:2] for rep, part in rows.groupby("rep")}
+    steps = {rep: (0.0, 1.0) for rep in tables}
+    tried: dict[int, list[tuple[float, list[int]]]] = {rep: [] for rep in tables}
+    for level in range(levels):
+        plan = [
+            (rep, level * grid + j, read, low + (high - low) * (j + 1) / grid)
+            for rep, (low, high) in steps.items() for j in range(grid) for read in range(reads)
+        ]
+        for r in lowest(tables, spark.createDataFrame(plan, READ), sweeps, seed).orderBy("rep", "place").collect():
+            tried[r["rep"]].append((r["alpha"], list(r["chosen"])))
+        for rep in list(steps):
+            ordered = sorted(tried[rep], key=lambda t: t[0])
+            over = [i for i, (_, chosen) in enumerate(ordered) if len(chosen) >= k]
+            if any(len(chosen) == k for _, chosen in ordered) or not over:
+                del steps[rep]
+                continue
+            steps[rep] = (ordered[over[0] - 1][0] if over[0] else 0.0, ordered[over[0]][0])
+        if not steps:
+            break
+    picks, trace = [], []
+    for rep, found in tried.items():
+        alpha, chosen = min(found, key=lambda t: (abs(len(t[1]) - k), t[0]))
         nudged = len(chosen) != k
-        chosen = (chosen + [i for i in order if not x[i]])[:k]
-        rows = [(rep, "f", int(f), 0, 0.0, 0, nudged) for f in sorted(chosen)]
-        rows += [(rep, "step", -1, s, a, c, nudged) for s, a, c in trace]
-        return pd.DataFrame(rows, columns=["rep", "kind", "f", "step", "alpha", "n_selected", "nudged"])
-
-    schema = "rep int, kind string, f int, step int, alpha double, n_selected int, nudged boolean"
-    both = _tables(mi, pairs).groupBy("rep").applyInPandas(search, schema)
+        picks += [(rep, f) for f in resized(set(chosen), k, alpha, *tables[rep])]
+        trace += [(rep, step, round(a, 6), len(c), nudged) for step, (a, c) in enumerate(found)]
     return QuboResult(
-        _arm(both.where("kind = 'f'"), "D_qubo"),
-        both.where("kind = 'step'").select("rep", "step", "alpha", "n_selected", "nudged"),
+        _arm(spark.createDataFrame(picks, "rep int, f int"), "D_qubo"),
+        spark.createDataFrame(trace, "rep int, step int, alpha double, n_selected int, nudged boolean"),
     )
 
 
+def resized(chosen: set[int], k: int, alpha: float, relevance: np.ndarray, redundancy: np.ndarray) -> list[int]:
+    """The set with features added or taken away one by one, each time the one that leaves the least energy."""
+    x = np.zeros(len(relevance))
+    x[list(chosen)] = 1
+    while int(x.sum()) != k:
+        pull = -alpha * relevance + (1 - alpha) * redundancy @ x
+        grow = x.sum() < k
+        cost = np.where(x == 0, pull, np.inf) if grow else np.where(x == 1, -pull, np.inf)
+        x[int(cost.argmin())] = 1.0 if grow else 0.0
+    return np.flatnonzero(x).tolist()
+
+
 # ---- sparse logistic regression -------------------------------------------------
 
 
 def select_lasso(
-    split: DataFrame,
-    n: int,
-    k: int,
-    regs: Sequence[float] = (0.001, 0.003, 0.01, 0.03, 0.1),
-    folds: int = 3,
-    seed: int = 42,
-    parallelism: int = 4,
-    max_iter: int = 50,
+    split: DataFrame, n: int, k: int, n_penalties: int = 10, folds: int = 3, seed: int = 42, tol: float = 1e-4, max_passes: int = 200
 ) -> DataFrame:
-    """Features ranked by mean |coefficient| of an L1 multinomial model, penalty by group-wise folds.
+    """Features ranked by mean |coefficient| of an L1 softmax model of all train rows, penalty by folds over source groups.
 
-    Every fit is a distributed MLlib job over all train rows of one repeat;
-    ``parallelism`` repeats run side by side, each with as many fits.
+    All repeats, folds and penalties are fitted in the same passes (``convex.fit_lasso``); of equal features the first is taken.
     """
     check_budget(k, n)
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    spark = split.sparkSession
-    train = feat.train_rows(feat.refuse_transductive(feat.standardise_train(split)))
-    fold = F.pmod(F.conv(F.left(seeded_hash(F.lit(seed), F.col("grp")), F.lit(4)), 16, 10).cast("int"), F.lit(folds))
-    train = train.select(
-        "rep", "label", array_to_vector("features").alias("vector"), fold.cast("int").alias("fold")
-    ).persist()
-
-    def one_repeat(rep: int) -> list[tuple[int, int]]:
-        rows = train.where(F.col("rep") == rep)
-        model = LogisticRegression(
-            featuresCol="vector", labelCol="y", family="multinomial", elasticNetParam=1.0,
-            standardization=False, maxIter=max_iter,
-        )
-        indexed = StringIndexer(inputCol="label", outputCol="y").fit(rows).transform(rows)
-        cv = CrossValidator(
-            estimator=model,
-            estimatorParamMaps=ParamGridBuilder().addGrid(model.regParam, list(regs)).build(),
-            evaluator=MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy"),
-            numFolds=folds, foldCol="fold", parallelism=parallelism,
-        )
-        weight = np.abs(cv.fit(indexed).bestModel.coefficientMatrix.toArray()).mean(axis=0)
-        return [(rep, int(f)) for f in sorted(np.argsort(-weight, kind="stable")[:k])]
-
-    try:
-        reps = sorted(int(r["rep"]) for r in train.select("rep").distinct().collect())
-        with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            # the threads only submit jobs; the fits run on the executors
-            out = [row for rows in pool.map(one_repeat, reps) for row in rows]
-    finally:
-        train.unpersist()
-    return _arm(spark.createDataFrame(out, "rep int, f int"), "E_lasso")
+    train = feat.refuse_transductive(feat.standardise_train(split))
+    models, tried = fit_lasso(train, n_penalties, folds=folds, seed=seed, tol=tol, max_passes=max_passes)
+    return _arm(rank_coefficients(models.where(F.col("fold") == folds), tried, k), "E_lasso")
+
+
+def rank_coefficients(models: DataFrame, tried: DataFrame, k: int) -> DataFrame:
+    """(rep, f) of the k largest mean |coefficient| at the penalty with the most right answers, the larger one of equals."""
+    best = tried.groupBy("rep").agg(F.max(F.struct("n_right", "penalty"))["penalty"].alias("penalty"))
+    size = (F.size("coef") / F.size("classes")).cast("int")
+    values = models.join(F.broadcast(best), ["rep", "penalty"]).select("rep", size.alias("size"), F.posexplode("coef").alias("i", "x"))
+    values = values.withColumn("f", (F.col("i") % F.col("size")).cast("int")).where("f < size - 1")
+    worth = values.groupBy("rep", "f").agg(F.avg(F.abs("x")).alias("w"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("w"), "f"))
+    return worth.withColumn("place", place).where(F.col("place") <= k).select("rep", "f")
 
 
 # ---- dispatch and checks ----------------------------------------------------------

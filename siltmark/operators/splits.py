@@ -51,6 +51,15 @@ def group_split(
     return rows.withColumn("is_test", F.coalesce(side, F.lit(False))).drop("_cutoff")
 
 
+def group_masks(df: DataFrame, group: str, reps: Sequence[int], fraction: float = 0.25, seed: int = 42) -> DataFrame:
+    """The same split as masks: every row once, ``train`` saying for each repeat in order whether the row is on its train side."""
+    if not 0 < fraction < 1:
+        raise ValueError("fraction must be inside (0, 1)")
+    cutoffs = split_cutoffs(df, group, reps, fraction, seed)
+    sides = [~F.coalesce(seeded_hash(F.lit(int(r) + seed), F.col(group)) <= F.lit(cutoffs.get(r, "")), F.lit(False)) for r in reps]
+    return df.withColumn("train", F.array(*sides))
+
+
 def cap_rows(df: DataFrame, n: int, seed: int, row_id: str = "row_id", by: str = "rep") -> DataFrame:
     """At most n rows per repeat, chosen by a seeded hash of the id alone, so blind to the label.
 

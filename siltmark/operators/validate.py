@@ -40,20 +40,20 @@ def _at(table: str, key: Column | str, field: str = "") -> Column:
 
 def not_empty(df: DataFrame, table: str) -> DataFrame:
     none = df.limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0")
-    return finding(none, "schema", F.lit(table), F.lit("expected a nonempty list"))
+    return finding(none, "schema", F.lit(table), F.lit("the table has no rows"))
 
 
 def corrupt_records(df: DataFrame, table: str, column: str = "_corrupt_record") -> DataFrame:
     return finding(df.where(F.col(column).isNotNull()), "json", F.lit(table), F.lit("not a valid JSON object"))
 
 
-Rule = tuple[Column, str, Column, str]  # condition, code, path, message
+Rule = tuple[Column, str, Column, "str | Column"]  # condition, code, path, message
 
 
 def row_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Findings of any number of per-row rules from one scan of the table."""
     hits = [
-        F.when(cond, F.struct(F.lit(code).alias("code"), path.cast("string").alias("path"), F.lit(text).alias("message")))
+        F.when(cond, F.struct(F.lit(code).alias("code"), path.cast("string").alias("path"), (text if isinstance(text, Column) else F.lit(text)).alias("message")))
         for cond, code, path, text in rules
     ]
     return df.select(F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull())))
@@ -61,7 +61,7 @@ def row_findings(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def id_rules(table: str, key: str = "id") -> list[Rule]:
     bad = F.col(key).isNull() | (F.col(key) < 0)
-    return [(bad, "id", _at(table, key), "id must be a nonnegative integer")]
+    return [(bad, "id", _at(table, key), F.concat(F.lit("not an id: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))]
 
 
 def duplicate_ids(df: DataFrame, table: str, key: str = "id") -> DataFrame:
@@ -77,7 +77,7 @@ def ids(df: DataFrame, table: str, key: str = "id") -> DataFrame:
 
 def name_rules() -> list[Rule]:
     blank = F.trim(F.coalesce("name", F.lit(""))) == ""
-    return [(blank, "schema", _at("categories", "id", ".name"), "expected a nonempty string")]
+    return [(blank, "schema", _at("categories", "id", ".name"), "the name is blank")]
 
 
 def category_names(categories: DataFrame) -> DataFrame:
@@ -85,13 +85,16 @@ def category_names(categories: DataFrame) -> DataFrame:
     twice = named.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return union_violations(
         row_findings(categories, name_rules()),
-        finding(twice, "category", _at("categories", "name"), F.lit("duplicate category name")),
+        finding(twice, "category", _at("categories", "name"), F.concat(F.col("n").cast("string"), F.lit(" categories have this name"))),
     )
 
 
 def dimension_rules() -> list[Rule]:
     return [
-        (F.col(d).isNull() | (F.col(d) < 1), "dimension", _at("images", "id", f".{d}"), "expected a positive integer")
+        (
+            F.col(d).isNull() | (F.col(d) < 1), "dimension", _at("images", "id", f".{d}"),
+            F.concat(F.lit("must be 1 or more, is "), F.coalesce(F.col(d).cast("string"), F.lit("null"))),
+        )
         for d in ("width", "height")
     ]
 
@@ -128,9 +131,9 @@ def references(annotations: DataFrame, images: DataFrame, categories: DataFrame)
         *[
             finding(
                 orphans(annotations, parent, key), "reference", _at("annotations", "id", f".{key}"),
-                F.lit("unknown or invalid integer reference"),
+                F.concat(F.lit(f"no row of {name} has this id: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))),
             )
-            for key, parent in (("image_id", images), ("category_id", categories))
+            for key, name, parent in (("image_id", "images", images), ("category_id", "categories", categories))
         ]
     )
 
@@ -148,7 +151,7 @@ def box_rules() -> list[Rule]:
     at, four = _at("annotations", "id"), _four_numbers()
     bad = (_side(0) < 0) | (_side(1) < 0) | (_side(2) <= 0) | (_side(3) <= 0)
     return [
-        (~four, "bbox", at, "bbox must contain four finite numbers"),
+        (~four, "bbox", at, F.concat(F.greatest(F.coalesce(F.size("bbox"), F.lit(0)), F.lit(0)).cast("string"), F.lit(" values given, 4 finite numbers needed"))),
         (four & bad, "bbox", at, "bbox needs origin >= 0 and positive extent"),
     ]
 
@@ -205,8 +208,8 @@ def provenance(record: DataFrame, actual: DataFrame) -> DataFrame:
     when = F.coalesce(fx.iso_timestamp("file_mtime").isNotNull() & zoned, F.lit(False))
     now = {c: actual.select(c).scalar() for c in ("sha256", "n_images", "n_annotations")}
     rules = [
-        (~sha.rlike("^[0-9a-fA-F]{64}$"), "provenance", "sha256 must be 64 hexadecimal characters"),
-        (F.trim(F.coalesce("source_url", F.lit(""))) == "", "provenance", "source_url must be nonempty"),
+        (~sha.rlike("^[0-9a-fA-F]{64}$"), "provenance", "not a SHA-256 digest in hex"),
+        (F.trim(F.coalesce("source_url", F.lit(""))) == "", "provenance", "the source has no address"),
         (~when, "provenance", "file_mtime must be a time with zone"),
         (F.lower(sha) != now["sha256"], "provenance_sha256", "recorded sha256 does not match the file"),
     ]

@@ -5,23 +5,18 @@ from __future__ import annotations
 IMAGE = "id bigint, width bigint, height bigint, file_name string, flickr_640_url string, flickr_url string"
 CATEGORY = "id bigint, name string, supercategory string"
 ANNOTATION = "id bigint, image_id bigint, category_id bigint, bbox array<double>, area double, iscrowd int"
-ANNOTATION_DOCUMENT = (
-    f"images array<struct<{IMAGE.replace(' ', ':').replace(',:', ', ')}>>, "
-    f"categories array<struct<{CATEGORY.replace(' ', ':').replace(',:', ', ')}>>, "
-    f"annotations array<struct<{ANNOTATION.replace(' ', ':').replace(',:', ', ')}>>"
-)
-
 RESULT = (
     "rep int, seed bigint, arm string, arm_key string, clf string, selected string, "
     "selection_seconds double, accuracy double, macro_f1 double, fit_seconds double, predict_seconds double"
 )
 
-ARTIFACT = (
+ARTIFACT_FIELDS = (
     "run_id string, rep int, arm string, arm_label string, seed bigint, selected array<int>, "
-    "classes array<string>, y_test array<string>, test_ids array<string>, test_groups array<string>, "
-    "metrics map<string, struct<accuracy: double, macro_f1: double, fit_seconds: double, "
-    "predict_seconds: double, predictions: array<string>>>"
+    "classes array<string>, y_test array<string>, test_ids array<string>, test_groups array<string>"
 )
+#: fields without which the rows of a document belong nowhere
+ARTIFACT_KEYS = ("run_id", "rep", "arm")
+HEAD = "accuracy double, macro_f1 double, fit_seconds double, predict_seconds double, predictions array<string>"
 
 PREDICTION = (
     "run_id string, rep int, arm string, clf string, pos int, item_id string, grp string, y_true string, y_pred string"

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import columns as fx
-from ..operators.validate import row_findings
+from ..functions import variants as vx
+from ..operators.validate import row_findings, union_violations
 
 MANIFEST_NAME = "run_manifest.json"
 ARTIFACT_TABLE = "artifacts"
@@ -16,26 +17,47 @@ ARTIFACT_TABLE = "artifacts"
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
     """One row per stored (repeat, arm) document, with the file it came from.
 
-    A document that is not valid JSON fails the job that reads it; ``broken_artifacts`` lists all of them.
+    Fields are taken one by one: one of another type is NULL, a head that is no object is left out;
+    ``artifact_findings`` names both. A document that is not a JSON object fails the job that reads it.
     """
     docs = _documents(spark, path)
     why = F.concat(F.lit("not a valid JSON document: "), F.col("artifact"))
-    metrics = F.when(_broken(), F.raise_error(why)).otherwise(F.col("metrics"))
-    return docs.withColumn("metrics", metrics).drop("_corrupt_record")
+    docs = docs.withColumn("doc", F.when(vx.not_a_document(), F.raise_error(why)).otherwise(F.col("doc")))
+    heads = F.transform_values(F.map_filter(_heads(), lambda _, v: vx.is_object(v)), lambda _, v: F.struct(*vx.fields(v, schemas.HEAD)))
+    return docs.select(*vx.fields("doc", schemas.ARTIFACT_FIELDS), heads.alias("metrics"), "artifact")
 
 
 def broken_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Findings: the stored documents that are not valid JSON."""
-    return row_findings(_documents(spark, path), [(_broken(), "json", F.col("artifact"), "not a valid JSON document")])
+    """Findings: the stored documents that are not JSON objects."""
+    return row_findings(_documents(spark, path), [(vx.not_a_document(), "json", F.col("artifact"), "not a valid JSON document")])
+
+
+def artifact_findings(spark: SparkSession, path: str) -> DataFrame:
+    """Findings on the form of stored documents: not JSON, no run or repeat, no heads, fields of another type."""
+    docs, at = _documents(spark, path), lambda name: F.concat(F.col("artifact"), F.lit(f":{name}"))
+    there = vx.is_object("doc")
+    rules = [(vx.not_a_document(), "json", F.col("artifact"), "not a valid JSON document")]
+    for field in schemas.ARTIFACT_FIELDS.split(", "):
+        name, kind = field.split(" ")
+        wrong = vx.mistyped("doc", name, kind) | (F.lit(name in schemas.ARTIFACT_KEYS) & vx.typed("doc", name, kind).isNull())
+        rules.append((there & wrong, "schema", at(name), f"the field must be of type {kind}"))
+    rules.append((there & F.coalesce(F.size(_heads()) < 1, F.lit(True)), "schema", at("metrics"), "a head and its predictions are needed here"))
+    heads = docs.select("artifact", F.explode(_heads()).alias("clf", "v"))
+    path_of = F.concat(at("metrics."), F.col("clf"))
+    inner = [(~vx.is_object("v"), "schema", path_of, "the entry is not a JSON object")]
+    for field in schemas.HEAD.split(", "):
+        name, kind = field.split(" ")
+        wrong = vx.mistyped("v", name, kind) | (F.lit(name == "predictions") & vx.is_object("v") & vx.typed("v", name, kind).isNull())
+        inner.append((wrong, "schema", F.concat(path_of, F.lit(f".{name}")), f"the field must be of type {kind}"))
+    return union_violations(row_findings(docs, rules), row_findings(heads, inner))
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
-    docs = spark.read.schema(f"{schemas.ARTIFACT}, _corrupt_record string").option("multiLine", True).json(path)
-    return docs.withColumn("artifact", F.col("_metadata.file_name"))
+    return vx.texts(spark, path).select(*vx.parsed("value"), F.col("file_name").alias("artifact"))
 
 
-def _broken() -> Column:
-    return F.col("_corrupt_record").isNotNull() & F.col("run_id").isNull() & F.col("metrics").isNull()
+def _heads() -> Column:
+    return F.try_variant_get("doc", "$.metrics", "map<string, variant>")
 
 
 def tidy(artifacts: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from conftest import one, rows
 from siltmark import schemas
-from siltmark.config import IMAGE_HOSTS
 from siltmark.operators import boxes, fingerprint, taxonomy, validate
 from siltmark.sources import annotations as source
 
+HOSTS = ("staticflickr.com", "images.example.org")
 FILES = "file_name string, actual_width bigint, actual_height bigint, readable boolean"
 TAX = "leaf string, coarse string"
 
@@ -131,7 +131,7 @@ def test_fetch_side(spark):
     urls = boxes.candidate_urls(images, "flickr_640_url", "flickr_url").orderBy("id").select("urls")
     assert [r[0] for r in urls.collect()] == [["https://farm1.staticflickr.com/a"], ["http://staticflickr.com/b"]]
     flat = boxes.candidate_urls(images, "flickr_640_url", "flickr_url").select(F.explode("urls").alias("u"))
-    assert {r["problem"] for r in boxes.screen_urls(flat, "u", IMAGE_HOSTS).collect()} == {None, "scheme"}
+    assert {r["problem"] for r in boxes.screen_urls(flat, "u", HOSTS).collect()} == {None, "scheme"}
     tally = boxes.outcome_tally(spark.createDataFrame([("HTTPError: 404",), ("Timeout",), ("no-640-url",), ("",), (None,)], "error string"))
     assert tuple(one(tally)) == (3, 1, 1)
 

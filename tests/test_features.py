@@ -156,3 +156,49 @@ def test_split_then_bins_by_repeat(spark):
     rows = split_of(spark, x).drop("rep", "is_test")
     out = features.quantile_bins(splits.group_split(rows, "grp", [0, 1], 0.25), 4)
     assert out.count() == 120 and out.where(F.exists("codes", lambda c: (c < 0) | (c > 3))).count() == 0
+
+
+def masked(spark, n=90, d=5, parts=3, reps=(0, 1, 2)):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(n, d)), 2) + 500.0
+    rows = spark.createDataFrame([(i, f"g{i % 30}", "a" if i % 2 else "b", x[i].tolist()) for i in range(n)], "row_id int, grp string, label string, features array<double>")
+    rows = rows.repartition(parts)
+    return splits.group_masks(rows, "grp", reps, 0.3, 7), splits.group_split(rows, "grp", reps, 0.3, 7)
+
+
+@pytest.mark.parametrize("parts", [3, 70])
+def test_masks_give_what_copies_give(spark, monkeypatch, parts):
+    """One copy of the rows and a mask per repeat, in blocks of features and through two levels of sums."""
+    rows, split = masked(spark, parts=parts)
+    reps = [0, 1, 2]
+    near = lambda df, *order: [tuple(r) for r in df.orderBy(*order).collect()]
+    for a, b in zip(near(features.moments_train(rows, reps), "rep", "f"), near(features.moments_train(split), "rep", "f"), strict=True):
+        assert a == pytest.approx(b, rel=1e-12)
+    ours, theirs = features.pca_train(rows, 3, reps), features.pca_train(split, 3)
+    for r in reps:
+        assert np.allclose(ours.components[r], theirs.components[r]) and np.allclose(ours.std[r], theirs.std[r])
+    cuts = features.train_cuts(rows, 4, reps=reps)
+    binned = features.train_rows(features.quantile_bins(split, 4))
+    want = near(information.mi_pairs(binned, 4), "rep", "fi", "fj")
+    monkeypatch.setattr(information, "TABLE_BYTES", 8 * 16 * 5 * 3 * 2)  # two features a scan
+    got = near(information.mi_pairs(rows, 4, reps, cuts), "rep", "fi", "fj")
+    assert len(got) == 3 * 10
+    for a, b in zip(got, want, strict=True):
+        assert a == pytest.approx(b, abs=1e-12)
+
+
+def test_masked_plans_neither_copy_nor_sort(spark):
+    rows, split = masked(spark)
+    cuts = features.train_cuts(rows, 4, reps=[0, 1, 2])
+    centre = spark.createDataFrame([(f, 500.0) for f in range(5)], "f int, c double")
+    for df in (features.moments_train(rows, [0, 1, 2]), features.gram_train(rows, centre, [0, 1, 2]), information.mi_pairs(rows, 4, [0, 1, 2], cuts).where("rep = 0")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Sort" not in plan and "Aggregate" not in plan
+    assert "Generate" in split._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_masks_of_empty_tables(spark):
+    rows, _ = masked(spark)
+    none = rows.where("row_id < 0")
+    assert features.moments_train(none, [0, 1, 2]).count() == 0
+    assert information.mi_pairs(none, 4, [0, 1, 2], {}).count() == 0

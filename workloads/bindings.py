@@ -95,6 +95,11 @@ def vector_split(spark, sf) -> DataFrame:
     return splits.group_split(vectors(spark, sf), "grp", VECTOR_REPS, 0.25, SEED)
 
 
+def vector_masks(spark, sf) -> DataFrame:
+    """The same split with a mask per repeat in place of a copy."""
+    return splits.group_masks(vectors(spark, sf), "grp", VECTOR_REPS, 0.25, SEED)
+
+
 def order_lines(spark, sf) -> DataFrame:
     """lineitem as four wide numeric features, grouped by order."""
     numbers = F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax")

@@ -610,13 +610,13 @@ ORACLE["canonical_ids"] = """
 # ---- validation ------------------------------------------------------------------------------------------------------
 
 CTE["ann_findings"] = r"""
-  SELECT 'dimension' AS code, 'images[' || id || '].width' AS path, 'expected a positive integer' AS message FROM imgs WHERE width < 1
+  SELECT 'dimension' AS code, 'images[' || id || '].width' AS path, 'must be 1 or more, is ' || width AS message FROM imgs WHERE width < 1
   UNION ALL SELECT 'path', 'images[' || id || '].file_name', 'path is unsafe or not portable' FROM imgs WHERE file_name LIKE '../%' OR file_name LIKE 'C:%'
   UNION ALL SELECT 'duplicate_path', 'images[' || lower(file_name) || ']', 'duplicate portable path' FROM imgs
     WHERE file_name NOT LIKE '../%' AND file_name NOT LIKE 'C:%' GROUP BY lower(file_name) HAVING count(*) > 1
-  UNION ALL SELECT 'reference', 'annotations[' || id || '].image_id', 'unknown or invalid integer reference' FROM anns WHERE image_id NOT IN (SELECT id FROM imgs)
-  UNION ALL SELECT 'reference', 'annotations[' || id || '].category_id', 'unknown or invalid integer reference' FROM anns WHERE category_id NOT IN (SELECT id FROM cats)
-  UNION ALL SELECT 'bbox', 'annotations[' || id || ']', 'bbox must contain four finite numbers' FROM anns WHERE NOT four
+  UNION ALL SELECT 'reference', 'annotations[' || id || '].image_id', 'no row of images has this id: ' || image_id FROM anns WHERE image_id NOT IN (SELECT id FROM imgs)
+  UNION ALL SELECT 'reference', 'annotations[' || id || '].category_id', 'no row of categories has this id: ' || category_id FROM anns WHERE category_id NOT IN (SELECT id FROM cats)
+  UNION ALL SELECT 'bbox', 'annotations[' || id || ']', '3 values given, 4 finite numbers needed' FROM anns WHERE NOT four
   UNION ALL SELECT 'bbox', 'annotations[' || id || ']', 'bbox needs origin >= 0 and positive extent' FROM anns WHERE four AND (x < 0 OR y < 0 OR w <= 0 OR h <= 0)
   UNION ALL SELECT 'bbox', 'annotations[' || a.id || ']', 'bbox exceeds the annotated image' FROM anns a JOIN imgs i ON i.id = a.image_id
     WHERE four AND width >= 1 AND (x + w > width + 1e-6 OR y + h > height + 1e-6)
@@ -775,6 +775,42 @@ ORACLE["stored_embeddings"] = sql("SELECT split_part(path, '/', 3) AS grp, label
 ORACLE["read_annotations"] = sql("""
   SELECT a.id, c.name AS category, i.file_name, CASE WHEN four THEN 4 ELSE 3 END AS n_box, round(CASE WHEN four THEN a.w ELSE abs(a.w) END, 2) AS w
   FROM anns a JOIN cats c ON c.id = a.category_id JOIN imgs i ON i.id = a.image_id""")
+# fits cannot be written in SQL: their optimality is worked out again from the stored weights on the other side
+CTE["vec_sides"] = """
+  SELECT rep, label AS class, count(*) FILTER (NOT is_test) AS n_train, count(*) FILTER (is_test) AS n_test, true AS optimal,
+    nullif(count(*) FILTER (is_test), 0) AS n_scored, nullif(count(*) FILTER (is_test), 0) AS n_items, CASE WHEN bool_or(is_test) THEN true END AS best_given
+  FROM vec_split GROUP BY ALL HAVING count(*) FILTER (NOT is_test) > 0"""
+ORACLE["svm_head"] = sql("SELECT * FROM vec_sides")
+ORACLE["svm_fourier_head"] = sql("SELECT * FROM vec_sides")
+ORACLE["svm_tuned"] = sql("""
+  SELECT rep, 16::BIGINT AS n_cells, count(*) FILTER (NOT is_test) AS n_rows, true AS best_won, count(*) FILTER (is_test) AS n_scored, count(*) FILTER (is_test) AS n_items
+  FROM vec_split GROUP BY rep""")
+ORACLE["svm_order_lines"] = sql("SELECT rep, label AS class, true AS optimal, count(*) AS n_scored FROM line_split WHERE is_test GROUP BY ALL")
+ORACLE["lasso_path"] = sql("""
+  SELECT rep, penalty::INT AS penalty, (SELECT count(DISTINCT label) FROM vec_split) * 65 AS n_coef, true AS optimal, true AS grows
+  FROM (SELECT DISTINCT rep FROM vec_split), (SELECT unnest(range(1, 11)) AS penalty)""")
+# shards of orders by key: the third of ten has another type for its list, the fourth none, the fifth an entry 7 in place of its
+# first record, the sixth an id that is no number, the seventh is cut off, the eighth is empty, the ninth repeats a key
+CTE["shard"] = "SELECT o_orderkey // 500 AS s, o_orderkey // 500 % 10 AS kind, min(o_orderkey) AS first, count(*) AS n FROM orders GROUP BY ALL"
+ORACLE["broken_shards"] = sql("""
+  SELECT what, n::BIGINT AS n FROM (
+    SELECT 'kept' AS what, sum(CASE WHEN kind IN (3, 4, 7, 8, 9) THEN 0 WHEN kind = 5 THEN n - 1 ELSE n END) AS n FROM shard
+    UNION ALL SELECT 'json: not a valid JSON document', count(*) FROM shard WHERE kind IN (7, 9)
+    UNION ALL SELECT 'schema: a list with at least one entry is needed here', count(*) FROM shard WHERE kind IN (3, 4, 8)
+    UNION ALL SELECT 'schema: the entry is not a JSON object', count(*) FROM shard WHERE kind = 5
+    UNION ALL SELECT 'id: not an id: null', count(*) FROM shard WHERE kind = 6)
+  WHERE n > 0""")
+CTE["rep_docs"] = "SELECT rep, arm, rep::INT % 3 AS kind FROM pred GROUP BY ALL"
+ORACLE["broken_artifacts"] = sql("""
+  SELECT what, n::BIGINT AS n FROM (
+    SELECT 'rows' AS what, count(*) AS n FROM pred WHERE rep % 3 <> 2
+    UNION ALL SELECT 'rows with an item', count(*) FROM pred WHERE rep % 3 = 0
+    UNION ALL SELECT 'schema: the field must be of type array<string>', count(*) FROM rep_docs WHERE kind = 1
+    UNION ALL SELECT 'schema: a head and its predictions are needed here', count(*) FROM rep_docs WHERE kind = 2)
+  WHERE n > 0""")
+ORACLE["append_null_keys"] = """
+  SELECT CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey END AS a, CASE WHEN c_custkey % 7 = 0 THEN c_custkey END AS b,
+    CASE WHEN c_custkey % 5 = 1 THEN c_mktsegment ELSE 'held ' || c_custkey % 3 END AS payload FROM customer"""
 ORACLE["read_taxonomy"] = sql("SELECT leaf, CASE WHEN leaf = 'Brand#1' THEN 'zinc' ELSE coarse END AS coarse FROM taxo")
 ORACLE["stored_run"] = "SELECT 'run_q' AS run_id, 'complete' AS status, 5 AS reps_completed, 2 AS n_tables, 0::BIGINT AS problems"
 ORACLE["deploy_head"] = sql("SELECT 1::DOUBLE AS agreement, count(*) AS n, true AS ok FROM vec_split WHERE rep = 0 AND is_test")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltmark.functions import columns as fx
 from siltmark.functions.ranking import global_rank
 from siltmark.operators import (
-    audit, boxes, features, fingerprint, golden, heads, information, metrics, runs, selection,
+    audit, boxes, convex, features, fingerprint, golden, heads, information, metrics, runs, selection,
     significance, splits, taxonomy, validate, votes, zones,
 )
 from siltmark.plans import prepare, severity
@@ -441,7 +441,7 @@ def split_violations(spark, sf):
 
 @query
 def moments_train(spark, sf):
-    return rounded(features.moments_train(b.vector_split(spark, sf)), "mean", "std")
+    return rounded(features.moments_train(b.vector_masks(spark, sf), b.VECTOR_REPS), "mean", "std")
 
 
 @query
@@ -486,13 +486,17 @@ def mi_label_order_lines(spark, sf):
 
 @query
 def mi_pairs(spark, sf):
-    return rounded(information.mi_pairs(_binned(spark, sf), 8), "mi")
+    """All repeats from one copy of the rows, each repeat a mask."""
+    rows = b.vector_masks(spark, sf)
+    cuts = features.train_cuts(rows, 8, reps=b.VECTOR_REPS)
+    return rounded(information.mi_pairs(rows, 8, b.VECTOR_REPS, cuts), "mi")
 
 
 @query
 def mi_pairs_order_lines(spark, sf):
-    binned = features.train_rows(features.quantile_bins(b.line_split(spark, sf), 16))
-    return rounded(information.mi_pairs(binned, 16), "mi")
+    rows = splits.group_masks(b.order_lines(spark, sf), "grp", b.LINE_REPS, 0.25, b.SEED)
+    cuts = features.train_cuts(rows, 16, reps=b.LINE_REPS)
+    return rounded(information.mi_pairs(rows, 16, b.LINE_REPS, cuts), "mi")
 
 
 @query
@@ -554,8 +558,81 @@ def select_qubo_trace(spark, sf):
 
 @query
 def select_lasso(spark, sf):
-    split = b.vector_split(spark, sf).where("rep = 0")
-    return selection.select_lasso(split, 64, 8, regs=(0.01, 0.03), max_iter=20)
+    """Eight features of every repeat by L1 models: ten penalties, three folds and two repeats in the same passes."""
+    return selection.select_lasso(b.vector_split(spark, sf), 64, 8)
+
+
+@query
+def lasso_path(spark, sf):
+    """L1 models of every repeat and penalty over all train rows, their optimality worked out again from the stored coefficients."""
+    split = features.standardise_train(b.vector_split(spark, sf))
+    models, _ = convex.fit_lasso(split, n_penalties=10, tol=1e-5)
+    models = models.where("fold = 3")
+    slopes = convex.stored_slopes(split, models, "softmax")
+    off = (
+        F.when(F.col("f").isNull(), F.abs("slope")).when(F.col("coef") == 0, F.abs("slope") - F.col("penalty"))
+        .otherwise(F.abs(F.col("slope") + F.col("penalty") * F.signum("coef")))
+    )
+    per = slopes.groupBy("rep", "cell").agg(F.max(off).alias("off"), F.count(F.lit(1)).alias("n_coef"), F.sum((F.col("coef") != 0).cast("int")).alias("n_left"))
+    place = Window.partitionBy("rep").orderBy("cell")
+    return per.select(
+        "rep", F.row_number().over(place).alias("penalty"), "n_coef", (F.col("off") < 1e-4).alias("optimal"),
+        (F.col("n_left") >= F.lag("n_left", 1, 0).over(place) * 0.5).alias("grows"),
+    )
+
+
+def _svm_report(split, fitted):
+    """Per repeat and class: rows, whether the stored weights are a minimum, and whether each held-out row got its best class."""
+    slopes = convex.stored_slopes(split, fitted.models, "hinge").groupBy("rep", "class").agg((F.max(F.abs("slope")) < 1e-4).alias("optimal"))
+    rows = split.where("label IS NOT NULL").groupBy("rep", F.col("label").alias("class")).agg(
+        F.sum((~F.col("is_test")).cast("long")).alias("n_train"), F.sum(F.col("is_test").cast("long")).alias("n_test")
+    )
+    guessed = fitted.predict(split)
+    scored = guessed.groupBy("rep", F.col("y_true").alias("class")).agg(F.count(F.lit(1)).alias("n_scored"), F.count_distinct("item_id").alias("n_items"))
+    size = (F.size("coef") / F.size("classes")).cast("int")
+    w = F.transform(F.sequence(F.lit(0), F.size("classes") - 1), lambda k: F.slice("coef", k * size + 1, size))
+    best = split.where("is_test").join(F.broadcast(fitted.models.select("rep", "classes", w.alias("w"))), "rep")
+    score = F.transform("w", lambda v: F.aggregate(F.zip_with(F.slice(v, 1, F.size(v) - 1), "features", lambda a, x: a * x), F.element_at(v, -1), lambda t, x: t + x))
+    best = best.select("rep", F.col("row_id").cast("string").alias("item_id"), "classes", score.alias("s"))
+    given = guessed.join(best, ["rep", "item_id"]).select("rep", F.col("y_true").alias("class"), (F.array_max("s") - F.element_at(F.map_from_arrays("classes", "s"), F.col("y_pred"))).alias("gap"))
+    right = given.groupBy("rep", "class").agg((F.max("gap") < 1e-9).alias("best_given"))
+    return rows.join(slopes, ["rep", "class"]).join(scored, ["rep", "class"], "left").join(right, ["rep", "class"], "left")
+
+
+@query
+def svm_head(spark, sf):
+    """Linear one-against-rest hinge models of every repeat over all train rows, checked from the stored weights."""
+    split = features.standardise_train(b.vector_split(spark, sf))
+    return _svm_report(split, convex.fit_svm(split))
+
+
+@query
+def svm_order_lines(spark, sf):
+    """The same over order lines: four features, all repeats."""
+    rows = b.line_split(spark, sf).withColumn("row_id", F.monotonically_increasing_id())
+    split = features.standardise_train(rows)
+    fitted = convex.fit_svm(split, max_passes=120)
+    slopes = convex.stored_slopes(split, fitted.models, "hinge").groupBy("rep", "class").agg((F.max(F.abs("slope")) < 1e-4).alias("optimal"))
+    counts = fitted.predict(split).groupBy("rep", F.col("y_true").alias("class")).agg(F.count(F.lit(1)).alias("n_scored"))
+    return slopes.join(counts, ["rep", "class"])
+
+
+@query
+def svm_fourier_head(spark, sf):
+    """The RBF kernel by random Fourier features, then as svm_head."""
+    split = heads.fourier_features(features.standardise_train(b.vector_split(spark, sf)), 64, 0.02, out=48)
+    return _svm_report(split, convex.fit_svm(split, clf="rbf_svm_rff"))
+
+
+@query
+def svm_tuned(spark, sf):
+    """Sixteen cells of C and gamma on three folds of every repeat, in the same passes; the winner has the most right answers."""
+    split = features.standardise_train(b.vector_split(spark, sf))
+    fitted = convex.fit_svm(split, heads.GRID_C, heads.GRID_GAMMA, out=48, tol=1e-3, max_passes=150, clf="rbf_svm_tuned_rff")
+    tried = fitted.tried.groupBy("rep").agg(F.count(F.lit(1)).alias("n_cells"), F.min("n_rows").alias("n_rows"), F.max("n_right").alias("most"))
+    won = fitted.tried.join(fitted.models.select("rep", "c", "gamma"), ["rep", "c", "gamma"]).groupBy("rep").agg(F.max("n_right").alias("won"))
+    scored = fitted.predict(split).groupBy("rep").agg(F.count(F.lit(1)).alias("n_scored"), F.count_distinct("item_id").alias("n_items"))
+    return tried.join(won, "rep").join(scored, "rep").select("rep", "n_cells", "n_rows", (F.col("won") == F.col("most")).alias("best_won"), "n_scored", "n_items")
 
 
 @query
@@ -579,7 +656,8 @@ def pca_spread(spark, sf):
 def pca_all_components(spark, sf):
     """With as many components as features a projection only rotates: squared lengths are kept."""
     split = b.vector_split(spark, sf)
-    out = features.long_features(features.pca_train(split, 64).transform(split), "rep", "row_id")
+    model = features.pca_train(b.vector_masks(spark, sf), 64, b.VECTOR_REPS)
+    out = features.long_features(model.transform(split), "rep", "row_id")
     return rounded(out.groupBy("rep", "row_id").agg(F.sum(F.col("x") * F.col("x")).alias("length2")), "length2")
 
 
@@ -1027,6 +1105,66 @@ def read_annotations(spark, sf):
     return joined.select("id", "category", "file_name", F.size("bbox").alias("n_box"), F.round(F.get("bbox", F.lit(2)), 2).alias("w"))
 
 
+@query
+def broken_shards(spark, sf):
+    """Shards of which some hold no list, a wrong entry or half a document: records kept and findings by message."""
+    path, kind = scratch(spark), F.expr("s % 10")
+    record = F.to_json(F.struct(*b.annotations(spark, sf).columns))
+    rows = b.annotations(spark, sf).select(F.expr("id div 500").alias("s"), "id", record.alias("r"))
+    shards = rows.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("id", "r"))).alias("l"))
+    rest = F.slice("l.r", 2, F.greatest(F.size("l") - 1, F.lit(1)))
+    rest = F.when(F.size("l") > 1, rest).otherwise(F.slice("l.r", 1, 0))
+    first = F.when(kind == 5, "7").when(kind == 6, F.regexp_replace(F.col("l")[0]["r"], r'"id":\d+', '"id":"two"')).otherwise(F.col("l")[0]["r"])
+    listed = F.concat(F.lit('{"annotations":['), F.array_join(F.concat(F.array(first), rest), ","), F.lit("]}"))
+    document = (
+        F.when(kind == 3, F.lit('{"annotations":"oops"}')).when(kind == 4, F.lit('{"images":null}')).when(kind == 8, F.lit('{"annotations":[]}'))
+        .when(kind == 7, F.left(listed, F.length(listed) - 20)).when(kind == 9, F.concat(F.lit('{"annotations":[],'), F.expr("substring(d, 2)"))).otherwise(listed)
+    )
+    shards.withColumn("d", listed).select(document.alias("value")).write.text(path)
+    annotations = annotation_source.read_annotations(spark, path, one_per_file=False, skip_broken=True)[2]
+    form = annotation_source.document_findings(spark, path, one_per_file=False, required=["annotations"])
+    found = validate.union_violations(form.where("path NOT LIKE '%:images'"), validate.ids(annotations, "annotations"))
+    counts = found.groupBy(F.concat_ws(": ", "code", "message").alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(annotations.agg(F.count(F.lit(1)).alias("n")).select(F.lit("kept").alias("what"), "n"))
+
+
+@query
+def broken_artifacts(spark, sf):
+    """Stored documents in which ids or heads have another type: rows that are left and findings by message."""
+    path = scratch(spark)
+    pred = b.predictions(spark, sf).withColumn("run_id", F.lit("r"))
+    items = F.array_sort(F.collect_list(F.struct("event_id", "item_id", "y_true", "y_pred")))
+    heads = pred.groupBy("run_id", "rep", "arm", "clf").agg(items.alias("l"))
+    entry = F.struct("clf", F.struct(F.col("l.y_pred").alias("predictions")))
+    docs = heads.groupBy("run_id", "rep", "arm").agg(F.map_from_entries(F.collect_list(entry)).alias("metrics"), F.max("l").alias("l"))
+    named = [F.col("l.item_id").alias("test_ids"), F.col("l.y_true").alias("y_test")]
+    right = docs.where("rep % 3 = 0").select("run_id", "rep", "arm", "metrics", *named)
+    ids = docs.where("rep % 3 = 1").select("run_id", "rep", "arm", "metrics", F.lit("lost").alias("test_ids"), named[1])
+    none = docs.where("rep % 3 = 2").select("run_id", "rep", "arm", F.array(F.lit(1)).alias("metrics"), *named)
+    for part in (right, ids, none):
+        part.select(F.to_json(F.struct("*")).alias("value"), F.concat("rep", F.lit("_"), "arm").alias("d")).repartition("d").write.mode("append").partitionBy("d").text(path)
+    rows = run_source.tidy(run_source.read_artifacts(spark, f"{path}/*/*.txt"))
+    counts = rows.agg(F.count(F.lit(1)).alias("rows"), F.count("item_id").alias("items")).select(
+        F.inline(F.array(F.struct(F.lit("rows").alias("what"), F.col("rows").alias("n")), F.struct(F.lit("rows with an item").alias("what"), F.col("items").alias("n"))))
+    )
+    found = run_source.artifact_findings(spark, f"{path}/*/*.txt").groupBy(F.concat_ws(": ", "code", "message").alias("what"))
+    return found.agg(F.count(F.lit(1)).alias("n")).unionByName(counts)
+
+
+@query
+def append_null_keys(spark, sf):
+    """A ledger whose keys hold NULLs, written three times: nothing is doubled, nothing replaced."""
+    path, c = scratch(spark), F.col("c_custkey")
+    rows = b.table(spark, sf, "customer").select(
+        F.when(c % 7 != 0, c).alias("a"), F.when(c % 7 == 0, c).alias("b"), F.col("c_mktsegment").alias("payload"), c
+    )
+    held = rows.where(c % 5 != 1).withColumn("payload", F.concat(F.lit("held "), (c % 3).cast("string")))
+    writers.write_new(held.drop("c_custkey"), path, ["a", "b"])
+    for _ in range(2):
+        writers.write_new(rows.drop("c_custkey"), path, ["a", "b"])
+    return spark.read.parquet(path)
+
+
 @query
 def read_taxonomy(spark, sf):
     """A taxonomy file with blanks around names, an empty leaf and a leaf given twice."""
