@@ -1,9 +1,14 @@
 """Quality rules whose cutoffs follow the data of each language and source.
 
-Counts per document are joined with thresholds read off mergeable quantile sketches. One
-sketch is kept for each (language, source); the sketches of a language are merged for its
+Counts per document are joined with thresholds read off mergeable quantile sketches. A threshold
+lies in the middle of the first gap of a group's distribution beyond its middle fifth: what is
+set apart from the bulk of its group by more than a least width is kept out, wherever the gap
+is, and a group without a gap keeps all. So junk is found while it is less than two fifths of a
+group, and the place of no cutoff is fixed.
+
+One sketch is kept for each (language, source); the sketches of a language are merged for its
 small sources, and all of them for small languages, so no row is read twice for that.
-The merged sketches also bound the fences of what is in them: a source keeps nothing that
+The merged sketches also bound the thresholds of what is in them: a source keeps nothing that
 its language as a whole keeps out.
 
 Empty or NULL texts have zero counts and fail the base rule. NULL ``lang`` or ``source`` is
@@ -24,19 +29,16 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 STATS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
-#: metric -> (slack, sides, widest): a fence is never nearer to its quantile than the slack, and
-#: never beyond that of the widest rows named; words are longer in some languages than in most
+#: metric -> (least width of a gap, sides, widest): a threshold is never beyond that of the widest rows named;
+#: words are longer in some languages than in most
 METRICS = {
-    "word_length": (2.0, "both", "lang"),
+    "word_length": (1.0, "both", "lang"),
     "symbol_share": (0.10, "upper", "all"),
     "dup_line_share": (0.30, "upper", "all"),
     "repeat_share": (0.30, "upper", "all"),
 }
-FENCE = 3.0
-#: rows beyond these quantiles, two fifths on either side, cannot move them
-MIDDLE = (0.4, 0.6)
-#: the quartiles of a normal distribution lie so many times farther apart than these quantiles
-TO_QUARTILES = 2.6623
+#: quantiles that are looked at from the middle outwards, the last one the extreme
+OUTWARDS = (*(0.6 + 0.02 * i for i in range(20)), 0.99, 0.995, 0.998, 0.999, 1.0)
 MIN_ROWS = 100
 
 
@@ -88,11 +90,11 @@ def _metrics() -> dict[str, Column]:
     }
 
 
-def thresholds(stats: DataFrame, fence: float = FENCE, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Lower and upper fence of each metric for every (lang, source) of ``stats``.
+def thresholds(stats: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Lower and upper threshold of each metric for every (lang, source) of ``stats``; infinite where there is no gap.
 
     Quantiles come from one KLL sketch per group, built on the map side and merged after
-    the shuffle. A group under ``min_rows`` takes its language's fence, a language under it
+    the shuffle. A group under ``min_rows`` takes its language's threshold, a language under it
     that of all. A larger one takes its own, or the other where that is narrower; only the
     word length of a language is its own alone.
     """
@@ -110,12 +112,18 @@ def thresholds(stats: DataFrame, fence: float = FENCE, min_rows: int = MIN_ROWS)
     g = groups.withColumn("one", F.lit(1)).alias("g")
     wide = g.join(lang, F.col("g.lang").eqNullSafe(F.col("l.lang"))).join(whole, F.col("g.one") == F.col("w.one"))
     cuts = []
-    for name, (slack, sides, widest) in METRICS.items():
+    for name, (width, sides, widest) in METRICS.items():
+
+        def first_gap(side: str, ranks: list[float], beyond: float) -> Column:
+            at = F.kll_sketch_get_quantile_double(F.col(f"{side}.{name}"), F.array(*[F.lit(r) for r in ranks]))
+            steps = F.transform(F.sequence(F.lit(0), F.lit(len(ranks) - 2)), lambda i: F.array(F.get(at, i), F.get(at, i + 1)))
+            gaps = F.filter(steps, lambda p: F.abs(F.get(p, F.lit(1)) - F.get(p, F.lit(0))) >= width)
+            middle = F.transform(gaps, lambda p: (F.get(p, F.lit(0)) + F.get(p, F.lit(1))) / 2)
+            return F.coalesce(F.get(middle, F.lit(0)), F.lit(beyond))
 
         def fences(side: str) -> tuple[Column, Column]:
-            low, high = (F.kll_sketch_get_quantile_double(F.col(f"{side}.{name}"), F.lit(q)) for q in MIDDLE)
-            reach = F.greatest(F.lit(fence * TO_QUARTILES) * (high - low), F.lit(slack))
-            return (low - reach if sides == "both" else F.lit(float("-inf"))), high + reach
+            low = first_gap(side, [1.0 - r for r in OUTWARDS], float("-inf")) if sides == "both" else F.lit(float("-inf"))
+            return low, first_gap(side, list(OUTWARDS), float("inf"))
 
         own, of_lang, of_all = (fences(side) for side in "glw")
         for i, (end, narrower) in enumerate((("min", F.greatest), ("max", F.least))):
@@ -125,10 +133,10 @@ def thresholds(stats: DataFrame, fence: float = FENCE, min_rows: int = MIN_ROWS)
     return wide.select("g.lang", "g.source", *cuts)
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, fence: float = FENCE, min_rows: int = MIN_ROWS) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_rows: int = MIN_ROWS) -> DataFrame:
     """Counts, base rule and verdict for every document."""
     stats = stored(text_stats(docs))
-    cut = thresholds(stats, fence, min_rows).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    cut = thresholds(stats, min_rows).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     inside = F.lit(True)
     for name, m in _metrics().items():
         inside = inside & (m <= F.col(f"{name}_max")) & (m >= F.col(f"{name}_min"))

@@ -156,11 +156,14 @@ def test_quality_fences_of_a_source_that_is_one_third_junk(spark):
         n = max(r.n_words, 1)
         return r.word_chars / n, r.n_symbols / n, r.n_dup_lines / lines[r.doc_id], r.n_repeat_words / n
 
+    def gap(x, ranks, width, beyond):
+        at = [x[max(int(np.ceil(q * len(x) - 1e-9)) - 1, 0)] for q in ranks]
+        return next(((p + q) / 2 for p, q in zip(at, at[1:], strict=False) if abs(p - q) >= width), beyond)
+
     def fences(rows, m):
-        x = sorted(metrics(r)[m] for r in rows)
-        low, high = (x[int(np.ceil(q * len(x) - 1e-9)) - 1] for q in (0.4, 0.6))
-        reach = max(3 * 2.6623 * (high - low), (2.0, 0.1, 0.3, 0.3)[m])
-        return (low - reach if m == 0 else -np.inf), high + reach
+        x, width = sorted(metrics(r)[m] for r in rows), (1.0, 0.1, 0.3, 0.3)[m]
+        low = gap(x, [1.0 - q for q in quality_rules.OUTWARDS], width, -np.inf) if not m else -np.inf
+        return low, gap(x, quality_rules.OUTWARDS, width, np.inf)
 
     for r in out.values():
         of_lang = [x for x in out.values() if x.lang == r.lang]
