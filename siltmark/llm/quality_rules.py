@@ -34,11 +34,13 @@ STATS = "doc_id long, lang string, source string, n_words long, word_chars long,
 METRICS = {
     "word_length": (1.0, "both", "lang"),
     "symbol_share": (0.10, "upper", "all"),
-    "dup_line_share": (0.30, "upper", "all"),
-    "repeat_share": (0.30, "upper", "all"),
+    "dup_line_share": (0.40, "upper", "all"),  # a text of three lines may well repeat one
+    "repeat_share": (0.40, "upper", "all"),
 }
 #: quantiles that are looked at from the middle outwards, the last one the extreme
 OUTWARDS = (*(0.6 + 0.02 * i for i in range(20)), 0.99, 0.995, 0.998, 0.999, 1.0)
+#: a gap is also wider than the middle fifth of its group so many times: in a wide distribution the last values lie far apart
+SPREADS = 3.0
 MIN_ROWS = 100
 
 
@@ -116,10 +118,12 @@ def thresholds(stats: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
 
         def first_gap(side: str, ranks: list[float], beyond: float) -> Column:
             at = F.kll_sketch_get_quantile_double(F.col(f"{side}.{name}"), F.array(*[F.lit(r) for r in ranks]))
+            middle = F.kll_sketch_get_quantile_double(F.col(f"{side}.{name}"), F.array(F.lit(0.4), F.lit(0.6)))
+            least = F.greatest(F.lit(width), SPREADS * (F.get(middle, F.lit(1)) - F.get(middle, F.lit(0))))
             steps = F.transform(F.sequence(F.lit(0), F.lit(len(ranks) - 2)), lambda i: F.array(F.get(at, i), F.get(at, i + 1)))
-            gaps = F.filter(steps, lambda p: F.abs(F.get(p, F.lit(1)) - F.get(p, F.lit(0))) >= width)
-            middle = F.transform(gaps, lambda p: (F.get(p, F.lit(0)) + F.get(p, F.lit(1))) / 2)
-            return F.coalesce(F.get(middle, F.lit(0)), F.lit(beyond))
+            gaps = F.filter(steps, lambda p: F.abs(F.get(p, F.lit(1)) - F.get(p, F.lit(0))) >= least)
+            centres = F.transform(gaps, lambda p: (F.get(p, F.lit(0)) + F.get(p, F.lit(1))) / 2)
+            return F.coalesce(F.get(centres, F.lit(0)), F.lit(beyond))
 
         def fences(side: str) -> tuple[Column, Column]:
             low = first_gap(side, [1.0 - r for r in OUTWARDS], float("-inf")) if sides == "both" else F.lit(float("-inf"))

@@ -157,11 +157,14 @@ def test_quality_fences_of_a_source_that_is_one_third_junk(spark):
         return r.word_chars / n, r.n_symbols / n, r.n_dup_lines / lines[r.doc_id], r.n_repeat_words / n
 
     def gap(x, ranks, width, beyond):
-        at = [x[max(int(np.ceil(q * len(x) - 1e-9)) - 1, 0)] for q in ranks]
+        def place(q):
+            return x[max(int(np.ceil(q * len(x) - 1e-9)) - 1, 0)]
+
+        at, width = [place(q) for q in ranks], max(width, quality_rules.SPREADS * (place(0.6) - place(0.4)))
         return next(((p + q) / 2 for p, q in zip(at, at[1:], strict=False) if abs(p - q) >= width), beyond)
 
     def fences(rows, m):
-        x, width = sorted(metrics(r)[m] for r in rows), (1.0, 0.1, 0.3, 0.3)[m]
+        x, width = sorted(metrics(r)[m] for r in rows), (1.0, 0.1, 0.4, 0.4)[m]
         low = gap(x, [1.0 - q for q in quality_rules.OUTWARDS], width, -np.inf) if not m else -np.inf
         return low, gap(x, quality_rules.OUTWARDS, width, np.inf)
 
