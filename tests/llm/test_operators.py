@@ -472,3 +472,56 @@ def test_likeness_of_every_row(spark, monkeypatch):
         text, following = text or "", following or ""
         assert got[i].near_next == pytest.approx(alike(text, following))
         assert got[i].near_edited == pytest.approx(alike(text, fingerprint.edited(text, following)))
+
+
+def test_scores_equal_a_plain_vote(spark, docs):
+    """Every score against all cosines, sorted; ties, an empty text and one without known terms among them."""
+    rng = np.random.default_rng(3)
+    some = [f"w{i}" for i in range(40)]
+    made = [(i, " ".join(rng.choice(some[:25] if i % 2 else some[15:], 30)), None) for i in range(100, 180)]
+    rows = [(i, t) for i, t, _ in made] + [(200, made[0][1]), (201, ""), (202, None), (203, "中中中中")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i, _, _ in made], "doc_id long, quality int, toxic int")
+    table = _docs(spark, rows)
+    model = classifier.fit(table, labels.where(~classifier.held_out()), rank=8)
+    got = {r.doc_id: r.score for r in classifier.score(table, model, ["doc_id"]).collect()}
+    for i, t in rows:
+        x = np.log1p(classifier.term_counts((t or "").encode())) * model.idf
+        z = x @ model.basis
+        if np.linalg.norm(z) < 1e-9:
+            assert got[i] == pytest.approx(model.share, abs=1e-6)
+            continue
+        cosines = sorted(((float(v @ z / np.linalg.norm(z)), y) for v, y in zip(model.vectors, model.labels, strict=True)), reverse=True)
+        edge = cosines[classifier.NEIGHBOURS - 1][0]
+        if cosines[classifier.NEIGHBOURS][0] > edge - 1e-5:
+            continue  # a tie at the last place may go to either
+        near = [(max(c, 0) ** classifier.SHARPNESS, y) for c, y in cosines[: classifier.NEIGHBOURS]]
+        assert got[i] == pytest.approx(sum(w * y for w, y in near) / sum(w for w, _ in near), abs=1e-4)
+    assert got[200] == got[100] and got[201] == got[202]
+
+
+def test_packed_ids_are_tied_to_their_documents(spark, docs):
+    """Every document's tokens from the files, by id, with their checksum."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    found = token_files.read_tokens(spark, *token_files.write_tokens(docs, tokenizer("word_bpe_49k.json"), 1, rows_per_file=5))
+    got = sorted((r.doc_id or -1, r.n_tokens, r.crc) for r in found.select("doc_id", "n_tokens", F.crc32("ids").alias("crc")).collect())
+    want = []
+    for i, t in ROWS:
+        ids = library.encode(t or "", add_special_tokens=False).ids + [1]
+        want.append((i or -1, len(ids), zlib.crc32(tokens.id_bytes(ids))))
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("long", ["x" * 1_500_000, "a b " * 400_000, "\n" * 600_000 + "end", "line\n" * 300_000])
+def test_texts_of_megabytes(spark, long):
+    """One word, many words, white space and lines of megabytes pass through every text operator."""
+    rows = _docs(spark, [(1, long), (2, "short"), (3, None)])
+    path = tokenizer("byte_bpe_50k.json")
+    labels = spark.createDataFrame([(2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert bpe.encode(rows, path).count() == 3
+    assert token_files.read_tokens(spark, *token_files.write_tokens(rows, tokenizer("word_bpe_49k.json"), 1)).count() == 3
+    assert fingerprint.compare_versions(rows).count() == 3 and classifier.quality(rows, labels).count() == 3
+    assert quality_rules.quality_rules(rows).count() == 3 and spans.remove_repeats(rows).count() == 3
+    assert lines.remove_repeated_lines(rows).count() == 3 and ngram_join.link_documents(rows, 3, 90).count() == 3
+    assert packing.pack_documents(rows, path, 2).agg(F.sum("length")).first()[0] > 3
