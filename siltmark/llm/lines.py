@@ -73,6 +73,7 @@ def remove_repeated_lines(docs: DataFrame, size: int = LINES) -> DataFrame:
     """(doc_id, n_lines, n_removed, text): the remaining lines joined by line feeds."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     named, starts = keyed(docs), repeated_windows(docs, size)
+    starts = starts.hint("merge")  # of stored tables small ones would be broadcast: one plan at every size
     joined = named.join(starts, same_document(named, starts), "left").select(named["doc_id"], "text", "starts")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -88,4 +89,4 @@ def remove_repeated_lines(docs: DataFrame, size: int = LINES) -> DataFrame:
 def without_repeated_lines(docs: DataFrame, size: int = LINES) -> DataFrame:
     """``docs`` with the remaining lines as text and its other columns as they are."""
     starts = repeated_windows(docs.select(F.col("doc_id").cast("long"), "text"), size)
-    return rewrite_texts(docs, starts, text_key(), lambda batch: _rest(batch, size)[2])
+    return rewrite_texts(docs, starts.hint("merge"), text_key(), lambda batch: _rest(batch, size)[2])
