@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 PIECES = 4  # of 15 hexadecimal digits each
 ORDERED_LIMIT = 1_000_000
+LEAF = 4096  # lines in a range of the tree, about
 
 
 def sha256_hex(c: Column | str) -> Column:
@@ -66,22 +67,48 @@ def content_fingerprint(inventory: DataFrame, classes: Sequence[str]) -> DataFra
 
 
 def ordered_fingerprint(inventory: DataFrame, classes: Sequence[str], limit: int = ORDERED_LIMIT) -> DataFrame:
-    """SHA-256 over the ``class/file`` lines in class, then name order: the form stored by older caches.
+    """(n_crops, files_hash, kind) of (class, file) rows in class, then name order.
 
-    The lines of the whole set pass through one row, so the set's size is checked first.
+    Up to ``limit`` files the hash is one SHA-256 over the ``class/file`` lines, the form stored by older caches, and the
+    lines pass through one row; beyond, it is the root of ``tree_fingerprint``. ``kind`` says which, and must be equal, too.
     """
     inside = inventory.where(F.col("class").isin(*classes))
     if inside.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} files: use name_fingerprint")
+        return tree_fingerprint(inventory, classes)
     pos = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class"))
     ordered = F.array_sort(F.collect_list(F.struct(pos.alias("p"), F.col("file").alias("f"), "class")))
     lines = F.transform("l", lambda x: F.concat_ws("/", x["class"], x["f"]))
     return inside.agg(ordered.alias("l")).select(
         F.size("l").cast("bigint").alias("n_crops"),
         F.left(sha256_hex(F.array_join(lines, "\n")), F.lit(16)).alias("files_hash"),
+        F.lit("stream").alias("kind"),
     )
 
 
+def tree_fingerprint(inventory: DataFrame, classes: Sequence[str], leaf: int = LEAF) -> DataFrame:
+    """(n_crops, files_hash, kind): root of a Merkle tree over any number of (class, file) rows.
+
+    A line is the class's position, ``class/file`` and how often it occurs. Lines are ordered by their SHA-256 and cut into
+    ranges by its first digits, as many as leave about ``leaf`` lines a range; a range's hash is that of its lines' hashes in order, and
+    sixteen neighbours at a time are hashed up to the root. No group holds more than a range or sixteen hashes,
+    whatever the number of files, and where two inventories differ only the hashes above the difference do.
+    """
+    pos = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("class")).cast("string")
+    counted = inventory.where(F.col("class").isin(*classes)).groupBy("class", "file").agg(F.count(F.lit(1)).alias("n"))
+    line = F.concat_ws("\t", pos, F.concat_ws("/", "class", "file"), F.col("n").cast("string"))
+    lines = counted.select(sha256_hex(line).alias("hash"), "n")
+    total, depth = lines.count(), 0
+    while total > leaf * 16**depth:
+        depth += 1
+    joined = lambda c: sha256_hex(F.array_join(F.array_sort(F.collect_list(c)), "\n"))
+    node = lines.groupBy(F.left("hash", F.lit(depth)).alias("key")).agg(joined("hash").alias("hash"), F.sum("n").alias("n"))
+    for level in range(depth - 1, -1, -1):
+        child = F.concat_ws(":", "key", "hash")
+        node = node.groupBy(F.left("key", F.lit(level)).alias("up")).agg(joined(child).alias("hash"), F.sum("n").alias("n")).withColumnRenamed("up", "key")
+    empty = node.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n_crops"), F.coalesce(F.max("hash"), sha256_hex(F.lit(""))).alias("hash"))
+    return empty.select(F.col("n_crops").cast("bigint"), F.left("hash", F.lit(16)).alias("files_hash"), F.lit(f"tree:{leaf}:{depth}").alias("kind"))
+
+
 def split_fingerprint(
     split: DataFrame,
     transform_fit: str = "raw",

@@ -51,7 +51,7 @@ def document_findings(spark: SparkSession, path: str, one_per_file: bool = True,
     at = lambda name: F.concat(F.col("_file"), F.lit(f":{name}"))
     rules = [(vx.not_a_document(), "json", F.col("_file"), "not a valid JSON document")]
     for name in LISTS:
-        wanted = vx.is_object("doc") & (F.lit(name in required) | vx.has("doc", name))
+        wanted = ~vx.not_a_document() & (F.lit(name in required) | vx.has("doc", name))
         rules.append((wanted & F.coalesce(F.size(_list(name)) < 1, F.lit(True)), "schema", at(name), "a list with at least one entry is needed here"))
     entries = reduce(
         DataFrame.unionByName,

@@ -35,14 +35,14 @@ def broken_artifacts(spark: SparkSession, path: str) -> DataFrame:
 def artifact_findings(spark: SparkSession, path: str) -> DataFrame:
     """Findings on the form of stored documents: not JSON, no run or repeat, no heads, fields of another type."""
     docs, at = _documents(spark, path), lambda name: F.concat(F.col("artifact"), F.lit(f":{name}"))
-    there = vx.is_object("doc")
+    there = ~vx.not_a_document()
     rules = [(vx.not_a_document(), "json", F.col("artifact"), "not a valid JSON document")]
     for field in schemas.ARTIFACT_FIELDS.split(", "):
         name, kind = field.split(" ")
         wrong = vx.mistyped("doc", name, kind) | (F.lit(name in schemas.ARTIFACT_KEYS) & vx.typed("doc", name, kind).isNull())
         rules.append((there & wrong, "schema", at(name), f"the field must be of type {kind}"))
     rules.append((there & F.coalesce(F.size(_heads()) < 1, F.lit(True)), "schema", at("metrics"), "a head and its predictions are needed here"))
-    heads = docs.select("artifact", F.explode(_heads()).alias("clf", "v"))
+    heads = docs.where(there).select("artifact", F.explode(_heads()).alias("clf", "v"))
     path_of = F.concat(at("metrics."), F.col("clf"))
     inner = [(~vx.is_object("v"), "schema", path_of, "the entry is not a JSON object")]
     for field in schemas.HEAD.split(", "):

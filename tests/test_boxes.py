@@ -194,8 +194,8 @@ def test_inventory_and_fingerprints(spark, crops):
     order = ["can", "bottle"]
     lines = "\n".join(f"{c}/{f}" for c in order for f in ("a.jpg", "b.jpg"))
     assert one(fingerprint.ordered_fingerprint(inventory, order))["files_hash"] == hashlib.sha256(lines.encode()).hexdigest()[:16]
-    with pytest.raises(ValueError):
-        fingerprint.ordered_fingerprint(inventory, order, limit=3)
+    assert one(fingerprint.ordered_fingerprint(inventory, order))["kind"] == "stream"
+    assert one(fingerprint.ordered_fingerprint(inventory, order, limit=3)) == one(fingerprint.tree_fingerprint(inventory, order))
 
     def names(df, classes=order):
         return one(fingerprint.name_fingerprint(df, classes))
@@ -340,3 +340,35 @@ def test_boxes_that_are_not_four_numbers_have_a_reason(spark):
     df = spark.createDataFrame([(i, box, 100, 100, 100, 100, None) for i, box in enumerate(odd)], "id int, bbox array<double>, width int, height int, actual_width int, actual_height int, reason string")
     got = rows(boxes.mark_small(boxes.expand_boxes(boxes.rescale_boxes(df))).select("id", "reason"))
     assert got == [(0, "bad_box"), (1, "bad_box"), (2, "bad_box"), (3, "bad_box"), (4, None)]
+
+
+@pytest.mark.parametrize("leaf, depth", [(1000, 0), (20, 1), (2, 2)])
+def test_tree_of_names(spark, leaf, depth):
+    """The root by plain Python; it sees order of classes, names and how often one occurs, not the order of rows."""
+    import hashlib
+    from collections import Counter
+
+    made = [("can" if i % 3 else "cup", f"n{i % 290}.jpg") for i in range(300)]
+
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def root(classes):
+        counts = Counter(r for r in made if r[0] in classes)
+        nodes = {}
+        for h in sorted(sha(f"{classes.index(c) + 1}\t{c}/{f}\t{n}") for (c, f), n in counts.items()):
+            nodes.setdefault(h[:depth], []).append(h)
+        nodes = {k: sha("\n".join(v)) for k, v in nodes.items()}
+        for level in range(depth - 1, -1, -1):
+            up = {}
+            for k, h in sorted(nodes.items()):
+                up.setdefault(k[:level], []).append(f"{k}:{h}")
+            nodes = {k: sha("\n".join(v)) for k, v in up.items()}
+        return nodes[""][:16]
+
+    table = spark.createDataFrame(made, "class string, file string").repartition(5)
+    got = one(fingerprint.tree_fingerprint(table, ["can", "cup"], leaf))
+    assert got == (300, root(["can", "cup"]), f"tree:{leaf}:{depth}")
+    assert one(fingerprint.tree_fingerprint(table, ["cup", "can"], leaf))["files_hash"] != got["files_hash"]
+    assert one(fingerprint.tree_fingerprint(table.limit(299), ["can", "cup"], leaf))["files_hash"] != got["files_hash"]
+    assert one(fingerprint.tree_fingerprint(table.limit(0), ["can"], leaf)) == (0, sha("")[:16], f"tree:{leaf}:0")

@@ -691,6 +691,17 @@ _five = [*b.CLASSES[:4], "spam"]
 ORACLE["name_fingerprint"] = sql(f"""
   SELECT (SELECT count(*) FROM events WHERE event_type = 'click') AS first_class, n_crops, digest AS files_hash FROM (
   {set_digest("SELECT class, sha256(class || '/' || split_part(item_id, '/', 3)) AS h FROM crops", _five)})""")
+_levels = "".join(
+    f"""), t{k} AS (
+      SELECT left(k, {k}) AS k, sha256(string_agg(k || ':' || h, chr(10) ORDER BY k)) AS h FROM t{k + 1} WHERE length(k) = {k + 1} GROUP BY 1
+      UNION ALL SELECT k, h FROM t{k + 1} WHERE length(k) <= {k}""" for k in range(4, -1, -1))
+ORACLE["tree_fingerprint"] = f"""
+  WITH l AS (SELECT l_returnflag AS c, l_orderkey || '_' || l_linenumber AS f, count(*) AS n FROM lineitem GROUP BY ALL
+  ), g AS (SELECT sha256(concat_ws(chr(9), CASE c WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END, c || '/' || f, n)) AS g, n FROM l
+  ), p AS (SELECT sum(n)::BIGINT AS n, CASE WHEN count(*) <= 64 THEN 0 WHEN count(*) <= 1024 THEN 1 WHEN count(*) <= 16384 THEN 2
+    WHEN count(*) <= 262144 THEN 3 WHEN count(*) <= 4194304 THEN 4 ELSE 5 END AS depth FROM g
+  ), t5 AS (SELECT left(g, depth) AS k, sha256(string_agg(g, chr(10) ORDER BY g)) AS h FROM g, p GROUP BY 1{_levels})
+  SELECT p.n AS n_crops, left(h, 16) AS files_hash, 'tree:64:' || depth AS kind FROM t0, p"""
 ORACLE["content_fingerprint"] = f"""
   SELECT n_crops, digest AS content_hash FROM (
   {set_digest("SELECT lang AS class, sha256(lang || '/' || doc_id || '.txt:' || octet_length(encode(text)) || ':' || sha256(text)) AS h FROM documents", ["en", "de", "es", "fr"])})"""

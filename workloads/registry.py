@@ -922,6 +922,13 @@ def name_fingerprint(spark, sf):
     return out.select(F.map_values("per_class")[0].alias("first_class"), "n_crops", "files_hash")
 
 
+@query
+def tree_fingerprint(spark, sf):
+    """Merkle root over one name per order line, ranges of about 64 names."""
+    rows = b.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("class"), F.concat_ws("_", "l_orderkey", "l_linenumber").alias("file"))
+    return fingerprint.tree_fingerprint(rows, ["R", "A", "N"], leaf=64)
+
+
 @query
 def content_fingerprint(spark, sf):
     """Names, sizes and content hashes, with documents as the files."""
