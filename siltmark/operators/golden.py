@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
@@ -126,24 +125,30 @@ def param_grid(spark, **lists: Sequence) -> DataFrame:
     return expand_grid(spark.range(1), **lists).drop("id")
 
 
-def append_new(rows: DataFrame, ledger: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+#: tasks in which the rows of a key meet; up to 200 a task that sends rows holds none of them back
+PARTS = 200
+
+
+def append_new(rows: DataFrame, ledger: DataFrame, keys: Sequence[str], parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
     """(new, conflicts): rows whose key the ledger lacks, and keys with different payloads in the ledger or in ``rows``.
 
     Of equal rows one is appended; of a key whose rows differ, none. NULL is a value like any other in a key.
+    Both tables are dealt by key once and grouped, in ``parts`` tasks whatever the size that the planner expects.
+    Neither is joined, so none is broadcast: of exploded or compressed rows it expects far too little.
     """
     keys = list(keys)
-    rows = rows.distinct()
-    doubled = rows.groupBy(*keys).count().where("count > 1").select(*keys)
-    new = _by_key(_by_key(rows, ledger.select(*keys), keys, "left_anti"), doubled, keys, "left_anti")
     payload = [c for c in rows.columns if c not in keys]
-    mine = rows.select(*keys, F.sha2(F.to_json(F.struct(*payload)).cast("binary"), 256).alias("_mine"))
-    held = ledger.select(*keys, F.sha2(F.to_json(F.struct(*payload)).cast("binary"), 256).alias("_held"))
-    conflicts = _by_key(mine, held, keys, "inner").where(F.col("_mine") != F.col("_held")).select(*keys)
-    return new, conflicts.union(doubled).distinct()
-
-
-def _by_key(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join on keys in which NULL equals NULL; the right side's keys are dropped."""
-    named = right.withColumnsRenamed({k: f"_key{i}" for i, k in enumerate(keys)})
-    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
-    return left.join(named, same, how).drop(*[f"_key{i}" for i in range(len(keys))])
+    digest = lambda of: F.unhex(F.sha2(F.to_json(of).cast("binary"), 256))
+    # the marker makes the struct of a payload without columns one of a field
+    mine = rows.select(*keys, F.struct(F.lit(True).alias("_there"), *payload).alias("_mine"))
+    held = ledger.select(*keys, F.lit(None).cast(mine.schema["_mine"].dataType).alias("_mine"), digest(F.struct(*payload)).alias("_held"))
+    both = mine.withColumn("_held", F.lit(None).cast("binary")).unionByName(held)
+    ends = [f(c).alias(f"{c}_{n}") for c in ("_mine", "_held") for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    per = both.repartition(parts, *keys).groupBy(*keys).agg(*ends)
+    per = per.where(F.col("_mine_lo").isNotNull())
+    apart = F.col("_mine_lo") != F.col("_mine_hi")
+    known = F.col("_held_lo").isNotNull()
+    own = digest(F.struct(*[F.col(f"_mine_lo.{c}") for c in payload]))
+    other = known & ((F.col("_held_lo") != F.col("_held_hi")) | (F.col("_held_lo") != own))
+    columns = [(F.col(c) if c in keys else F.col(f"_mine_lo.{c}")).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
+    return per.where(~apart & ~known).select(*columns), per.where(apart | F.coalesce(other, F.lit(False))).select(*keys)

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from siltmark.operators import golden, validate
@@ -105,3 +106,13 @@ def test_null_is_a_key_like_any_other(spark):
     new, conflicts = golden.append_new(spark.createDataFrame(more, schema), ledger, ["a", "b"])
     assert rows(new) == [(None, "y", "p")]
     assert sorted(rows(conflicts), key=str) == sorted([(1, None), (2, None)], key=str)
+
+
+def test_new_cells_of_an_exploded_plan_are_never_broadcast(spark):
+    """The planner takes an exploded table for as small as its source, so a join of it would broadcast millions of rows."""
+    plan = golden.expand_grid(spark.range(50).select("id"), depth=[1, 2], budget=[4, 6]).withColumn("payload", F.lit("n"))
+    ledger = plan.where("id < 20").withColumn("payload", F.when(F.col("id") < 5, "o").otherwise("n"))
+    for part, n in zip(golden.append_new(plan, ledger, ["id", "depth", "budget"]), (120, 20), strict=True):
+        assert part.count() == n
+        text = part._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in text and "Broadcast" not in text
