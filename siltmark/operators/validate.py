@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fx
 from ..functions.joins import small
 from .fingerprint import multiset_diff, set_diff
+from .golden import PARTS
 
 COLUMNS = ("code", "path", "message")
 
@@ -312,26 +313,31 @@ def fingerprints(meta: DataFrame, actual: DataFrame) -> DataFrame:
     )
 
 
-def prediction_report(pred: DataFrame, arms: Sequence[str] | None = None) -> DataFrame:
-    """Prediction rows (rep, arm, clf, pos, item_id, y_true, y_pred): aligned, unique ids, one truth per item."""
+def prediction_report(pred: DataFrame, arms: Sequence[str] | None = None, parts: int = PARTS) -> DataFrame:
+    """Prediction rows (rep, arm, clf, pos, item_id, y_true, y_pred): aligned, unique ids, one truth per item.
+
+    Nearly every row is a key of its own, so rows are dealt by item to ``parts`` tasks first and grouped there: grouping
+    before the shuffle would keep all rows of a scan's task in its memory. A hot item is one entry where it is grouped.
+    """
     per = pred.groupBy("rep", "arm", "clf").agg(
         F.count("item_id").alias("i"), F.count("y_true").alias("t"), F.count("y_pred").alias("p")
     )
     at = F.concat_ws("/", F.col("rep").cast("string"), "arm", "clf")
-    twice = pred.where(F.col("item_id").isNotNull()).groupBy("rep", "arm", "clf", "item_id").agg(F.count(F.lit(1)).alias("n"))
-    # a count of distinct truths from min and max, so a hot item is reduced in partial aggregates
-    truth = pred.groupBy("item_id").agg(F.min("y_true").alias("lo"), F.max("y_true").alias("hi"))
-    parts = [
+    dealt = pred.where(F.col("item_id").isNotNull()).select("rep", "arm", "clf", "item_id").repartition(parts, "item_id")
+    twice = dealt.groupBy("rep", "arm", "clf", "item_id").agg(F.count(F.lit(1)).alias("n"))
+    told = pred.where(F.col("y_true").isNotNull()).select("item_id", "y_true").repartition(parts, "item_id").distinct()
+    truth = told.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
+    found = [
         finding(per.where("i <> t or i <> p"), "alignment", at, F.lit("ids, labels and predictions differ in length")),
         finding(twice.where("n > 1"), "duplicate_id", F.concat(at, F.lit("/"), F.col("item_id").cast("string")), F.lit("item occurs twice")),
-        finding(truth.where("lo <> hi"), "truth", F.col("item_id").cast("string"), F.lit("true label differs across repeats")),
+        finding(truth.where("n > 1"), "truth", F.col("item_id").cast("string"), F.lit("true label differs across repeats")),
         finding(pred.limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0"), "empty", F.lit("predictions"), F.lit("no held-out predictions")),
     ]
     if arms is not None:
         wanted = pred.sparkSession.createDataFrame([(a,) for a in arms], "arm string")
         absent = wanted.join(pred.select("arm").distinct(), "arm", "left_anti")
-        parts.append(finding(absent, "arm", F.col("arm"), F.lit("arm has no predictions")))
-    return union_violations(*parts)
+        found.append(finding(absent, "arm", F.col("arm"), F.lit("arm has no predictions")))
+    return union_violations(*found)
 
 
 # An input (left) that is of no use without another (right).

@@ -318,3 +318,12 @@ def test_a_cut_off_artifact_is_not_lost(spark, tmp_path):
     with pytest.raises(Exception, match="not a valid JSON document: rep0_A.json"):
         run_source.read_predictions(spark, str(tmp_path)).collect()
     assert rows(run_source.broken_artifacts(spark, path)) == [("json", "rep0_A.json", "not a valid JSON document")]
+
+
+def test_the_prediction_report_groups_items_behind_their_shuffle(spark):
+    """Keys are nearly as many as rows: grouped before the shuffle, a task would hold all rows of its scan."""
+    pred = spark.createDataFrame([(0, "A", "c", i % 9, "x") for i in range(12)] + [(1, "A", "c", 0, "y"), (0, "A", "c", None, None)], "rep int, arm string, clf string, item_id int, y_true string")
+    found = validate.prediction_report(pred.withColumn("y_pred", F.col("y_true")))
+    assert rows(found.select("code", "path")) == [("duplicate_id", f"0/A/c/{i}") for i in range(3)] + [("truth", "0")]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2
