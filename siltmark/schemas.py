@@ -14,6 +14,8 @@ ARTIFACT_FIELDS = (
     "run_id string, rep int, arm string, arm_label string, seed bigint, selected array<int>, "
     "classes array<string>, y_test array<string>, test_ids array<string>, test_groups array<string>"
 )
+#: what a part of a document has besides
+ARTIFACT_PART = "first bigint"
 #: fields without which the rows of a document belong nowhere
 ARTIFACT_KEYS = ("run_id", "rep", "arm")
 HEAD = "accuracy double, macro_f1 double, fit_seconds double, predict_seconds double, predictions array<string>"

@@ -14,17 +14,21 @@ MANIFEST_NAME = "run_manifest.json"
 ARTIFACT_TABLE = "artifacts"
 
 
-def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
+def read_artifacts(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame:
     """One row per stored (repeat, arm) document, with the file it came from.
 
+    With ``in_parts`` a document is a folder and every line of its files a part of it: an object with the same keys, the lists of
+    some neighbouring entries and ``first``, the position of the first of them. So no row grows with the document.
+
     Fields are taken one by one: one of another type is NULL, a head that is no object is left out;
     ``artifact_findings`` names both. A document that is not a JSON object fails the job that reads it.
     """
-    docs = _documents(spark, path)
+    docs = _documents(spark, path, in_parts)
     why = F.concat(F.lit("not a valid JSON document: "), F.col("artifact"))
     docs = docs.withColumn("doc", F.when(vx.not_a_document(), F.raise_error(why)).otherwise(F.col("doc")))
     heads = F.transform_values(F.map_filter(_heads(), lambda _, v: vx.is_object(v)), lambda _, v: F.struct(*vx.fields(v, schemas.HEAD)))
-    return docs.select(*vx.fields("doc", schemas.ARTIFACT_FIELDS), heads.alias("metrics"), "artifact")
+    fields = f"{schemas.ARTIFACT_FIELDS}, {schemas.ARTIFACT_PART}" if in_parts else schemas.ARTIFACT_FIELDS
+    return docs.select(*vx.fields("doc", fields), heads.alias("metrics"), "artifact")
 
 
 def broken_artifacts(spark: SparkSession, path: str) -> DataFrame:
@@ -32,14 +36,20 @@ def broken_artifacts(spark: SparkSession, path: str) -> DataFrame:
     return row_findings(_documents(spark, path), [(vx.not_a_document(), "json", F.col("artifact"), "not a valid JSON document")])
 
 
-def artifact_findings(spark: SparkSession, path: str) -> DataFrame:
-    """Findings on the form of stored documents: not JSON, no run or repeat, no heads, fields of another type."""
-    docs, at = _documents(spark, path), lambda name: F.concat(F.col("artifact"), F.lit(f":{name}"))
+def artifact_findings(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame:
+    """Findings on the form of stored documents: not JSON, no run or repeat, no heads, fields of another type.
+
+    What several parts of a document have in common is one finding.
+    """
+    docs, at = _documents(spark, path, in_parts), lambda name: F.concat(F.col("artifact"), F.lit(f":{name}"))
     there = ~vx.not_a_document()
     rules = [(vx.not_a_document(), "json", F.col("artifact"), "not a valid JSON document")]
-    for field in schemas.ARTIFACT_FIELDS.split(", "):
+    fields, needed = schemas.ARTIFACT_FIELDS, schemas.ARTIFACT_KEYS
+    if in_parts:
+        fields, needed = f"{fields}, {schemas.ARTIFACT_PART}", (*needed, "first")
+    for field in fields.split(", "):
         name, kind = field.split(" ")
-        wrong = vx.mistyped("doc", name, kind) | (F.lit(name in schemas.ARTIFACT_KEYS) & vx.typed("doc", name, kind).isNull())
+        wrong = vx.mistyped("doc", name, kind) | (F.lit(name in needed) & vx.typed("doc", name, kind).isNull())
         rules.append((there & wrong, "schema", at(name), f"the field must be of type {kind}"))
     rules.append((there & F.coalesce(F.size(_heads()) < 1, F.lit(True)), "schema", at("metrics"), "a head and its predictions are needed here"))
     heads = docs.where(there).select("artifact", F.explode(_heads()).alias("clf", "v"))
@@ -49,10 +59,14 @@ def artifact_findings(spark: SparkSession, path: str) -> DataFrame:
         name, kind = field.split(" ")
         wrong = vx.mistyped("v", name, kind) | (F.lit(name == "predictions") & vx.is_object("v") & vx.typed("v", name, kind).isNull())
         inner.append((wrong, "schema", F.concat(path_of, F.lit(f".{name}")), f"the field must be of type {kind}"))
-    return union_violations(row_findings(docs, rules), row_findings(heads, inner))
+    found = union_violations(row_findings(docs, rules), row_findings(heads, inner))
+    return found.distinct() if in_parts else found
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
+def _documents(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame:
+    if in_parts:
+        folder = F.url_decode(F.element_at(F.split("_metadata.file_path", "/"), -2))
+        return spark.read.text(path).where("trim(value) <> ''").select(*vx.parsed("value"), folder.alias("artifact"))
     return vx.texts(spark, path).select(*vx.parsed("value"), F.col("file_name").alias("artifact"))
 
 
@@ -62,17 +76,18 @@ def _heads() -> Column:
 
 def tidy(artifacts: DataFrame) -> DataFrame:
     """Documents -> one row per (run, rep, arm, clf, position); a list that is short leaves NULLs."""
+    first = F.col("first") if "first" in artifacts.columns else F.lit(0)
     per_head = artifacts.select(
-        "run_id", "rep", "arm", "test_ids", "test_groups", "y_test", F.explode("metrics").alias("clf", "m")
+        "run_id", "rep", "arm", "test_ids", "test_groups", "y_test", first.alias("first"), F.explode("metrics").alias("clf", "m")
     )
     empty = F.array().cast("array<string>")
     lists = F.arrays_zip(
         *[F.coalesce(c, empty).alias(n) for c, n in (("test_ids", "i"), ("test_groups", "g"), ("y_test", "t"))],
         F.coalesce(F.col("m.predictions"), empty).alias("p"),
     )
-    rows = per_head.select("run_id", "rep", "arm", "clf", F.posexplode(lists).alias("pos", "z"))
+    rows = per_head.select("run_id", "rep", "arm", "clf", "first", F.posexplode(lists).alias("pos", "z"))
     return rows.select(
-        "run_id", "rep", "arm", "clf", "pos",
+        "run_id", "rep", "arm", "clf", (F.col("first") + F.col("pos")).alias("pos"),
         F.col("z.i").alias("item_id"), F.col("z.g").alias("grp"), F.col("z.t").alias("y_true"), F.col("z.p").alias("y_pred"),
     )
 

@@ -116,3 +116,24 @@ def test_new_cells_of_an_exploded_plan_are_never_broadcast(spark):
         assert part.count() == n
         text = part._jdf.queryExecution().executedPlan().toString()
         assert "Join" not in text and "Broadcast" not in text
+
+
+def test_a_document_in_parts_is_one_document(spark, tmp_path):
+    """Parts of 2 entries: positions go on from part to part, a fault of all parts is one finding, no row holds the document."""
+    for arm, ids in (("A", ["a", "b"]), ("B", "lost")):
+        (tmp_path / f"0_{arm}").mkdir()
+        lines = [
+            {"run_id": "r", "rep": 0, "arm": arm, "first": at, "test_ids": ids, "y_test": ["u", "v"], "metrics": {"c": {"predictions": ["u", str(at)]}}}
+            for at in (0, 2, 4)
+        ]
+        (tmp_path / f"0_{arm}" / "part.txt").write_text("\n".join(map(json.dumps, lines)))
+    path = str(tmp_path / "*" / "*.txt")
+    made = run_source.tidy(run_source.read_artifacts(spark, path, in_parts=True))
+    assert rows(made.where("arm = 'A'").select("pos", "item_id", "y_pred")) == [
+        (i, "ab"[i % 2], "u" if i % 2 == 0 else str(i - 1)) for i in range(6)
+    ]
+    assert made.where("arm = 'B' and item_id is null and y_true is not null").count() == 6
+    found = run_source.artifact_findings(spark, path, in_parts=True)
+    assert rows(found.select("code", "path")) == [("schema", "0_B:test_ids")]
+    (tmp_path / "0_A" / "part.txt").write_text('{"run_id": "r", "rep": 0, "arm": "A", "metrics": {"c": {"predictions": []}}}')
+    assert ("schema", "0_A:first") in rows(run_source.artifact_findings(spark, path, in_parts=True).select("code", "path"))
