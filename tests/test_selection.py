@@ -171,3 +171,24 @@ def test_tuned_head_predicts_every_held_out_row(spark):
     assert len(got) == len(want) and {(r.rep, r.item_id): r.y_true for r in got} == want
     assert {r.reg for r in got} <= {0.001, 0.01, 0.1} and {r.rep for r in got} == set(b.VECTOR_REPS)
     assert {r.y_pred for r in got} <= set(want.values()) and len({r.y_pred for r in got}) > 1
+
+
+def test_rows_are_lifted_only_to_be_fitted_and_scored(spark):
+    """Classes are counted on the rows as they are: a lift, a Python pass over all rows, is in two plans, each with one side."""
+    from siltmark.operators import heads
+
+    split = spark.createDataFrame(
+        [(0, str(i), str(i), "ab"[i % 2], i % 4 == 3, [float(i % 2), 1.0 * (i % 3)]) for i in range(40)],
+        "rep int, row_id string, grp string, label string, is_test boolean, features array<double>",
+    )
+    sides = []
+
+    def lift(df):
+        sides.append({r["is_test"] for r in df.select("is_test").distinct().collect()})
+        return heads.fourier_features(df, 2, 0.5, 16)
+
+    _, pred = heads.linear_head(split, lift=lift)
+    assert sides == [{False}, {True}]
+    _, same = heads.rbf_head(split, 2, 0.5, out=16)
+    assert sorted(pred.select("item_id", "y_pred").collect()) == sorted(same.select("item_id", "y_pred").collect())
+    assert pred.where("y_true = y_pred").count() == pred.count() == 10
