@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fx
 from ..functions.joins import small
-from .fingerprint import PIECES, digest_sums, sha256_hex
+from .fingerprint import PIECES
 
 REP = ["run_id", "rep"]
 ART = ["run_id", "rep", "arm"]
@@ -26,16 +26,17 @@ class AuditError(RuntimeError):
 def artifact_facts(pred: DataFrame) -> DataFrame:
     """One row per (run, rep, arm, clf): list lengths and a digest of its held-out list.
 
-    The digest adds up SHA-256 pieces of (position, item), so whole lists are compared
-    without shuffling their rows: lists are equal exactly when length and digest are.
+    The digest adds up 256 bits of hashes of (position, item), so whole lists are compared without shuffling
+    their rows: lists are equal exactly when length and digest are. Halves of 64-bit hashes are added as
+    plain integers, as every row of every list passes through here.
     """
-    entry = sha256_hex(F.concat_ws(":", F.col("pos").cast("string"), "item_id"))
-    rows = pred.withColumn("_entry", F.when(F.col("item_id").isNotNull(), entry))
+    rows = pred.withColumns({f"_h{i}": F.when(F.col("item_id").isNotNull(), F.xxhash64(F.lit(i), "pos", "item_id")) for i in range(PIECES)})
+    halves = [f(F.col(f"_h{i}")) for i in range(PIECES) for f in (lambda h: F.shiftrightunsigned(h, 32), lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)))]
     sums = rows.groupBy(*ART, "clf").agg(
         F.count("item_id").alias("n_ids"), F.count("y_true").alias("n_y"),
-        F.count("grp").alias("n_g"), F.count("y_pred").alias("n_p"), *digest_sums("_entry"),
+        F.count("grp").alias("n_g"), F.count("y_pred").alias("n_p"), *[F.sum(h).alias(f"s{i}") for i, h in enumerate(halves)],
     )
-    digest = F.concat_ws(":", *[F.coalesce(F.col(f"s{i}").cast("string"), F.lit("")) for i in range(PIECES)])
+    digest = F.concat_ws(":", *[F.coalesce(F.col(f"s{i}").cast("string"), F.lit("")) for i in range(len(halves))])
     return sums.select(*ART, "clf", "n_ids", "n_y", "n_g", "n_p", F.concat_ws(":", F.col("n_ids").cast("string"), digest).alias("digest"))
 
 

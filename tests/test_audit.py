@@ -327,3 +327,14 @@ def test_the_prediction_report_groups_items_behind_their_shuffle(spark):
     assert rows(found.select("code", "path")) == [("duplicate_id", f"0/A/c/{i}") for i in range(3)] + [("truth", "0")]
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_lists_are_compared_by_plain_integers(spark):
+    """A swap, another item and a doubled entry each change the digest; no decimal is added up per row."""
+    lists = {"a": "pqr", "b": "pqr", "c": "qpr", "d": "pqs", "e": "pq", "f": "pqrr"}
+    data = [("r", 0, arm, "c", pos, item, "g", "y", "y") for arm, items in lists.items() for pos, item in enumerate(items)]
+    facts = audit.artifact_facts(spark.createDataFrame(data, schemas.PREDICTION))
+    digests = {r["arm"]: r["digest"] for r in facts.collect()}
+    assert digests["a"] == digests["b"] and len(set(digests.values())) == 5
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert "decimal" not in plan and "sha2" not in plan
