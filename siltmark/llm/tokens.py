@@ -19,6 +19,7 @@ import regex
 
 CHUNKS = 180_000  # entries of each memo; twice as many are held at most
 PIECES = 180_000
+WORD_CHUNKS = 300_000  # where no memo of words stands beside that of the chunks
 
 # fixed values: pre-split patterns of the two vocabularies
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -157,11 +158,86 @@ class WordEncoder:
             return id_bytes(self.whole(text))
 
 
+class WordRankEncoder:
+    """Lower-cased vocabulary with word ends, one chunk at a time, by the ranks of its tokens.
+
+    Every word is followed by ``MARK``, and the vocabulary's word end is ``MARK`` too: the first
+    merges join it with the last byte of a word, and from there on the merges are the library's
+    own. ``marked`` writes the vocabulary so; the rest is as in ``RankEncoder``, with the same
+    check. Texts that libraries may lower-case or cut differently go to the library whole.
+    """
+
+    MARK = "\0"
+
+    def __init__(self, tokenizer, definition: dict):
+        import tiktoken
+
+        byte_of = {c: b for b, c in enumerate(byte_alphabet())}
+        vocab, _ = self.marked(definition)
+        ranks = {bytes(byte_of[c] for c in k): i for k, i in vocab.items()}
+        self.ranks = tiktoken.Encoding("words", pat_str=f"[^{self.MARK}]+{self.MARK}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.split = regex.compile(WORD_PATTERN).findall
+        self.special = list(special_ids(definition))
+        self.odd = re.compile("[\0\x1c-\x1f\x85\u180eİΣ]").search
+        self.chunks = Memo(self._chunk, WORD_CHUNKS)
+        self.library = tokenizer
+
+    @classmethod
+    def marked(cls, definition: dict) -> tuple[dict[str, int], list[tuple[str, str]]]:
+        """The vocabulary without special tokens and its merges, with ``MARK`` as an ordinary last symbol in place of the word end."""
+        model, special = definition["model"], special_ids(definition)
+        suffix, mark = model["end_of_word_suffix"], byte_alphabet()[ord(cls.MARK)]
+
+        def label(token: str) -> str:
+            return token.removesuffix(suffix) + mark if token.endswith(suffix) else token
+
+        vocab = {label(k): i for k, i in model["vocab"].items() if k not in special and mark not in k}
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        merges = [(label(u), label(v)) for u, v in pairs if mark not in u + v]
+        ends = sorted((i, k) for k, i in vocab.items() if len(k) == 2 and k[1] == mark)
+        return vocab | {mark: max(model["vocab"].values()) + 1}, [(k[0], mark) for _, k in ends] + merges
+
+    @classmethod
+    def usable(cls, definition: dict) -> bool:
+        from tokenizers import models
+
+        suffix = definition["model"].get("end_of_word_suffix")
+        if not suffix:
+            return False
+        vocab, merges = cls.marked(definition)
+        made = [vocab[u + v] for u, v in merges]
+        mark = byte_alphabet()[ord(cls.MARK)]
+        alphabet = [c for c in byte_alphabet() if c != mark]
+        if made != sorted(made) or not all(c in vocab and c + mark in vocab for c in alphabet):
+            return False
+        model = models.BPE(vocab=vocab, merges=merges)
+        return all([t.id for t in model.tokenize(k)] == [i] for k, i in vocab.items())
+
+    def _chunk(self, chunk: str) -> bytes | None:
+        """Ids of the chunk; None if libraries may see the kind, case or white space of its characters differently."""
+        if self.odd(chunk) or (_BEYOND_LATIN(chunk) and any(map(_young, chunk))):
+            return None
+        low = chunk.lower()
+        words = [low] if low.isalpha() and low.isascii() else self.split(low)
+        return id_bytes(self.ranks(self.MARK.join(words) + self.MARK)) if words else b""
+
+    def __call__(self, text: str) -> bytes:
+        if any(s in text for s in self.special) or not unicodedata.is_normalized("NFC", text):
+            return self._whole(text)
+        try:
+            return b"".join(map(self.chunks.__getitem__, text.split(" ")))
+        except TypeError:
+            return self._whole(text)
+
+    def _whole(self, text: str) -> bytes:
+        return id_bytes(self.library.encode(text, add_special_tokens=False).ids)
+
+
 def special_ids(definition: dict) -> dict[str, int]:
     return {t["content"]: t["id"] for t in definition["added_tokens"] if t["special"]}
 
 
-def library_encoder(source: str) -> ByteEncoder | RankEncoder | WordEncoder:
+def library_encoder(source: str) -> ByteEncoder | RankEncoder | WordEncoder | WordRankEncoder:
     """Encoder over the words' ids of the tokenizers library; ``source`` is the tokenizer's JSON text."""
     from tokenizers import Tokenizer
 
@@ -177,6 +253,8 @@ def library_encoder(source: str) -> ByteEncoder | RankEncoder | WordEncoder:
     special = special_ids(definition)
     if normal is None:
         return RankEncoder(tokenizer, definition) if RankEncoder.usable(tokenizer, definition) else ByteEncoder(ids, special)
+    if WordRankEncoder.usable(definition):
+        return WordRankEncoder(tokenizer, definition)
     return WordEncoder(lambda w: ids(w.lower() if w.isascii() else normal.normalize_str(w)), lambda t: tokenizer.encode(t, add_special_tokens=False).ids, special)
 
 
