@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import one
+from siltmark.functions import batches as batches_of
 from siltmark.operators import features, information, splits
 
 SCHEMA = "rep int, row_id int, grp string, label string, is_test boolean, features array<double>"
@@ -202,3 +204,60 @@ def test_masks_of_empty_tables(spark):
     none = rows.where("row_id < 0")
     assert features.moments_train(none, [0, 1, 2]).count() == 0
     assert information.mi_pairs(none, 4, [0, 1, 2], {}).count() == 0
+
+
+def counted(spark, rows):
+    """The rows and how many of them any scan has read so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def task(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return rows.mapInArrow(task, rows.schema), seen
+
+
+def test_exact_quantiles_scan_rows_twice(spark):
+    """A sketch, then counts and values at once; a third scan only where the sketch was poor. Held-out rows change no edge."""
+    x = columns(np.random.default_rng(12))
+    test = np.stack([np.arange(len(x)) % 4 == r for r in range(2)], 1)
+    x[test.all(1)] += 1e6
+    data = [([bool(not t) for t in side], row.tolist()) for side, row in zip(test, x, strict=True)]
+    table = spark.createDataFrame(data, "train array<boolean>, features array<double>").repartition(4)
+    for accuracy, scans in ((3, 2), (40, 2), (100_000, 3)):
+        rows, seen = counted(spark, table)
+        got = features.quantile_edges(rows, 16, accuracy=accuracy, reps=[4, 7]).collect()
+        assert seen.value == scans * len(x), accuracy
+        assert {(r["rep"], r["f"]) for r in got} == {(rep, f) for rep in (4, 7) for f in range(6)}
+        for r in got:
+            want = np.quantile(x[~test[:, (4, 7).index(r["rep"])], r["f"]], np.linspace(0, 1, 17))
+            assert np.allclose(r["edges"], want, rtol=1e-12, atol=1e-15), (accuracy, r["rep"], r["f"])
+
+
+def test_values_of_many_batches_are_put_together(spark, monkeypatch):
+    monkeypatch.setattr(features, "PICKED", 10)
+    x = columns(np.random.default_rng(13))
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.zeros(100, np.int32)), batches_of.lists(x[i : i + 100])], names=["rep", "features"]) for i in range(0, 700, 100)]
+    bounds = [np.unique(x[:, f])[::40] for f in range(6)]
+    found = pa.Table.from_batches(features._picked(iter(batches), bounds, lambda rep, f: np.ones(2 * len(bounds[f]) + 1, bool), None)).to_pandas()
+    assert found.groupby(["f", "inside"])["c"].sum().tolist() == [700] * 12
+    for f in range(6):
+        values = found[(found["f"] == f) & found["inside"]].groupby("x")["c"].sum()
+        assert (np.repeat(values.index, values) == np.sort(x[:, f])).all()
+
+
+def test_code_counts_equal_codes_counted(spark):
+    rows, split = masked(spark, parts=5)
+    reps = [0, 1, 2]
+    out = features.code_counts(rows, features.train_cuts(rows, 4, reps=reps), reps)
+    codes = features.quantile_bins(split, 4).select("rep", "is_test", F.posexplode("codes").alias("f", "code"))
+    want = codes.groupBy("rep", "is_test", "f", "code").agg(F.count(F.lit(1)).alias("n"))
+    assert out.columns == want.columns and [t for _, t in out.dtypes] == [t for _, t in want.dtypes]
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    none = rows.where("row_id < 0")
+    assert features.code_counts(none, features.train_cuts(none, 4, reps=reps), reps).count() == 0
+    # a repeat without train rows has no cuts and so no codes
+    one_sided = rows.withColumn("train", F.array(F.lit(False), F.lit(True), F.lit(False)))
+    assert {r["rep"] for r in features.code_counts(one_sided, features.train_cuts(one_sided, 4, reps=reps), reps).collect()} == {1}

@@ -49,6 +49,21 @@ def test_cutoffs_pick_exactly_n(spark):
     assert repeat_cutoffs(df, "h", lambda total: 0, "k") == {} == repeat_cutoffs(df.limit(0), "h", lambda total: 5, "k")
 
 
+def test_hashes_are_made_twice_whatever_the_depth(spark):
+    """What shares the first pass's prefix is kept for the passes after it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def task(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(20000).select(F.lit(1).alias("rep"), F.md5(F.col("id").cast("string").cast("binary")).alias("h"))
+    want = df.orderBy("h").offset(6999).first()["h"]
+    assert repeat_cutoffs(df.mapInArrow(task, df.schema), "h", lambda total: 7000, enough=0) == {1: want}
+    assert seen.value == 2 * 20000
+
+
 def test_caps(spark):
     rows_ = vectors(spark, 90).withColumn("rep", F.explode(F.array(F.lit(0), F.lit(1))))
     capped = splits.cap_rows(rows_, 25, 7)
