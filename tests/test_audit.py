@@ -338,3 +338,24 @@ def test_lists_are_compared_by_plain_integers(spark):
     assert digests["a"] == digests["b"] and len(set(digests.values())) == 5
     plan = facts._jdf.queryExecution().optimizedPlan().toString()
     assert "decimal" not in plan and "sha2" not in plan
+
+
+def test_document_parts_are_dealt_once_and_stored_small(spark, tmp_path, monkeypatch):
+    """Rows dealt again for each group, and plain text, took six times the disk."""
+    from conftest import SMALL
+    from workloads import registry
+
+    ids = [0, 1, 1, 999, 1000, 2500, None]
+    data = [(rep, "A", clf, i, f"i{i}", "y", "z" if clf == "u" else None) for rep in range(3) for clf in "uv" for i in ids]
+    pred = spark.createDataFrame(data, "rep int, arm string, clf string, event_id bigint, item_id string, y_true string, y_pred string")
+    parts = registry._document_parts(pred, 1000)
+    assert parts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    parts.write.partitionBy("d").text(str(tmp_path / "own"))
+    back = run_source.tidy(run_source.read_artifacts(spark, str(tmp_path / "own" / "*" / "*.txt"), in_parts=True))
+    kept = back.where("rep = 0").select("run_id", "clf", "pos", "item_id", "y_true", "y_pred")
+    want = [(0, "i0"), (1, "i1"), (2, "i1"), (3, "i999"), (1000, "i1000"), (2000, "i2500"), (None, "iNone")]
+    assert rows(kept) == sorted((("r", clf, pos, i, "y", "z" if clf == "u" else None) for clf in "uv" for pos, i in want), key=lambda t: tuple((v is None, str(v)) for v in t))
+    monkeypatch.setattr(registry, "scratch", lambda _: str(tmp_path / "whole"))
+    registry.broken_artifacts(spark, SMALL).collect()
+    stored = [f.name for f in (tmp_path / "whole").glob("*/*") if not f.name.startswith((".", "_"))]
+    assert stored and all(n.endswith(".gz") for n in stored)
