@@ -192,3 +192,56 @@ def test_rows_are_lifted_only_to_be_fitted_and_scored(spark):
     _, same = heads.rbf_head(split, 2, 0.5, out=16)
     assert sorted(pred.select("item_id", "y_pred").collect()) == sorted(same.select("item_id", "y_pred").collect())
     assert pred.where("y_true = y_pred").count() == pred.count() == 10
+
+
+@pytest.mark.parametrize("name", ["linear_head"])
+def test_head_counts_hang_on_fit_and_predictions(spark, monkeypatch, name):
+    """Rows of each class were counted whatever the model said of them, so that no row was scored."""
+    from conftest import SMALL
+    from pyspark.sql import functions as F
+    from workloads import registry
+
+    whole, seen = {r["y_true"]: r["n"] for r in registry.QUERIES[name](spark, SMALL).collect()}, []
+    fit = getattr(heads, name)
+
+    def other(change):
+        def head(*args, **kw):
+            fitted, pred = fit(*args, **kw)
+            seen.append({(r["y_true"], r["y_pred"]): r["n"] for r in pred.groupBy("y_true", "y_pred").agg(F.count("*").alias("n")).collect()})
+            return fitted, change(pred)
+
+        monkeypatch.setattr(heads, name, head)
+        return {r["y_true"]: r["n"] for r in registry.QUERIES[name](spark, SMALL).collect()}
+
+    assert other(lambda pred: pred) == whole
+    lost = other(lambda pred: pred.where("y_pred <> 'A'"))
+    assert len({p for _, p in seen[0]}) == 3 and {t: whole[t] - lost[t] for t in whole} == {t: seen[0][t, "A"] for t in whole}
+    assert set(other(lambda pred: pred.withColumn("gap", F.lit(0.1))).values()) == {0}
+    monkeypatch.setattr(heads, name, fit)
+    plain = heads.lowered
+    monkeypatch.setattr(heads, "lowered", lambda fitted: plain(fitted) and seen.append(fitted.stages[1].summary.objectiveHistory))
+    assert set(r["n"] for r in registry.QUERIES[name](spark, SMALL).collect()) == {0}
+    assert seen[-1][-1] < seen[-1][0]
+
+
+def test_gaps_of_predictions(spark):
+    """The gap by NumPy: none where the best class was given, and how far another is behind; a single class has infinite scores."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    y = np.array(["a", "b", "?"] * 20)
+    x = rng.normal(size=(60, 2)) + 1.5 * (y == "b")[:, None]
+    split = split_of(spark, x, y, np.arange(60) % 4 == 0)
+    fitted, pred = heads.linear_head(split, max_iter=20)
+    assert heads.lowered(fitted) and {r["gap"] for r in pred.collect()} == {0.0}
+    model, test = fitted.stages[1], split.where("is_test")
+    names = [*fitted.stages[0].labels, "?"]
+    for k, name in enumerate(names):
+        given = test.withColumns({"prediction": F.lit(float(k)), "y_pred": F.lit(name)})
+        rows_ = given.select("features", heads._gap(model, names).alias("gap")).collect()
+        score = np.array([r["features"] for r in rows_]) @ model.coefficientMatrix.toArray().T + model.interceptVector.toArray()
+        assert [r["gap"] for r in rows_] == pytest.approx((score.max(1) - score[:, k]).tolist(), abs=1e-12)
+    wrong = test.withColumns({"prediction": F.lit(0.0), "y_pred": F.lit(names[1])}).select(heads._gap(model, names).alias("gap"))
+    assert {r["gap"] for r in wrong.collect()} == {None}
+    fitted, pred = heads.linear_head(split_of(spark, x, np.array(["a"] * 60), np.arange(60) % 4 == 0), max_iter=5)
+    assert heads.lowered(fitted) and {(r["y_pred"], r["gap"]) for r in pred.collect()} == {("a", 0.0)}
