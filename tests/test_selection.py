@@ -194,7 +194,7 @@ def test_rows_are_lifted_only_to_be_fitted_and_scored(spark):
     assert pred.where("y_true = y_pred").count() == pred.count() == 10
 
 
-@pytest.mark.parametrize("name", ["linear_head"])
+@pytest.mark.parametrize("name", ["linear_head", "rbf_head"])
 def test_head_counts_hang_on_fit_and_predictions(spark, monkeypatch, name):
     """Rows of each class were counted whatever the model said of them, so that no row was scored."""
     from conftest import SMALL
