@@ -341,7 +341,7 @@ def test_lists_are_compared_by_plain_integers(spark):
 
 
 def test_document_parts_are_dealt_once_and_stored_small(spark, tmp_path, monkeypatch):
-    """Rows dealt again for each group, and plain text, took six times the disk."""
+    """Rows dealt again for each group, and plain text, took five times the disk."""
     from conftest import SMALL
     from workloads import registry
 
